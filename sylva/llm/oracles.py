@@ -21,7 +21,7 @@ def _quality_ctes() -> str:
 q_rows AS (SELECT row_number() OVER () AS rid, * FROM documents),
 q_words AS (
   SELECT rid, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM q_rows),
 q_tri AS (
   SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
@@ -35,8 +35,8 @@ q_counts AS (
          CAST(len(ls) AS BIGINT) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(ws, x -> lower(x) IN ({stop}))) AS n_stop,
-         len(list_filter(ws, x -> length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_shout
+         len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS n_stop,
+         len(list_filter(ws, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_shout
   FROM q_words w LEFT JOIN q_cov c USING (rid)),
 q_judged AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, ({' AND '.join(tests)}) AS passed
