@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import importlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import quality
+from sylva.llm import bytebpe, quality, tokenfile
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public tokenizers that the machine offers; SYLVA_TOKENIZERS names another folder."""
+    folder = os.environ.get("SYLVA_TOKENIZERS")
+    return os.path.join(folder, name) if folder else importlib.import_module("public_tokenizers").path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = importlib.import_module("public_tokenizers").PATTERN
+    return bytebpe.op3_byte_bpe(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), pattern)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op4_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -21,4 +37,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op10_quality_rules)}
