@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import bytebpe, quality, tokenfile
+from sylva.llm import bytebpe, quality, tokenfile, urlfilter
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op4_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op8_url_filter(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -37,4 +41,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op8_url_filter, op10_quality_rules)}
