@@ -34,6 +34,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind df
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
