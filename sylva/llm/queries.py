@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import bytebpe, jaccard, lmscore, quality, suffixes, tokenfile, urlfilter
+from sylva.llm import bytebpe, jaccard, lmscore, packing, quality, suffixes, tokenfile, urlfilter
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
@@ -24,6 +24,10 @@ def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.op1_ctw_score(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op2_best_fit(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = importlib.import_module("public_tokenizers").PATTERN
     return bytebpe.op3_byte_bpe(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), pattern)
@@ -53,4 +57,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op3_byte_bpe, op4_token_files, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op10_quality_rules)}
