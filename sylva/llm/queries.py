@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import bytebpe, jaccard, lmscore, packing, quality, suffixes, tokenfile, urlfilter
+from sylva.llm import bytebpe, editprint, jaccard, lmscore, packing, quality, suffixes, tokenfile, urlfilter
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
@@ -37,6 +37,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op4_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.op5_edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op6_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op10_quality_rules)}
