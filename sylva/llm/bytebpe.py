@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ class ByteBPE:
 
     def warm(self, texts: list[str]) -> None:
         """Encode the unknown parts of many texts in few calls."""
-        self.later.fill(p for t in texts for p in t.split(" ")[1:])
+        self.later.fill(set().union(*(t.split(" ")[1:] for t in texts)))
 
     def encode_raw(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian unsigned integers of self.kind, and as decimals joined by a space."""
@@ -150,11 +151,15 @@ def codec(ranks_path: str, pattern: str) -> ByteBPE:
     return ByteBPE(ranks_path, pattern)
 
 
-def texts(batch: pa.RecordBatch, name: str = "text", rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch and their texts, so that few texts are in Python at once."""
-    for k in range(0, batch.num_rows, rows):
-        part = batch.slice(k, rows)
+def texts(batch: pa.RecordBatch, name: str = "text", size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch of about size bytes (a row at least) and their texts, so that few texts are in Python at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        part = batch.slice(a, b - a)
         yield part, [t or "" for t in part.column(name).to_pylist()]
+        a = b
 
 
 def encode_df(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 
 class Recent(dict):
@@ -22,9 +22,8 @@ class Recent(dict):
         self[key] = value
         return value
 
-    def fill(self, keys: Iterable) -> None:
+    def fill(self, keys: set) -> None:
         """Have all keys in the young generation; what is unknown is made in one call."""
-        keys = set(keys)
         missing = keys - self.keys()
         if len(self) + len(missing) > self.most:
             self.old = dict(self)

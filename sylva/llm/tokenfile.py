@@ -19,6 +19,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,35 +27,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.bytebpe import texts
+from sylva.llm.bytebpe import byte_letters, texts
 from sylva.llm.common import new_dir, partitions_for
 from sylva.llm.recent import Recent
 
 #: White space to Python's split() that is not white space to the tokenizer's pattern.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
+#: Characters whose composed and lower-case forms don't depend on their neighbours or on the library's Unicode version.
+_PLAIN = re.compile("[!-\u012f\u0131-\u024f]+").fullmatch
 
 
 class WordTokens:
-    """Ids of the tokenizers library. Its pieces never cross white space, so each different word is encoded once."""
+    """Ids of the tokenizers library. Its pieces never cross white space, so each different word is encoded once.
+
+    A word of plain characters is lowered and cut here by the tokenizer's own pattern, and the library's model gets
+    each different piece; any other word goes through the library's whole chain.
+    """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            chain = json.load(f)
+        steps = [x["type"] for part in ("normalizer", "pre_tokenizer") for x in chain[part].get("normalizers", chain[part].get("pretokenizers", []))]
+        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            raise ValueError(f"a chain that this class doesn't know: {steps}")
+        self.cut = regex.compile(chain["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces = Recent(self._pieces, 150_000)
         self.words = Recent(self._words, 250_000)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        return [np.array(self.library.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in words]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        model, code, letters = self.library.model.tokenize, self.kind.char, self.letters
+        # printable ASCII stands for itself among the letters for bytes
+        return [array(code, [t.id for t in model(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+
+    def _cut(self, word: str) -> tuple[str, ...] | list[str] | None:
+        """A word's pieces; None for the library's whole chain. Letters are one piece, and so is a mark after them."""
+        if not (word.isascii() or _PLAIN(word)):
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return (low,)
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return (low[:-1], low[-1])
+        return self.cut(low)
 
-    def warm(self, texts: list[str]) -> None:
-        self.words.fill(w for t in texts for w in t.split())
+    def _words(self, words: list[str]) -> list[bytes]:
+        cuts = list(map(self._cut, words))
+        self.pieces.fill(set().union(*filter(None, cuts)))
+        get = self.pieces.__getitem__
+        return [self._whole(w) if c is None else get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for w, c in zip(words, cuts, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind.char, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        odd = {k for k, t in enumerate(texts) if any(c in t for c in _ODD)}
+        words = [[] if k in odd else t.split() for k, t in enumerate(texts)]
+        self.words.fill(set().union(*words))
+        get = self.words.__getitem__
+        return [self._whole(texts[k]) if k in odd else b"".join(map(get, x)) for k, x in enumerate(words)]
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._words([text])[0]
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -116,10 +157,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
             for part, ts in texts(batch):
-                own.warm(ts)
                 ids = part.column("doc_id").to_pylist()
                 pid = np.searchsorted(cuts, [-(1 << 63) if x is None else x for x in ids], side="right")
-                raw = [own.encode(t) + end for t in ts]
+                raw = [x + end for x in own.encode_all(ts)]
                 yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), part.column("doc_id"), pa.array(raw, pa.binary())], ["pid", "doc_id", "ids"])
 
     fs, place = filesystem(folder)
