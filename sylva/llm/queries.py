@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import bytebpe, editprint, jaccard, lmscore, packing, quality, suffixes, tokenfile, urlfilter
+from sylva.llm import bytebpe, editprint, jaccard, licences, lmscore, packing, quality, suffixes, tokenfile, urlfilter
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.op8_url_filter(table(spark, sf_dir, "pages"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op9_licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -61,4 +65,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op9_licence_scan, op10_quality_rules)}
