@@ -154,7 +154,8 @@ def links(found: DataFrame, threshold: float, n: int, recall: float, block: int
     roots = cut(components(candidate_stars(found, n, *choose_bands(threshold, recall))), "candidates")
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m"))
     # a text is in a pair of blocks with each block of its component; small components have one block
-    dealt = found.join(roots.withColumnRenamed("node", "rid"), "rid").join(blocks, "root").select("root", "key", "n", "z", "m", F.expr("int(pmod(xxhash64(key), m))").alias("own"))
+    # merge: the candidates grow with the corpus, whatever a small one would allow
+    dealt = found.join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid").join(blocks, "root").select("root", "key", "n", "z", "m", F.expr("int(pmod(xxhash64(key), m))").alias("own"))
     dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, m - 1)"))).select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "key", "own", "n", "z")
     return dealt.groupBy("root", "i", "j").applyInArrow(lambda rows: _compare(rows, threshold, n), "key binary, links long, other binary")
 
