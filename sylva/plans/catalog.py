@@ -1,4 +1,393 @@
-"""Queries by name and the SQL that gives the same rows."""
+"""Queries by name, over whole tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva.functions import text
+from sylva.operators import counting, features, losses, nbest, trees
+from sylva.plans import treebank as tb
+from sylva.plans.oracles import ORACLES
+from sylva.sources import ptb
+from sylva.sources.tables import table
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _spans(spark, sf, *k):
+    return tb.chunks(spark, sf, k)
+
+
+def _gold_and_test(spark, sf):
+    gold = _spans(spark, sf, tb.GOLD).drop("k").withColumn("k", F.explode(F.array(*map(F.lit, tb.CANDIDATES))))
+    return gold, _spans(spark, sf, *tb.CANDIDATES)
+
+
+def _scored(spark, sf) -> DataFrame:
+    """The candidates with their counts and f-scores."""
+    counts = trees.ratios(trees.matched_spans(*_gold_and_test(spark, sf), ("sent_id", "k")))
+    return tb.nbest(spark, sf).join(counts, ["sent_id", "k"])
+
+
+def _tagged_chunks(spark, sf) -> DataFrame:
+    """Chunks of the candidates with their tags: slices of a sentence's tag array, no join."""
+    forms = tb.token_arrays(spark, sf).where(F.size("forms") > 0).select("sent_id", F.size("forms").alias("n"), F.expr(f"transform(forms, form -> {tb.TAG})").alias("all_tags"))
+    each = forms.select("*", F.explode(F.array(*map(F.lit, tb.CANDIDATES))).alias("k")).withColumn("w", F.expr(tb.WIDTH))
+    each = each.select("*", F.explode(F.expr("sequence(0, (n - 1) div w)")).alias("c"))
+    return each.select("sent_id", "n", "k", "c", F.expr("c * w").alias("start"), F.expr("least(n, (c + 1) * w)").alias("finish"), F.expr(tb.LABEL).alias("label"), F.expr("slice(all_tags, c * w + 1, w)").alias("tags"))
+
+
+def _totals(values: DataFrame) -> DataFrame:
+    """A feature table by class and feature: parses with it and the sum of its values."""
+    return values.groupBy("cls", "feat").agg(F.count("*").alias("parses"), F.sum("val").alias("total"))
+
+
+@query
+def sgml_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: lines written as marked sentences with ids and read back."""
+    from sylva.sources.formats import read_sgml, write_sgml
+
+    return read_sgml(write_sgml(tb.sentences(spark, sf))).select("sent_id", F.length("sentence").alias("n_chars"))
+
+
+@query
+def tokens_fast(spark, sf):
+    """The built-in tokenizer; forms with their counts."""
+    return tb.tokens(spark, sf).groupBy("form").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+@query
+def escape_brackets(spark, sf):
+    """Escaping and its inverse."""
+    e = tb.sentences(spark, sf).select("sent_id", "sentence", text.escape_brackets(F.col("sentence")).alias("e"))
+    return e.select("sent_id", F.length("e").alias("n_escaped"), (text.unescape_brackets(F.col("e")) == F.col("sentence")).alias("same"))
+
+
+@query
+def token_classes(spark, sf):
+    """Capital class, hyphen and last two letters of tokens."""
+    t = tb.tokens(spark, sf).select(text.capital_class(F.col("form")).alias("capital"), F.contains(F.col("form"), F.lit("-")).alias("hyphen"), F.coalesce(text.suffix2(F.col("form")), F.lit("")).alias("ending"))
+    return t.groupBy("capital", "hyphen", "ending").agg(F.count("*").alias("n"))
+
+
+@query
+def quantized_lengths(spark, sf):
+    """Classes of sentence lengths."""
+    n = F.col("n")
+    sized = tb.token_arrays(spark, sf).select(F.size("forms").alias("n")).where("n > 0")
+    return sized.groupBy(text.quantize(n).alias("class"), text.bucket(n).alias("bucket")).agg(F.count("*").alias("sentences"))
+
+
+@query
+def tree_write(spark, sf):
+    """A5: bracketed trees."""
+    return tb.trees(spark, sf)
+
+
+@query
+def tree_nodes(spark, sf):
+    """Trees read from their brackets, by label and depth."""
+    nodes = ptb.read_nodes(tb.trees(spark, sf))
+    return nodes.groupBy("label", "depth").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("finish").alias("finishes"), F.count("word").alias("words"), F.sum("parent").alias("parents"))
+
+
+@query
+def tree_round_trip(spark, sf):
+    """A4, A5: node tables written as brackets again."""
+    read = tb.trees(spark, sf)
+    back = ptb.write_trees(ptb.read_nodes(read)).withColumnRenamed("tree", "back")
+    return read.join(back, "sent_id").groupBy((F.col("tree") == F.col("back")).alias("same")).agg(F.count("*").alias("n"))
+
+
+@query
+def tree_tokens_tags(spark, sf):
+    """B1: leaves and tags of each tree."""
+    return trees.tokens_and_tags(ptb.read_nodes(tb.trees(spark, sf)))
+
+
+@query
+def subtree_sizes(spark, sf):
+    """Nodes below each node, by label."""
+    nodes = trees.last_descendants(ptb.read_nodes(tb.trees(spark, sf)))
+    return nodes.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("last_desc") - F.col("node") + 1).cast("long").alias("subtree_nodes"))
+
+
+@query
+def head_positions(spark, sf):
+    """The head word's place of each tree."""
+    nodes = ptb.read_nodes(tb.trees(spark, sf))
+    return trees.lexical_heads(nodes, 4).where("node = 0").select("sent_id", F.col("lex").alias("head"))
+
+
+@query
+def dependencies(spark, sf):
+    """Head to head pairs, by distance."""
+    d = trees.dependencies(ptb.read_nodes(tb.trees(spark, sf)), 4)
+    return d.groupBy((F.col("dep") - F.col("gov")).alias("distance")).agg(F.count("*").alias("n"))
+
+
+@query
+def parseval_sentence(spark, sf):
+    """Labelled spans of each candidate against gold."""
+    return trees.ratios(trees.matched_spans(*_gold_and_test(spark, sf), ("sent_id", "k")))
+
+
+@query
+def parseval_corpus(spark, sf):
+    """Counts over the corpus, then ratios."""
+    return trees.ratios(trees.matched_spans(*_gold_and_test(spark, sf), ("sent_id", "k")).groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n_gold", "n_test", "n_matched")]))
+
+
+@query
+def exact_match(spark, sf):
+    """Candidates equal to gold."""
+    m = trees.matched_spans(*_gold_and_test(spark, sf), ("sent_id", "k"))
+    return m.groupBy("k").agg(F.count("*").alias("n"), F.sum(((F.col("n_gold") == F.col("n_matched")) & (F.col("n_test") == F.col("n_matched"))).cast("bigint")).alias("exact"))
+
+
+@query
+def tree_diff(spark, sf):
+    """Spans of gold alone, of the first candidate alone, and of both."""
+    d = trees.span_diff(_spans(spark, sf, tb.GOLD), _spans(spark, sf, 0))
+    return d.groupBy("label", "side").agg(F.count("*").alias("n"))
+
+
+@query
+def crossing_spans(spark, sf):
+    """Spans of the second candidate that cross a gold span."""
+    g, t = _spans(spark, sf, tb.GOLD), _spans(spark, sf, 0)
+    g = g.select("sent_id", F.col("start").alias("gs"), F.col("finish").alias("gf"))
+    # only spans that share a gold span's last word can cross it: spans cover the sentence in order
+    hit = t.join(g, "sent_id").where(trees.crossing(F.col("gs"), F.col("gf"), F.col("start"), F.col("finish")))
+    return hit.groupBy("label").agg(F.count("*").alias("n_crossing"), F.countDistinct("sent_id").alias("n_sentences"))
+
+
+@query
+def constraint_matches(spark, sf):
+    """Candidates that hold all gold spans of two words."""
+    gold, test = _gold_and_test(spark, sf)
+    need = gold.where("finish - start = 2")
+    m = trees.matched_spans(need, test.join(need.select("sent_id", "k", "start", "finish", "label"), ["sent_id", "k", "start", "finish", "label"], "left_semi"), ("sent_id", "k"))
+    return m.groupBy("k").agg(F.count("*").alias("n"), F.sum((F.col("n_matched") == F.col("n_gold")).cast("bigint")).alias("satisfied"))
+
+
+@query
+def fold_split(spark, sf):
+    """Sentences by fold; fold i of 20 has those from i * N / 20 on."""
+    docs = table(spark, sf, "documents")
+    n = docs.agg(F.count("*")).first()[0]
+    numbered = docs.select(F.col("doc_id").alias("i"))
+    return numbered.groupBy(F.expr(f"int(((i + 1) * 20 - 1) div {max(1, n)})").alias("fold")).agg(F.count("*").alias("n"), F.min("i").alias("first_id"), F.max("i").alias("last_id"))
+
+
+@query
+def unique_trees(spark, sf):
+    """C11: candidates that are the first of their shape."""
+    shapes = _spans(spark, sf, *tb.CANDIDATES).groupBy("sent_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "finish", "label"))), lambda x: F.concat_ws(":", x["start"], x["finish"], x["label"])), " ").alias("shape"))
+    return shapes.groupBy("sent_id", "shape").agg(F.min("k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query
+def nbest_softmax(spark, sf):
+    """Normalised probabilities and log conditional probabilities."""
+    n = tb.nbest(spark, sf)
+    return n.select("sent_id", "k", F.round(nbest.softmax(F.col("logprob")), 6).alias("p"), F.round(nbest.log_conditional(F.col("logprob")), 6).alias("lcp"))
+
+
+@query
+def nbest_topk(spark, sf):
+    """M1, M2: the two best parses of each sentence by score."""
+    return nbest.ranked(tb.nbest(spark, sf), [F.desc("logprob"), F.asc("k")]).where("rank < 2").select("sent_id", "k", "rank", "logprob")
+
+
+def _weights(values: DataFrame) -> DataFrame:
+    """A fixed weight for each feature: its class's and label's lengths decide."""
+    return values.select("cls", "feat").distinct().withColumn("w", F.expr("(length(feat) % 7 - 3) / 8.0D"))
+
+
+@query
+def rerank(spark, sf):
+    """Ranks by weighted features."""
+    values = features.heavy(_spans(spark, sf, *tb.CANDIDATES))
+    ranked = nbest.rerank(tb.nbest(spark, sf), features.sparse_score(values, _weights(values)))
+    return ranked.select("sent_id", "k", F.round("reranker_score", 6).alias("reranker_score"), "parser_rank", "reranker_rank")
+
+
+@query
+def sparse_score(spark, sf):
+    """Dot products of features and weights."""
+    values = features.heavy(_spans(spark, sf, *tb.CANDIDATES))
+    return features.sparse_score(values, _weights(values)).select("sent_id", "k", F.round("score", 6).alias("score"))
+
+
+@query
+def oracle_f(spark, sf):
+    """The first and the best parse of each sentence."""
+    return nbest.oracle(_scored(spark, sf))
+
+
+@query
+def beam_curve(spark, sf):
+    """Mean best f by beam size."""
+    return nbest.beam_curve(_scored(spark, sf))
+
+
+@query
+def merge_nbest(spark, sf):
+    """two generators' lists, united by tree."""
+    n = tb.nbest(spark, sf)
+    merged = nbest.merge_lists({"a": n.where("k <> 1"), "b": n.where("k <> 0").withColumn("logprob", F.col("logprob") / 2)}, ["sent_id", "k"], "logprob")
+    return merged.select("sent_id", "k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query
+def fuse_spans(spark, sf):
+    """Spans whose summed probability reaches one half."""
+    p = tb.nbest(spark, sf).select("sent_id", "k", nbest.softmax(F.col("logprob")).alias("p"))
+    fused = nbest.fused_spans(_spans(spark, sf, *tb.CANDIDATES), p)
+    return fused.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.round("score", 6)), 3).alias("score"))
+
+
+@query
+def pos_lexicon(spark, sf):
+    """H1: words and tags."""
+    return counting.lexicon(tb.tokens(spark, sf))
+
+
+@query
+def unknown_tag_stats(spark, sf):
+    """H4: unknown words, capitals and hyphens by tag."""
+    return counting.unknown_statistics(tb.tokens(spark, sf))
+
+
+@query
+def ending_probs(spark, sf):
+    """H5: endings of rare open-class words."""
+    return counting.endings(tb.tokens(spark, sf), ("NN", "NNS", "VB", "JJ"))
+
+
+def _events(spark, sf) -> DataFrame:
+    """Tag events with two backoff contexts: the tag before and the one before that."""
+    arrays = tb.token_arrays(spark, sf).select(F.expr(f"transform(forms, form -> {tb.TAG})").alias("t"))
+    return arrays.select(F.explode(F.expr("transform(t, (x, i) -> named_struct('y', x, 'c1', if(i > 0, t[i - 1], 'STOP'), 'c2', if(i > 1, t[i - 2], 'STOP')))")).alias("e")).select("e.*")
+
+
+@query
+def context_counts(spark, sf):
+    """H2, H9: counts and relative frequencies at each backoff level."""
+    return counting.context_counts(_events(spark, sf), ["c1", "c2"], "y").select("level", "c1", F.coalesce("c2", F.lit("")).alias("c2"), "y", "cnt", "tot", "g")
+
+
+@query
+def kn_discounts(spark, sf):
+    """Count-of-counts and discounts of tag trigrams' words."""
+    return counting.kneser_ney_discounts(_events(spark, sf), ["c2", "c1", "y"])
+
+
+@query
+def feat_word(spark, sf):
+    """J5 Word."""
+    t = tb.tokens(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, tb.CANDIDATES)))).withColumn("c", F.expr(f"pos div ({tb.WIDTH})"))
+    return _totals(features.word(t.withColumn("label", F.expr(tb.LABEL))))
+
+
+@query
+def feat_rule(spark, sf):
+    """J5 Rule."""
+    return _totals(features.rule(_tagged_chunks(spark, sf)))
+
+
+@query
+def feat_ngram(spark, sf):
+    """J5 NGram."""
+    return _totals(features.label_ngram(_spans(spark, sf, *tb.CANDIDATES)))
+
+
+@query
+def feat_edges(spark, sf):
+    """J5 Edges."""
+    return _totals(features.edges(_tagged_chunks(spark, sf)))
+
+
+@query
+def feat_heavy(spark, sf):
+    """J5 Heavy."""
+    return _totals(features.heavy(_spans(spark, sf, *tb.CANDIDATES)))
+
+
+@query
+def feat_rightbranch(spark, sf):
+    """J5 RightBranch."""
+    return _totals(features.right_branch(_spans(spark, sf, *tb.CANDIDATES)))
+
+
+@query
+def feat_colenpar(spark, sf):
+    """J5 CoLenPar."""
+    return _totals(features.coordination_length(_spans(spark, sf, tb.GOLD)))
+
+
+@query
+def pseudo_constant(spark, sf):
+    """Features that are constant in a sentence, by feature."""
+    p = features.pseudo_constants(features.heavy(_spans(spark, sf, *tb.CANDIDATES)), tb.nbest(spark, sf))
+    return p.groupBy("feat").agg(F.count("*").alias("n"), F.sum(F.col("constant").cast("bigint")).alias("n_constant"))
+
+
+@query
+def mincount_dictionary(spark, sf):
+    """The pruned and numbered dictionary."""
+    c = _spans(spark, sf, *tb.CANDIDATES)
+    return features.dictionary(features.heavy(c).unionAll(features.label_ngram(c)), tb.nbest(spark, sf))
+
+
+@query
+def baseline_shift(spark, sf):
+    """Baseline values, by feature."""
+    b = features.baseline_shift(features.right_branch(_spans(spark, sf, *tb.CANDIDATES)), tb.nbest(spark, sf))
+    return b.groupBy("feat", "base").agg(F.count("*").alias("n"))
+
+
+def _ranker_lists(spark, sf) -> DataFrame:
+    return _scored(spark, sf).withColumn("score", F.col("logprob") / 10)
+
+
+@query
+def winners_losers(spark, sf):
+    """Gold shares of the best parses."""
+    return losses.winners(_ranker_lists(spark, sf)).select("sent_id", "k", F.round("p_gold", 6).alias("p_gold"))
+
+
+@query
+def logloss(spark, sf):
+    """K2, K3: log loss and the loss of the winners' summed probability."""
+    x = _ranker_lists(spark, sf)
+    return losses.log_loss(x).select(F.round("loss", 3).alias("log_loss")).crossJoin(losses.em_loss(x).select(F.round("loss", 3).alias("em_loss")))
+
+
+@query
+def logloss_grad(spark, sf):
+    """K2: the gradient by feature."""
+    values = features.heavy(_spans(spark, sf, *tb.CANDIDATES))
+    return losses.log_loss_gradient(_ranker_lists(spark, sf), values).select("feat", F.round("grad", 3).alias("grad"))
+
+
+@query
+def pairwise_loss(spark, sf):
+    """K4, K5: logistic and exponential losses of losers against the best winner."""
+    x = _ranker_lists(spark, sf)
+    return losses.pairwise_loss(x).select(F.round("loss", 3).alias("pairwise")).crossJoin(losses.exp_loss(x).select(F.round("loss", 3).alias("exponential"), F.round("log_loss", 6).alias("log_exponential")))
+
+
+@query
+def expected_f(spark, sf):
+    """K6: the model's expected f-score."""
+    return losses.expected_fscore(_ranker_lists(spark, sf)).select(F.round("f", 6).alias("f"))
