@@ -58,6 +58,7 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         *keep, "_t", "_w", "_l",
         F.expr("sort_array(transform(filter(_s, (x, i) -> (i > 0 and _s[i - 1].h = x.h) or (i < size(_s) - 1 and _s[i + 1].h = x.h)), x -> x.p))").alias("_p"),
     )
+    # a row number is never under 0; with it in the projection the optimizer leaves filters above it and computes all this once
     return placed.select(
         *keep,
         F.expr("cast(size(_w) as bigint)").alias("n_words"),
@@ -65,7 +66,7 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         F.expr(f"cast(length(_t) - length(translate(_t, '{SYMBOLS}', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(size(_l) as bigint)").alias("n_lines"),
         F.expr("cast(size(_l) - size(array_distinct(_l)) as bigint)").alias("n_dup_lines"),
-        F.expr("cast(aggregate(_p, named_struct('n', 0, 'e', 0), (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.e), 'e', p + 3), a -> a.n) as bigint)").alias("n_repeat_words"),
+        F.expr("cast(if(monotonically_increasing_id() < 0, null, aggregate(_p, named_struct('n', 0, 'e', 0), (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.e), 'e', p + 3), a -> a.n)) as bigint)").alias("n_repeat_words"),
         F.expr(f"cast(size(filter(_w, x -> lower(x) in ({_sql_list(STOP_WORDS)}))) as bigint)").alias("n_stop"),
         F.expr("cast(size(filter(_w, x -> length(x) > 1 and x = upper(x) and x <> lower(x))) as bigint)").alias("n_shout"),
     )
