@@ -224,6 +224,9 @@ def score(docs: DataFrame, depth: int = 6, block_bytes: int = 16 << 20, shards:
     spark = docs.sparkSession
     shards = shards or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
+    out_schema = f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    if docs.isEmpty():
+        return spark.createDataFrame([], out_schema)
     path = new_dir(spark, "blocks")
     _blocks(docs, depth, shards, block_bytes).write.option("compression", "zstd").partitionBy("what").parquet(path)
     schema = f"block long, doc_id {doc_type}, held_out boolean, shard int, a binary, b binary, what string"
@@ -261,7 +264,7 @@ def score(docs: DataFrame, depth: int = 6, block_bytes: int = 16 << 20, shards:
 
     left = texts.select("block", "doc_id", "held_out", "a").groupBy("block")
     right = answers.select("block", "what", "shard", "values").groupBy("block")
-    return left.cogroup(right).applyInArrow(run, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    return left.cogroup(right).applyInArrow(run, out_schema)
 
 
 def op1_ctw_score(docs: DataFrame) -> DataFrame:
