@@ -69,4 +69,4 @@ def parse_kv(text: Column) -> Column:
 def write_kv(values: Column) -> Column:
     """A map of numbers in key order; value 1 is left out."""
     entries = F.array_sort(F.map_entries(values))
-    return F.array_join(F.transform(entries, lambda e: F.when(e["value"] == 1, e["key"]).otherwise(F.concat_ws("=", e["key"], F.format_number(e["value"], "0.######")))), ", ")
+    return F.array_join(F.transform(entries, lambda e: F.when(e["value"] == 1, e["key"]).otherwise(F.concat_ws("=", e["key"], F.regexp_replace(e["value"].cast("string"), "[.]0$", "")))), ", ")

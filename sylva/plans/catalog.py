@@ -199,7 +199,7 @@ def unique_trees(spark, sf):
 def nbest_softmax(spark, sf):
     """Normalised probabilities and log conditional probabilities."""
     n = tb.nbest(spark, sf)
-    return n.select("sent_id", "k", F.round(nbest.softmax(F.col("logprob")), 6).alias("p"), F.round(nbest.log_conditional(F.col("logprob")), 6).alias("lcp"))
+    return n.select("sent_id", "k", F.round(nbest.softmax(F.col("logprob")), 6).alias("p"), (F.round(nbest.log_conditional(F.col("logprob")), 6) + 0.0).alias("lcp"))
 
 
 @query
@@ -377,7 +377,7 @@ def logloss(spark, sf):
 def logloss_grad(spark, sf):
     """K2: the gradient by feature."""
     values = features.heavy(_spans(spark, sf, *tb.CANDIDATES))
-    return losses.log_loss_gradient(_ranker_lists(spark, sf), values).select("feat", F.round("grad", 3).alias("grad"))
+    return losses.log_loss_gradient(_ranker_lists(spark, sf), values).select("feat", (F.round("grad", 3) + 0.0).alias("grad"))
 
 
 @query

@@ -125,7 +125,7 @@ SELECT g.sent_id, g.k, count(*) AS needed, count(t.sent_id) AS held FROM gold g
     "fold_split": "SELECT CAST(((doc_id + 1) * 20 - 1) // (SELECT greatest(1, count(*)) FROM documents) AS INT) AS fold, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY fold",
     "unique_trees": _with("""SELECT k, count(*) AS n FROM (SELECT sent_id, shape, min(k) AS k FROM (
 SELECT sent_id, k, string_agg(start || ':' || finish || ':' || label, ' ' ORDER BY start) AS shape FROM chunks WHERE k >= 0 GROUP BY ALL) GROUP BY ALL) GROUP BY k"""),
-    "nbest_softmax": _with("""SELECT sent_id, k, round(e / sum(e) OVER (PARTITION BY sent_id), 6) AS p, round(logprob - (top + ln(sum(e) OVER (PARTITION BY sent_id))), 6) AS lcp
+    "nbest_softmax": _with("""SELECT sent_id, k, round(e / sum(e) OVER (PARTITION BY sent_id), 6) AS p, round(logprob - (top + ln(sum(e) OVER (PARTITION BY sent_id))), 6) + 0.0 AS lcp
 FROM (SELECT *, exp(logprob - top) AS e FROM (SELECT *, max(logprob) OVER (PARTITION BY sent_id) AS top FROM nbest))"""),
     "nbest_topk": _with("SELECT sent_id, k, CAST(r AS INT) AS rank, logprob FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY logprob DESC, k) - 1 AS r FROM nbest) WHERE r < 2"),
     "sparse_score": _with("SELECT sent_id, k, round(sum(val * ((length(feat) % 7 - 3) / 8.0)), 6) AS score FROM heavy_values GROUP BY ALL", _HEAVY),
@@ -169,7 +169,7 @@ SELECT sent_id, feat, v, sum(g) AS g FROM (SELECT sent_id, feat, val AS v, 2 AS
     "winners_losers": _with("SELECT sent_id, k, round(p_gold, 6) AS p_gold FROM won", *_RANKER),
     "logloss": _with("""SELECT (SELECT round(sum(-p_gold * (score - log_z)), 3) FROM won) AS log_loss,
 (SELECT round(sum(l), 3) FROM (SELECT -ln(sum(exp(score - log_z))) AS l FROM won WHERE p_gold > 0 GROUP BY sent_id)) AS em_loss""", *_RANKER),
-    "logloss_grad": _with("SELECT feat, round(sum((exp(score - log_z) - p_gold) * val), 3) AS grad FROM heavy_values JOIN won USING (sent_id, k) GROUP BY feat", _HEAVY, *_RANKER),
+    "logloss_grad": _with("SELECT feat, round(sum((exp(score - log_z) - p_gold) * val), 3) + 0.0 AS grad FROM heavy_values JOIN won USING (sent_id, k) GROUP BY feat", _HEAVY, *_RANKER),
     "pairwise_loss": _with("SELECT round(sum(ln(1 + exp(-margin))), 3) AS pairwise, round(sum(exp(-margin)), 3) AS exponential, round(ln(sum(exp(-margin))), 6) AS log_exponential FROM margins", *_RANKER),
     "expected_f": _with("""SELECT round(2 * sum(p * n_matched) / sum(p * (n_test + n_gold)), 6) AS f FROM (
 SELECT *, e / sum(e) OVER (PARTITION BY sent_id) AS p FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY sent_id)) AS e FROM ranker))""", *_RANKER),
