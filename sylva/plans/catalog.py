@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.functions import text
-from sylva.operators import counting, features, losses, nbest, trees
+from sylva.functions import text, tokenizer
+from sylva.operators import counting, evaluation, features, losses, nbest, trees
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import ORACLES
 from sylva.sources import ptb
 from sylva.sources.tables import table
+from sylva.streaming import sentences as streams
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -391,3 +392,49 @@ def pairwise_loss(spark, sf):
 def expected_f(spark, sf):
     """K6: the model's expected f-score."""
     return losses.expected_fscore(_ranker_lists(spark, sf)).select(F.round("f", 6).alias("f"))
+
+
+@query
+def tokens_full(spark, sf):
+    """The full tokenizer (a kernel; no SQL)."""
+    return tokenizer.form_counts(tokenizer.tokenize_df(tb.sentences(spark, sf)))
+
+
+@query
+def independent_tags(spark, sf):
+    """Each word's likeliest tag without context."""
+    lexicon = tb.tokens(spark, sf).groupBy(F.lower("form").alias("word"), "tag").agg(F.count("*").alias("cnt"))
+    return lexicon.groupBy("word").agg(F.max(F.struct("cnt", "tag")).alias("b")).select("word", F.col("b.tag").alias("tag"), F.col("b.cnt").alias("cnt"))
+
+
+@query
+def event_windows(spark, sf):
+    """Extension of 2.O: hourly counts of events, the batch form of the streaming operator."""
+    return streams.windowed_counts(table(spark, sf, "events"))
+
+
+@query
+def class_ablation(spark, sf):
+    """The change of corpus f when a feature class is left out of the ranker."""
+    c = _spans(spark, sf, *tb.CANDIDATES)
+    values = features.heavy(c).unionAll(features.right_branch(c))
+    return evaluation.class_ablation(_scored(spark, sf), values, _weights(values)).select("cls", "n_features", F.round("fscore", 6).alias("fscore"))
+
+
+@query
+def beam_thresholds(spark, sf):
+    """Parses within a distance of the best score, by quarter steps."""
+    return evaluation.relative_beam(tb.nbest(spark, sf), 20)
+
+
+@query
+def score_histogram(spark, sf):
+    """F-scores of all candidates in 20 bins."""
+    return evaluation.histogram(_scored(spark, sf), "fscore", 0.0, 1.0, 20)
+
+
+@query
+def distinguishing_features(spark, sf):
+    """Features whose values differ between winners and losers."""
+    values = features.heavy(_spans(spark, sf, *tb.CANDIDATES))
+    return evaluation.distinguishing(losses.winners(_ranker_lists(spark, sf)), values).groupBy("feat").agg(F.count("*").alias("n"))

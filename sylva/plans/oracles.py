@@ -173,4 +173,18 @@ SELECT sent_id, feat, v, sum(g) AS g FROM (SELECT sent_id, feat, val AS v, 2 AS
     "pairwise_loss": _with("SELECT round(sum(ln(1 + exp(-margin))), 3) AS pairwise, round(sum(exp(-margin)), 3) AS exponential, round(ln(sum(exp(-margin))), 6) AS log_exponential FROM margins", *_RANKER),
     "expected_f": _with("""SELECT round(2 * sum(p * n_matched) / sum(p * (n_test + n_gold)), 6) AS f FROM (
 SELECT *, e / sum(e) OVER (PARTITION BY sent_id) AS p FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY sent_id)) AS e FROM ranker))""", *_RANKER),
+    "independent_tags": _with("SELECT word, tag, cnt FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cnt DESC, tag DESC) AS r FROM (SELECT lower(form) AS word, tag, count(*) AS cnt FROM tokens GROUP BY ALL)) WHERE r = 1"),
+    "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "class_ablation": _with("""SELECT cls, n_features, round(2 * sum(n_matched) / sum(n_gold + n_test), 6) AS fscore FROM (
+SELECT *, row_number() OVER (PARTITION BY sent_id, cls ORDER BY score DESC, logprob DESC, k) AS r FROM (
+SELECT s.*, x.cls, x.n_features, round(coalesce((SELECT sum(part) FROM parts p WHERE p.sent_id = s.sent_id AND p.k = s.k AND p.cls <> x.cls), 0), 9) AS score
+FROM scored s, (SELECT cls, count(DISTINCT feat) AS n_features FROM both_values GROUP BY cls UNION ALL SELECT '', count(*) FROM (SELECT DISTINCT cls, feat FROM both_values)) x)) WHERE r = 1 GROUP BY ALL""", *_SCORED, _HEAVY, _RIGHT,
+        "both_values AS (SELECT sent_id, k, cls, feat, val FROM heavy_values UNION ALL SELECT sent_id, k, 'RightBranch', feat, val FROM right_values)",
+        "parts AS (SELECT sent_id, k, cls, sum(val * ((length(feat) % 7 - 3) / 8.0)) AS part FROM both_values GROUP BY ALL)"),
+    "beam_thresholds": _with("""SELECT CAST(s AS INT) AS step, (SELECT count(*) FROM gaps WHERE gap <= s) AS parses FROM range(0, 21) AS r(s)""",
+        "gaps AS (SELECT ceil(round((max(logprob) OVER (PARTITION BY sent_id) - logprob) / 0.25, 6)) AS gap FROM nbest)"),
+    "score_histogram": _with("SELECT CAST(least(floor(fscore * 20), 20) + 1 AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY ALL", *_SCORED),
+    "distinguishing_features": _with("""SELECT feat, count(*) AS n FROM (SELECT sent_id, feat FROM (
+SELECT f.sent_id, f.feat, list_sort(list_distinct(list(coalesce(v.val, 0)) FILTER (w.p_gold > 0))) AS a, list_sort(list_distinct(list(coalesce(v.val, 0)) FILTER (w.p_gold = 0))) AS b
+FROM (SELECT DISTINCT sent_id, feat FROM heavy_values) f JOIN won w ON w.sent_id = f.sent_id LEFT JOIN heavy_values v ON v.sent_id = f.sent_id AND v.k = w.k AND v.feat = f.feat GROUP BY f.sent_id, f.feat) WHERE b IS NOT NULL AND a <> b) GROUP BY feat""", _HEAVY, *_RANKER),
 }
