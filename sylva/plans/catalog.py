@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions import text, tokenizer
-from sylva.operators import counting, evaluation, features, losses, nbest, trees
+from sylva.operators import counting, evaluation, features, losses, nbest, parser, trees
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import ORACLES
 from sylva.sources import ptb
@@ -438,3 +438,18 @@ def distinguishing_features(spark, sf):
     """Features whose values differ between winners and losers."""
     values = features.heavy(_spans(spark, sf, *tb.CANDIDATES))
     return evaluation.distinguishing(losses.winners(_ranker_lists(spark, sf)), values).groupBy("feat").agg(F.count("*").alias("n"))
+
+
+@query
+def parse_sentences(spark, sf):
+    """Grammar and lexicon from the gold trees, then the best parse of each sentence, by parent label."""
+    tokens = tb.tokens(spark, sf)
+    grammar = parser.train_grammar(ptb.read_nodes(tb.trees(spark, sf)))
+    parsed = parser.parse_df(parser.lattice(tokens, tokens), grammar)
+    return parsed.groupBy(F.col("logprob").isNotNull().alias("parsed"), F.least("n", F.lit(41)).alias("length")).agg(F.count("*").alias("n"), F.round(F.sum("logprob"), 3).alias("logprob"))
+
+
+@query
+def child_bigrams(spark, sf):
+    """H2: neighbouring children by parent label."""
+    return parser.child_bigrams(ptb.read_nodes(tb.trees(spark, sf)))

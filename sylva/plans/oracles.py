@@ -187,4 +187,8 @@ FROM scored s, (SELECT cls, count(DISTINCT feat) AS n_features FROM both_values
     "distinguishing_features": _with("""SELECT feat, count(*) AS n FROM (SELECT sent_id, feat FROM (
 SELECT f.sent_id, f.feat, list_sort(list_distinct(list(coalesce(v.val, 0)) FILTER (w.p_gold > 0))) AS a, list_sort(list_distinct(list(coalesce(v.val, 0)) FILTER (w.p_gold = 0))) AS b
 FROM (SELECT DISTINCT sent_id, feat FROM heavy_values) f JOIN won w ON w.sent_id = f.sent_id LEFT JOIN heavy_values v ON v.sent_id = f.sent_id AND v.k = w.k AND v.feat = f.feat GROUP BY f.sent_id, f.feat) WHERE b IS NOT NULL AND a <> b) GROUP BY feat""", _HEAVY, *_RANKER),
+    "child_bigrams": _with("""SELECT parent, a, b, count(*) AS cnt FROM (
+SELECT above AS parent, coalesce(lag(label) OVER w, '^') AS a, label AS b FROM kids WINDOW w AS (PARTITION BY sent_id, up ORDER BY node)
+UNION ALL SELECT above, max_by(label, node), '$' FROM kids GROUP BY sent_id, up, above) GROUP BY ALL""", _NODES,
+        "kids AS (SELECT c.sent_id, c.parent AS up, c.node, c.label, p.label AS above FROM nodes c JOIN nodes p ON p.sent_id = c.sent_id AND p.node = c.parent)"),
 }
