@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sylva.llm.licences import TEMPLATES
 from sylva.llm.quality import RULES, STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -43,7 +44,36 @@ q_judged AS (
   FROM q_counts)"""
 
 
+def _normal(text: str) -> str:
+    """Words of a normalised text; ASCII characters but letters, digits and line ends are spaces."""
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_replace({low}, '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]', ' ', 'g')"
+
+
+def _licence_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+    words = lambda text: f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
+    bigrams = "SELECT {0}, {1} AS n, w[i] || ' ' || w[i + 1] AS g, count(*) AS c FROM (SELECT *, unnest(range(1, len(w))) AS i FROM {2}) GROUP BY {0}, {1}, w[i], w[i + 1]"
+    return f"""WITH l_rows AS (SELECT row_number() OVER () AS rid, doc_id, {_normal("coalesce(text, '')")} AS t FROM documents),
+l_lines AS (SELECT rid, i, {words('x')} AS w FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM l_rows)),
+l_full AS (SELECT rid, i, w, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS p FROM l_lines WHERE len(w) > 0),
+l_parts AS (
+  SELECT rid, 'l' || i AS part, w FROM l_full
+  UNION ALL SELECT rid, 'p' || p, flatten(list(w ORDER BY i)) FROM l_full GROUP BY rid, p
+  UNION ALL SELECT rid, 'w', flatten(list(w ORDER BY i)) FROM l_full GROUP BY rid),
+l_templates AS (SELECT k, name, {words(_normal("t"))} AS w FROM (VALUES {rows}) AS v(k, name, t)),
+l_some AS (SELECT * FROM l_parts WHERE len(w) BETWEEN 2 AND 400),
+l_part_grams AS ({bigrams.format("rid, part", "len(w) - 1", "l_some")}),
+l_template_grams AS ({bigrams.format("k, name", "len(w) - 1", "l_templates")}),
+l_dice AS (SELECT a.rid, b.name, 2 * sum(least(a.c, b.c)) / (a.n + b.n) AS dice FROM l_part_grams a JOIN l_template_grams b USING (g) GROUP BY a.rid, a.part, b.k, b.name, a.n, b.n),
+l_best AS (SELECT rid, name, max(dice) AS dice FROM l_dice WHERE dice >= 0.8 - 1e-12 GROUP BY rid, name),
+l_first AS (SELECT rid, name, dice, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, name) AS r, string_agg(name, ',' ORDER BY name) OVER (PARTITION BY rid) AS licences FROM l_best)
+SELECT d.doc_id, f.name AS licence, round(f.dice, 9) AS dice, coalesce(f.licences, '') AS licences FROM l_rows d LEFT JOIN (SELECT * FROM l_first WHERE r = 1) f USING (rid)"""
+
+
 ORACLES = {
     "op10_quality_rules": f"""WITH {_quality_ctes()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND passed) AS kept FROM q_judged""",
+    # no part of over 400 words can reach the threshold: the longest template has under 80
+    "op9_licence_scan": _licence_sql(),
 }
