@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut
+from sylva.llm.common import cut, drop_cut
 from sylva.llm.components import components
 from sylva.llm.hashing import mix, shingles
 from sylva.llm.suffixes import distinct_texts, with_key
@@ -75,7 +75,9 @@ def candidate_stars(found: DataFrame, n: int, bands: int, rows: int) -> DataFram
 
     hashed = cut(found.select("rid", "z").mapInArrow(run, "h long, rid long"), "bands")
     least = hashed.groupBy("h").agg(F.min("rid").alias("b"), F.max("rid").alias("_max")).where("b < _max").select("h", "b")
-    return hashed.join(least, "h").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
+    stars = cut(hashed.join(least, "h").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), "stars")
+    drop_cut(hashed)
+    return stars
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -151,24 +153,34 @@ def _compare(rows: pa.Table, threshold: float, n: int) -> pa.Table:
 
 def links(found: DataFrame, threshold: float, n: int, recall: float, block: int = 1024) -> DataFrame:
     """(key, links, other): partial numbers of links, and forest edges where other is set."""
-    roots = cut(components(candidate_stars(found, n, *choose_bands(threshold, recall))), "candidates")
+    stars = candidate_stars(found, n, *choose_bands(threshold, recall))
+    roots = cut(components(stars), "candidates")
+    drop_cut(stars)
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m"))
     # a text is in a pair of blocks with each block of its component; small components have one block
     # merge: the candidates grow with the corpus, whatever a small one would allow
     dealt = found.join(roots.withColumnRenamed("node", "rid").hint("merge"), "rid").join(blocks, "root").select("root", "key", "n", "z", "m", F.expr("int(pmod(xxhash64(key), m))").alias("own"))
     dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, m - 1)"))).select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "key", "own", "n", "z")
-    return dealt.groupBy("root", "i", "j").applyInArrow(lambda rows: _compare(rows, threshold, n), "key binary, links long, other binary")
+    out = cut(dealt.groupBy("root", "i", "j").applyInArrow(lambda rows: _compare(rows, threshold, n), "key binary, links long, other binary"), "links")
+    drop_cut(roots)
+    return out
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keep columns of every row, _class (16 bytes, that all rows of a class share) and _links (rows linked to it)."""
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """_key (of a text), _class (a key, that all texts of a class share) and _links (rows linked to a row of that text)."""
     found = cut(distinct_texts(docs), "texts")
-    linked = cut(links(found, threshold, n, recall), "links")
+    linked = links(found, threshold, n, recall)
     root = components(linked.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("_key"), "root")
     number = linked.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     copies = found.select(F.col("key").alias("_key"), F.col("n").alias("_n")).join(number.withColumnRenamed("key", "_key"), "_key", "left").join(root, "_key", "left")
-    each = copies.select("_key", F.coalesce("root", "_key").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("_n") - 1).alias("_links"))
-    return with_key(docs, list(keep)).join(each, "_key").drop("_key")
+    out = cut(copies.select("_key", F.coalesce("root", "_key").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("_n") - 1).alias("_links")), "classes")
+    drop_cut(found, linked)
+    return out
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keep columns of every row, _class and _links."""
+    return with_key(docs, list(keep)).join(classes(docs, threshold, n, recall), "_key").drop("_key")
 
 
 def op6_jaccard_join(docs: DataFrame) -> DataFrame:
@@ -181,10 +193,10 @@ def op6_jaccard_join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """docs with one row of each class, that of the least doc_id (nulls last; of rows with equal doc_id, any one)."""
     names = [f"c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*names)
-    # a number for each row: rows are told apart even where all their values are equal
-    numbered = cut(rows.withColumn("_id", F.monotonically_increasing_id()), "rows")
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    judged = jaccard_join(numbered.select(F.col("_id").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), threshold, n, keep=("row", "doc_id"))
-    best = judged.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("_id"))
-    return numbered.join(best, "_id", "left_semi").select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names)
+    judged = with_key(rows, [doc_id], text).join(classes(rows.select(F.col(text).alias("text")), threshold, n), "_key")
+    best = judged.groupBy("_class").agg(F.min(F.struct(F.col(doc_id).isNull().alias("_none"), F.col(doc_id).alias("_least"), "_key")).alias("b")).select("b._key", "b._least")
+    # a class keeps one text; of the rows with that text and that doc_id one stays
+    kept = with_key(rows, names, text).join(best, "_key").where(F.col(doc_id).eqNullSafe(F.col("_least")))
+    return kept.dropDuplicates(["_key"]).select(*names).toDF(*docs.columns)

@@ -25,7 +25,7 @@ empty table gives an empty result. A text's windows and spans are in one task; n
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,12 @@ _PLACE = np.uint64((1 << 26) - 1)
 
 
 def content_key(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
+    """The first half of a text's SHA-256; key_column() is the same in Spark."""
+    return hashlib.sha256(raw).digest()[:16]
+
+
+def key_column(text: str) -> F.Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def _short(key: bytes) -> int:
@@ -352,7 +357,9 @@ def repeats(docs: DataFrame, least: int = 400, text: str = "text") -> tuple[Data
     block = -(-(least - tail + 1) // 3)
     found = cut(distinct_texts(docs, text), "texts")
     rows = cut(contexts(found, recurring_cores(found, least, tail, block), least), "suffixes")
-    spans = sorted_matches(rows, least).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    matches = sorted_matches(rows, least)
+    drop_cut(rows)
+    spans = matches.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return found, spans
 
 
@@ -379,20 +386,9 @@ def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Da
     return found.join(spans, "key", "left").select("key", "z", "n", "spans").mapInArrow(run, _RESULT)
 
 
-def _key_udf(text):
-    return pa.array([content_key((t.as_py() or "").encode()) for t in text], pa.binary())
-
-
 def with_key(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The columns and _key, the content's key of the text."""
-    fields = [docs.schema[c] for c in columns]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "`_key` binary"])
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _key_udf(batch.column(batch.num_columns - 1))], [*columns, "_key"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns], key_column(text).alias("_key"))
 
 
 def op7_suffix_dedup(docs: DataFrame, least: int = 400) -> DataFrame:
