@@ -59,7 +59,7 @@ class WordTokens:
         self.cut = regex.compile(chain["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = dict(enumerate(byte_letters()))
         self.pieces = Recent(self._pieces, 150_000)
-        self.words = Recent(self._words, 250_000)
+        self.words = Recent(self._words, 400_000)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         model, code, letters = self.library.model.tokenize, self.kind.char, self.letters
@@ -89,7 +89,7 @@ class WordTokens:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
         odd = {k for k, t in enumerate(texts) if any(c in t for c in _ODD)}
-        words = [[] if k in odd else t.split() for k, t in enumerate(texts)]
+        words = [[] if k in odd else (t.lower() if t.isascii() else t).split() for k, t in enumerate(texts)]
         self.words.fill(set().union(*words))
         get = self.words.__getitem__
         return [self._whole(texts[k]) if k in odd else b"".join(map(get, x)) for k, x in enumerate(words)]
