@@ -18,3 +18,17 @@ def test_perceptron(spark):
     values = spark.createDataFrame([(s, k, "good" if k == s % 2 else "bad", 1.0) for s in range(40) for k in (0, 1)], "sent_id long, k int, feat string, val double")
     w = perceptron.fit_perceptron(lists, values, epochs=2, parts=3)
     assert w["good"] > 0 > w["bad"]
+
+
+def test_pretty():
+    import pytest
+
+    from sylva.operators import pretty
+
+    tree = "(S1 (S (NP (DT the) (NN cat)) (VP (VB sat) (PP (IN on) (NP (DT the) (NN mat))))))"
+    text = pretty.pretty(tree, 40)
+    assert max(map(len, text.split("\n"))) <= 40 + 8 and " ".join(text.split()) == tree and text.count("\n") >= 2
+    assert pretty.pretty(tree, 200) == tree
+    for bad in ("(S (NP", "a) b", "(S a) (S b)"):
+        with pytest.raises(ValueError):
+            pretty.pretty(bad)
