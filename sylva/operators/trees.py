@@ -29,6 +29,19 @@ def crossing(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return ((a_start < b_start) & (b_start < a_end) & (a_end < b_end)) | ((b_start < a_start) & (a_start < b_end) & (b_end < a_end))
 
 
+def crossing_pairs(test: DataFrame, gold: DataFrame, key: str = "sent_id") -> DataFrame:
+    """test's columns and gold_start, gold_finish of each pair of spans that cross.
+
+    A crossing gold span begins or ends strictly inside the test span, so the join is on (key, place inside): its rows
+    grow with the widths of the spans, not with the pairs of a sentence.
+    """
+    places = test.where("finish - start > 1").withColumn("_at", F.explode(F.expr("sequence(start + 1, finish - 1)")))
+    g = gold.select(key, F.col("start").alias("gold_start"), F.col("finish").alias("gold_finish"))
+    begins = places.join(g.withColumn("_at", F.col("gold_start")), [key, "_at"]).where("gold_finish > finish")
+    ends = places.join(g.withColumn("_at", F.col("gold_finish")), [key, "_at"]).where("gold_start < start")
+    return begins.unionByName(ends).drop("_at")
+
+
 def matched_spans(gold: DataFrame, test: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, n_gold, n_test, n_matched: multiset intersection of labelled spans (start, finish, label) for each key."""
     bag = [*keys, "start", "finish", "label"]

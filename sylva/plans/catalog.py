@@ -163,11 +163,8 @@ def tree_diff(spark, sf):
 
 @query
 def crossing_spans(spark, sf):
-    """Spans of the second candidate that cross a gold span."""
-    g, t = _spans(spark, sf, tb.GOLD), _spans(spark, sf, 0)
-    g = g.select("sent_id", F.col("start").alias("gs"), F.col("finish").alias("gf"))
-    # only spans that share a gold span's last word can cross it: spans cover the sentence in order
-    hit = t.join(g, "sent_id").where(trees.crossing(F.col("gs"), F.col("gf"), F.col("start"), F.col("finish")))
+    """Spans of the first candidate that cross a gold span."""
+    hit = trees.crossing_pairs(_spans(spark, sf, 0), _spans(spark, sf, tb.GOLD))
     return hit.groupBy("label").agg(F.count("*").alias("n_crossing"), F.countDistinct("sent_id").alias("n_sentences"))
 
 

@@ -82,3 +82,12 @@ def test_log_linear_fit_prefers_the_winner(spark):
     values = spark.createDataFrame([(s, k, "good" if k == s % 2 else "bad", 1.0) for s in range(20) for k in (0, 1)], "sent_id long, k int, feat string, val double")
     weights, loss = losses.fit_log_linear(lists, values, ["good", "bad"], penalty=0.01, rounds=8)
     assert weights["good"] > 0 > weights["bad"] and loss < 20 * np.log(2)
+
+
+def test_crossing_pairs(spark):
+    import itertools
+
+    spans = [(1, a, b) for a, b in itertools.combinations(range(7), 2)]
+    df = spark.createDataFrame(spans, "sent_id long, start int, finish int")
+    got = sorted((r.start, r.finish, r.gold_start, r.gold_finish) for r in trees.crossing_pairs(df, df).collect())
+    assert got == sorted((a, b, c, d) for _, a, b in spans for _, c, d in spans if a < c < b < d or c < a < d < b)
