@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions import text, tokenizer
-from sylva.operators import counting, evaluation, features, fusion, losses, nbest, parser, trees
+from sylva.operators import counting, evaluation, features, fusion, interpolation, losses, nbest, parser, trees
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import ORACLES
 from sylva.sources import ptb
@@ -462,3 +462,11 @@ def fuse_trees(spark, sf):
     fused = fusion.fuse(top.unionAll(phrases).unionAll(leaves), tb.nbest(spark, sf))
     gold = tb.trees(spark, sf).select("sent_id", F.col("tree").alias("gold"))
     return fused.join(gold, "sent_id").groupBy((F.concat(F.lit("(S1 "), "tree", F.lit(")")) == F.col("gold")).alias("is_gold"), F.col("tree").isNull().alias("none")).agg(F.count("*").alias("n"))
+
+
+@query
+def lambda_em_pass(spark, sf):
+    """Interpolation weights by bucket after two passes."""
+    pairs = interpolation.paired_levels(counting.context_counts(_events(spark, sf), ["c1", "c2"], "y"))
+    first = {r.bucket: r.lam for r in interpolation.em_pass(pairs, {}).collect()}
+    return interpolation.em_pass(pairs, first).select("bucket", "n", F.round("lam", 6).alias("lam"))

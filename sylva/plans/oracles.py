@@ -191,4 +191,9 @@ FROM (SELECT DISTINCT sent_id, feat FROM heavy_values) f JOIN won w ON w.sent_id
 SELECT above AS parent, coalesce(lag(label) OVER w, '^') AS a, label AS b FROM kids WINDOW w AS (PARTITION BY sent_id, up ORDER BY node)
 UNION ALL SELECT above, max_by(label, node), '$' FROM kids GROUP BY sent_id, up, above) GROUP BY ALL""", _NODES,
         "kids AS (SELECT c.sent_id, c.parent AS up, c.node, c.label, p.label AS above FROM nodes c JOIN nodes p ON p.sent_id = c.sent_id AND p.node = c.parent)"),
+    "lambda_em_pass": _with("""SELECT bucket, CAST(sum(n) AS BIGINT) AS n, round(sum(n * lam1 * gh / (lam1 * gh + (1 - lam1) * gl)) / sum(n), 6) AS lam
+FROM pairs JOIN (SELECT bucket, sum(n * 0.5 * gh / (0.5 * gh + 0.5 * gl)) / sum(n) AS lam1 FROM pairs GROUP BY bucket) USING (bucket) GROUP BY bucket""", _EVENTS,
+        "e1 AS (SELECT c1, y, round(count(*) / sum(count(*)) OVER (PARTITION BY c1), 9) AS gl FROM events GROUP BY c1, y)",
+        "e2 AS (SELECT c1, c2, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY c1, c2) AS tot, round(count(*) / sum(count(*)) OVER (PARTITION BY c1, c2), 9) AS gh FROM events GROUP BY c1, c2, y)",
+        "pairs AS (SELECT CAST(" + _bucket.replace("n >", "tot / 10 >") + " AS INT) AS bucket, n, CAST(gh AS DOUBLE) AS gh, CAST(gl AS DOUBLE) AS gl FROM e2 JOIN e1 USING (c1, y))"),
 }
