@@ -443,7 +443,7 @@ def parse_sentences(spark, sf):
     tokens = tb.tokens(spark, sf)
     grammar = parser.train_grammar(ptb.read_nodes(tb.trees(spark, sf)))
     parsed = parser.parse_df(parser.lattice(tokens, tokens), grammar)
-    return parsed.groupBy(F.col("logprob").isNotNull().alias("parsed"), F.least("n", F.lit(41)).alias("length")).agg(F.count("*").alias("n"), F.round(F.sum("logprob"), 3).alias("logprob"))
+    return parsed.groupBy(F.col("logprob").isNotNull().alias("parsed"), F.least("n", F.lit(parser.MAX_LENGTH + 1)).alias("length")).agg(F.count("*").alias("n"), F.round(F.sum("logprob"), 3).alias("logprob"))
 
 
 @query

@@ -59,3 +59,38 @@ def test_train_and_parse(spark):
     assert {k: r.tree for k, r in parsed.items()} == {r.sent_id: r.tree for r in trees.collect()} and all(r.logprob < 0 for r in parsed.values())
     short = parser.parse_df(parser.lattice(tokens, tokens), g, max_length=3).where("sent_id = 2").first()
     assert short.logprob is None and short.tree == "(S1 (S (N dogs) (V saw) (D the) (N cat)))"
+
+
+def value_of(g, tree, tags):
+    """The score of a tree, node by node."""
+    at, words, stack = {x: k for k, x in enumerate(g.labels)}, iter(tags), [[]]
+    total = 0.0
+    for piece in tree.removeprefix("(S1 ").removesuffix(")").replace(")", " )").split():
+        if piece.startswith("("):
+            stack[-1].append(piece[1:])
+            stack.append([piece[1:]])
+        elif piece == ")":
+            label, *kids = stack.pop()
+            if kids:
+                path = [len(g.labels), *(at[k] for k in kids), len(g.labels)]
+                total += sum(g.steps[at[label], a, b] for a, b in itertools.pairwise(path))
+            else:
+                total += dict(next(words))[label]
+    return total
+
+
+def test_long_sentences(spark):
+    g, words = grammar(), {"d": [("D", -1.0)], "n": [("N", -2.0), ("V", -4.0)], "v": [("V", -1.5), ("N", -3.0)]}
+    rows = [(n, list(forms), [words[w] for w in forms]) for n in (41, 120, 399, 400) for forms in ["dn" + "n" * (n - 4) + "vn"]]
+    df = spark.createDataFrame(rows, "sent_id long, forms array<string>, tags array<array<struct<tag:string,p:double>>>")
+    got = {r.sent_id: r for r in parser.parse_df(df, g).collect()}
+    for n, _, tags in rows[:3]:
+        assert got[n].logprob is not None and abs(value_of(g, got[n].tree, tags) - got[n].logprob) < 1e-6
+    assert got[400].logprob is None
+
+
+def test_deep_unaries():
+    g = parser.Grammar(["A", "B", "C", "S", "T"], 4, np.full((4, 6, 6), -np.inf))
+    for p, b in [(3, 0), (0, 1), (1, 2), (2, 4)]:
+        g.steps[p, 5, b] = g.steps[p, b, 5] = -0.5
+    assert parser.parse(g, ["x"], [[("T", -1.0)]]) == (-5.0, "(S1 (S (A (B (C (T x))))))")
