@@ -204,23 +204,46 @@ def fingerprint_df(df: DataFrame, text: str = "text", out: str = "fingerprint",
     return df.mapInArrow(run, schema)
 
 
-def similar_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, band_bits: int = 20) -> DataFrame:
+def _keys(bits: np.ndarray, end: int, orders: list[np.ndarray], bands: int, band_bits: int, least: float) -> np.ndarray:
+    """The band keys of a fingerprint: each band of an octave takes the first live samples in an order of its own.
+
+    An octave with fewer live samples gives none, but for the first: there the bands of short texts are of half as many
+    bits, a quarter and so on; a text has all those that a text of a likeness of `least` could have, too.
+    """
+    out = []
+    for k in range(len(bits) // _SAMPLES):
+        live = int(np.searchsorted(sampled_steps(k), end))
+        order, part = orders[k], bits[k * _SAMPLES : (k + 1) * _SAMPLES].astype(np.int64)
+        for level in range(1 if k else band_bits.bit_length()):
+            n = band_bits >> level
+            if live < n or level and live * least >= 2 * n + 2:
+                continue
+            picks = order[order < live].reshape(bands, live)[:, :n]
+            place = (k * 64 + level) * bands + np.arange(bands)
+            out.append((place << band_bits) + (part[picks] << np.arange(n)).sum(axis=1))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def similar_pairs(prints: DataFrame, least: float = 0.8, bands: int = 32, band_bits: int = 24) -> DataFrame:
     """(a, b, likeness): different fingerprints linked to the first one of a common band, verified.
 
-    prints has a column fingerprint. Equal fingerprints are one. A band samples bits of the first octaves (all texts have
-    those they began). Each bucket is joined to its least member, so its size doesn't square.
+    prints has a column fingerprint. Equal fingerprints are one. Each octave that a text has gives `bands` bands: if the likeness
+    is at least `least`, that of one octave is. Each bucket is joined to its least member, so its size doesn't square.
     """
-    rng = np.random.default_rng(99)
-    picks = [np.sort(rng.choice(4 * _SAMPLES, band_bits, replace=False)) for _ in range(bands)]
 
     def band(batches):
+        orders: list[np.ndarray] = []
         for batch in batches:
             names, hashes = [], []
             for p in batch.column("fingerprint").to_pylist():
-                bits = np.pad(from_string(p)[0], (0, 4 * _SAMPLES))
-                names += [p] * bands
-                hashes += [k << 40 | int("".join(map(str, bits[pick])), 2) for k, pick in enumerate(picks)]
-            yield pa.RecordBatch.from_pydict({"h": pa.array(hashes, pa.int64()), "fingerprint": pa.array(names, pa.string())})
+                bits, end = from_string(p)
+                while len(orders) < len(bits) // _SAMPLES:
+                    rng = np.random.default_rng(99 + len(orders))
+                    orders.append(np.array([rng.permutation(_SAMPLES) for _ in range(bands)]))
+                keys = _keys(bits, end, orders, bands, band_bits, least)
+                names += [p] * len(keys)
+                hashes.append(keys)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hashes) if hashes else [], pa.int64()), "fingerprint": pa.array(names, pa.string())})
 
     def verify(batches):
         for batch in batches:

@@ -60,3 +60,30 @@ def test_op5(spark):
     assert e.op5_edit_fingerprints(df.limit(0)).count() == 0
     pairs = e.similar_pairs(e.fingerprint_df(df)).collect()
     assert all(r.likeness >= 0.8 and r.a != r.b for r in pairs)
+
+
+def prints_of(spark, texts):
+    return e.fingerprint_df(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+
+def brute_pairs(prints):
+    rows = [e._row(p) for p in sorted(set(prints))]
+    width = max(b.shape[1] for b, _ in rows)
+    bits, ends = np.concatenate([np.pad(b, ((0, 0), (0, width - b.shape[1]))) for b, _ in rows]), np.concatenate([n for _, n in rows])
+    names = sorted(set(prints))
+    for i, b in enumerate(names):
+        value = e.likeness(np.repeat(bits[i : i + 1], len(bits), 0), np.repeat(ends[i], len(ends)), bits, ends)
+        yield from ((names[j], b) for j in np.flatnonzero(value >= 0.8) if names[j] > b)
+
+
+def test_pairs_of_texts_with_other_beginnings(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(30):
+        t = make(12000, rng)
+        texts += [t, make(600, rng) + t[600:]]
+    prints = [r.fingerprint for r in prints_of(spark, texts).collect()]
+    want = set(brute_pairs(prints))
+    got = {(r.a, r.b) for r in e.similar_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()}
+    print("recall", len(got & want), len(want))
+    assert len(want) >= 15 and got <= want and len(got & want) >= 0.95 * len(want)
