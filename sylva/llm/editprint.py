@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut, partitions_for
+from sylva.llm.common import cut, drop_cut, partitions_for
 from sylva.llm.hashing import mix
 
 _SAMPLES, _BLOCK, _CLASSES = 128, 128, 64
@@ -224,37 +224,59 @@ def _keys(bits: np.ndarray, end: int, orders: list[np.ndarray], bands: int, band
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def similar_pairs(prints: DataFrame, least: float = 0.8, bands: int = 32, band_bits: int = 24) -> DataFrame:
-    """(a, b, likeness): different fingerprints linked to the first one of a common band, verified.
+def similar_pairs(prints: DataFrame, least: float = 0.8, bands: int = 32, band_bits: int = 24, block: int = 1024) -> DataFrame:
+    """(a, b, likeness): pairs of different fingerprints with a common band, a > b, verified.
 
     prints has a column fingerprint. Equal fingerprints are one. Each octave that a text has gives `bands` bands: if the likeness
-    is at least `least`, that of one octave is. Each bucket is joined to its least member, so its size doesn't square.
+    is at least `least`, that of one octave is. All members of a bucket are compared, in pairs of blocks of about `block`
+    members, so a large bucket is many join keys. Buckets join 64-bit numbers of fingerprints; a pair is verified once.
     """
 
     def band(batches):
         orders: list[np.ndarray] = []
         for batch in batches:
-            names, hashes = [], []
-            for p in batch.column("fingerprint").to_pylist():
-                bits, end = from_string(p)
-                while len(orders) < len(bits) // _SAMPLES:
-                    rng = np.random.default_rng(99 + len(orders))
-                    orders.append(np.array([rng.permutation(_SAMPLES) for _ in range(bands)]))
-                keys = _keys(bits, end, orders, bands, band_bits, least)
-                names += [p] * len(keys)
-                hashes.append(keys)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hashes) if hashes else [], pa.int64()), "fingerprint": pa.array(names, pa.string())})
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                ids, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, p in zip(part.column("id").to_pylist(), part.column("fingerprint").to_pylist(), strict=True):
+                    bits, end = from_string(p)
+                    while len(orders) < len(bits) // _SAMPLES:
+                        rng = np.random.default_rng(99 + len(orders))
+                        orders.append(np.array([rng.permutation(_SAMPLES) for _ in range(bands)]))
+                    hashes.append(_keys(bits, end, orders, bands, band_bits, least))
+                    ids.append(np.full(len(hashes[-1]), i))
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hashes), pa.int64()), "id": pa.array(np.concatenate(ids), pa.int64())})
 
     def verify(batches):
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in "ab")
-            value = [float(likeness(*_row(x), *_row(y))[0]) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], ["a", "b", "likeness"])
-
-    hashed = cut(prints.select("fingerprint").distinct().mapInArrow(band, "h long, fingerprint string"), "bands")
-    first = hashed.groupBy("h").agg(F.min("fingerprint").alias("b"))
-    pairs = hashed.join(first, "h").where("fingerprint <> b").select(F.col("fingerprint").alias("a"), "b").distinct()
-    return pairs.mapInArrow(verify, "a string, b string, likeness double").where(F.col("likeness") >= least)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                value = likeness(*_rows(part.column("a").to_pylist()), *_rows(part.column("b").to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], ["a", "b", "likeness"])
+
+    # ids are written before they are used: a repeated task can't deal others
+    own = cut(prints.select("fingerprint").where("fingerprint IS NOT NULL").distinct().select(F.monotonically_increasing_id().alias("id"), "fingerprint"), "prints")
+    hashed = cut(own.mapInArrow(band, "h long, id long"), "bands")
+    blocks = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("m"))
+    dealt = hashed.join(blocks, "h").withColumn("own", F.expr("int(pmod(xxhash64(id), m))")).withColumn("with", F.explode(F.expr("sequence(0, m - 1)")))
+    dealt = cut(dealt.select("h", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id"), "blocks")
+    drop_cut(hashed)
+    other = dealt.select("h", "i", "j", F.col("own").alias("other"), F.col("id").alias("y"))
+    # the members of one block meet in the pair of the block with itself alone; merge: buckets grow with the table
+    pairs = dealt.join(other.hint("merge"), ["h", "i", "j"]).where("id < y AND (i = j OR own <> other)").select(F.col("id").alias("x"), "y").distinct()
+    pairs = cut(pairs, "pairs")
+    drop_cut(dealt)
+    named = pairs.join(own.select(F.col("id").alias("x"), F.col("fingerprint").alias("p")).hint("merge"), "x").join(own.select(F.col("id").alias("y"), F.col("fingerprint").alias("q")).hint("merge"), "y")
+    named = named.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
+    return named.mapInArrow(verify, "a string, b string, likeness double").where(F.col("likeness") >= least)
+
+
+def _rows(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    read = [from_string(p) for p in prints]
+    bits = np.zeros((len(read), max(len(b) for b, _ in read)), np.uint8)
+    for row, (b, _) in zip(bits, read, strict=True):
+        row[: len(b)] = b
+    return bits, np.array([end for _, end in read])
 
 
 def _row(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:

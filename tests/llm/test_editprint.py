@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from sylva.llm import editprint as e
 
@@ -87,3 +88,21 @@ def test_pairs_of_texts_with_other_beginnings(spark):
     got = {(r.a, r.b) for r in e.similar_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string")).collect()}
     print("recall", len(got & want), len(want))
     assert len(want) >= 15 and got <= want and len(got & want) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_all_pairs_of_groups(spark, block):
+    rng = random.Random(8)
+    texts = ["", "a", "ab", *(make(n, rng) for n in (5, 9, 14, 18, 40))]
+    for n in (6, 15, 40, 300, 2500):  # all begin alike, so that a bucket holds several groups
+        head = make(n // 2, rng)
+        for _ in range(3):
+            t = head + make(n - n // 2, rng)
+            for _ in range(6):
+                at = rng.randrange(n)
+                texts.append(t[:at] + rng.choice("abcdefgh") + t[at + 1 :])
+    prints = [r.fingerprint for r in prints_of(spark, texts).collect()]
+    want = set(brute_pairs(prints))
+    got = [(r.a, r.b) for r in e.similar_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), block=block).collect()]
+    print("recall", len(set(got) & want), len(want))
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
