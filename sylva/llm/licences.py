@@ -6,6 +6,9 @@ of common bigrams (with their multiplicity) over the sum of both numbers. A part
 small or too large to reach the threshold with a template is not compared with it. A template's rarer bigrams, of
 which a part that reaches the threshold must hold at least one, are looked for first, all in one pass.
 
+With windows, as in the query, every run of words is a part, in a line or across lines, so a notice inside a longer
+line is found. Runs are scored around the bigrams that were found only, at every start, up to the length that can match.
+
 A null or empty text has no match. Templates of one word have no bigram and can't match. Ties go to the template that
 comes first by name. Repeated rows are judged each; an empty table gives an empty result; extra columns aren't read.
 """
@@ -73,11 +76,13 @@ class Scanner:
         self.low = min((t[2] for t in self.templates), default=0)
         self.high = max((t[3] for t in self.templates), default=-1)
         self.find = ahocorasick.Automaton()
-        for _, grams, *_ in self.templates:
+        self.sought: dict[tuple[bytes, bytes], list[int]] = {}  # bigrams that are looked for, and whose they are
+        for k, (_, grams, *_) in enumerate(self.templates):
             # a part at the threshold holds least / (2 - least) of the template; so many of the rest must be looked for
             spare = grams.total() - ceil(grams.total() * least / (2 - least) - 1e-9)
             for a, b in sorted(grams, key=lambda g: (every[g], -len(g[0] + g[1]), g)):
                 self.find.add_word(f" {a.decode('latin-1')} {b.decode('latin-1')} ", True)
+                self.sought.setdefault((a, b), []).append(k)
                 spare -= grams[a, b]
                 if spare < 0:
                     break
@@ -95,8 +100,38 @@ class Scanner:
                 if value >= self.least - 1e-12 and value > out.get(name, 0.0):
                     out[name] = value
 
-    def scan(self, text: str) -> dict[str, float]:
-        """The best Dice coefficient of each licence that a part of the text matches."""
+    def _match_windows(self, words: list[bytes], out: dict[str, float]) -> None:
+        """The best run of words anywhere, for each template that has a bigram it is looked for by.
+
+        A run that reaches the threshold holds such a bigram, and the best run begins and ends with bigrams of the template.
+        """
+        grams = list(zip(words, words[1:], strict=False))
+        hits: dict[int, list[int]] = {}
+        for at, g in enumerate(grams):
+            for k in self.sought.get(g, ()):
+                hits.setdefault(k, []).append(at)
+        for k, places in hits.items():
+            name, template, low, high = self.templates[k]
+            total, done = template.total(), 0
+            for at in places:
+                first, done = max(at - high + 1, done), max(done, at + 1)  # runs from a start before are those of an earlier hit
+                own = [i for i in range(first, min(at + high, len(grams))) if grams[i] in template]
+                for nth, start in enumerate(own):
+                    if start > at or len(own) - nth < low:
+                        break
+                    seen: Counter = Counter()
+                    common = 0
+                    for i in own[nth:]:
+                        if i - start >= high:
+                            break
+                        seen[grams[i]] += 1
+                        common += seen[grams[i]] <= template[grams[i]]
+                        value = 2 * common / (i - start + 1 + total)
+                        if value >= self.least - 1e-12 and value > out.get(name, 0.0):
+                            out[name] = value
+
+    def scan(self, text: str, windows: bool = False) -> dict[str, float]:
+        """The best Dice coefficient of each licence that a part of the text matches, or with windows any run of words."""
         out: dict[str, float] = {}
         if not text or not self.templates:
             return out
@@ -105,6 +140,9 @@ class Scanner:
         whole = f" {b' '.join(filter(None, lines)).decode('latin-1')} "
         if not any(True for _ in self.find.iter(whole)):
             return out
+        if windows:  # parts are runs, too
+            self._match_windows([w for line in lines if line for w in line.split(b" ")], out)
+            return out
         paragraphs: list[list[bytes]] = [[]]
         for line in lines:
             if line:
@@ -125,14 +163,14 @@ def _scanner(templates, least: float) -> Scanner:
     return Scanner(templates, least)
 
 
-def scan_licences(docs: DataFrame, templates=TEMPLATES, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+def scan_licences(docs: DataFrame, templates=TEMPLATES, least: float = 0.8, key: str = "doc_id", windows: bool = False) -> DataFrame:
     """key, licence (the best match, null for none), dice, and matches: all licences found, as a map to their dice."""
 
     def run(batches):
         own = _scanner(templates, least)
         for batch in batches:
             for part, ts in texts(batch):
-                found = [own.scan(t) for t in ts]
+                found = [own.scan(t, windows) for t in ts]
                 best = [min(m, key=lambda k: (-m[k], k)) if m else None for m in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(best, pa.string()), pa.array([m[b] if b else None for m, b in zip(found, best, strict=True)], pa.float64()), pa.array([sorted(m.items()) for m in found], pa.map_(pa.string(), pa.float64()))],
@@ -143,7 +181,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, least: float = 0.8, key:
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, licence string, dice double, matches map<string,double>")
 
 
-def op9_licence_scan(docs: DataFrame) -> DataFrame:
+def op9_licence_scan(docs: DataFrame, windows: bool = False) -> DataFrame:
     """doc_id, licence, dice (9 decimals) and all licences found, joined by commas, of each row."""
-    found = scan_licences(docs)
+    found = scan_licences(docs, windows=windows)
     return found.select("doc_id", "licence", F.round("dice", 9).alias("dice"), F.array_join(F.array_sort(F.map_keys("matches")), ",").alias("licences"))

@@ -54,7 +54,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.op9_licence_scan(table(spark, sf_dir, "documents"))
+    return licences.op9_licence_scan(table(spark, sf_dir, "documents"), windows=True)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

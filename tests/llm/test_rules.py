@@ -120,3 +120,34 @@ def test_op9(spark):
         want = brute_licences(t)
         assert got[k].licences == ",".join(sorted(want)) and (got[k].dice is None) == (not want)
     assert licences.op9_licence_scan(df.limit(0)).count() == 0
+
+
+def brute_windows(text):
+    words, out = [w for x in licences.normal_lines(text) for w in x.split()], {}
+    for name, template in licences.TEMPLATES:
+        grams = licences.bigrams(b" ".join(licences.normal_lines(template)).split())
+        for a in range(len(words)):
+            for b in range(a + 2, min(len(words), a + 2 + 3 * grams.total() // 2) + 1):
+                value = licences.dice(licences.bigrams(words[a:b]), grams)
+                if value >= 0.8 - 1e-12:
+                    out[name] = max(value, out.get(name, 0.0))
+    return out
+
+
+def test_notices_inside_lines(spark, tmp_path):
+    from sylva.llm.queries import QUERIES
+
+    rng = random.Random(3)
+    prose = "we say that this page of the work is licensed to us under many a License and by MIT".split()
+    texts = ["This project is released under the MIT License.", "This work is licensed under a Creative Commons Attribution 4.0 International License. " + " ".join(prose[:10])]
+    for _, template in [t for t in licences.TEMPLATES if len(t[1].split()) < 25]:
+        for _ in range(2):
+            w = template.split()
+            w[rng.randrange(len(w))] = rng.choice(prose)
+            texts.append(" ".join([*rng.sample(prose, 8), *w, *rng.sample(prose, 5), *rng.choice([[], w])]).replace(" License ", rng.choice(["\n\nLicense ", " License "])))
+    want = [brute_windows(t) for t in texts]
+    scanner = licences.Scanner()
+    assert [scanner.scan(t, windows=True) for t in texts] == want and want[0] == {"MIT": 1.0} and want[1]["CC-BY-4.0"] == 1.0
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op9_licence_scan"](spark, str(tmp_path)).collect()}
+    assert [got[k].licences for k in range(len(texts))] == [",".join(sorted(x)) for x in want]
