@@ -33,6 +33,8 @@ from sylva.llm.recent import Recent
 
 #: White space to Python's split() that is not white space to the tokenizer's pattern.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: Characters that NFC makes ASCII, so that an added token can come of them.
+_TO_ASCII = "\u037e\u1fef\u212a"
 #: Characters whose composed and lower-case forms don't depend on their neighbours or on the library's Unicode version.
 _PLAIN = re.compile("[!-\u012f\u0131-\u024f]+").fullmatch
 
@@ -41,7 +43,8 @@ class WordTokens:
     """Ids of the tokenizers library. Its pieces never cross white space, so each different word is encoded once.
 
     A word of plain characters is lowered and cut here by the tokenizer's own pattern, and the library's model gets
-    each different piece; any other word goes through the library's whole chain.
+    each different piece; any other word goes through the library's whole chain, and so do whole texts that may hold
+    one of the vocabulary's added tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,10 +52,12 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             chain = json.load(f)
+        added = chain.get("added_tokens", [])
+        self.added = [x["content"] for x in added if not x["normalized"]]
+        self.added_normal = [x["content"].lower() for x in added if x["normalized"]]
         steps = [x["type"] for part in ("normalizer", "pre_tokenizer") for x in chain[part].get("normalizers", chain[part].get("pretokenizers", []))]
         if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
             raise ValueError(f"a chain that this class doesn't know: {steps}")
@@ -86,9 +91,18 @@ class WordTokens:
     def _whole(self, text: str) -> bytes:
         return array(self.kind.char, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _has_added(self, text: str) -> bool:
+        """Whether the library may find an added token, in the text or in what its normaliser makes of it."""
+        if any(x in text for x in self.added):
+            return True
+        if not self.added_normal:
+            return False
+        low = text.lower()
+        return any(x in low for x in self.added_normal) or any(c in text for c in _TO_ASCII)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        odd = {k for k, t in enumerate(texts) if any(c in t for c in _ODD)}
+        odd = {k for k, t in enumerate(texts) if any(c in t for c in _ODD) or self._has_added(t)}
         words = [[] if k in odd else (t.lower() if t.isascii() else t).split() for k, t in enumerate(texts)]
         self.words.fill(set().union(*words))
         get = self.words.__getitem__

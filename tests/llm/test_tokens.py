@@ -68,6 +68,17 @@ def test_words_equal_the_library():
         assert np.frombuffer(raw, w.kind).tolist() == w.library.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    library, w = Tokenizer.from_file(WORDS), tokenfile.WordTokens(WORDS)
+    ends = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|endof text|>"]
+    texts = [f"{a}{e}{b}" for e in ends for a in ("", "hello ", "x", "é  ", "Don't\n") for b in ("", " world", "y.", "\u0338 z", f" {ends[0]}{e}")] + odd_texts()
+    for t, raw in zip(texts, w.encode_all(texts), strict=True):
+        assert np.frombuffer(raw, w.kind).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(w.encode("hello <|endoftext|> world"), w.kind).tolist() == [3306, 49407, 1002]
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 200])
 def test_op4_files(spark, part_bytes):
     rng = random.Random(3)
