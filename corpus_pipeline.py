@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sylva.llm import jaccard, packing, quality, suffixes
 from sylva.llm.common import cut, table
 
-#: A passage of over 50 words is longer than this many bytes.
+#: Most passages of over 50 words are longer than this many bytes; those of very short words aren't, and stay.
 PASSAGE_BYTES = 200
 
 
