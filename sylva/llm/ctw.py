@@ -94,7 +94,7 @@ class Shard:
         return np.concatenate(keys), np.concatenate(logs)
 
     def log_probabilities(self, low: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Natural log of P(x | context) for each gram; low is from low_tables()."""
+        """Natural log of P(x | context) for each gram; low is from low_tables(), and reaches to depth top - 1."""
         out = np.zeros(len(self.keys))
         shift = np.uint64(8 * (self.depth + 1 - self.top))
         context = (self.keys >> shift).astype(np.int64)
@@ -108,33 +108,40 @@ class Shard:
                 p = kt if d == self.depth else stay * kt + (1 - stay) * p
             q = x >> (8 - level) | 1 << level
             for d in range(self.top - 1, -1, -1):
-                at = (context >> 8 * (self.top - d)) * 256 + q
-                stay, p1 = low[d][0][at], low[d][1][at]
+                upper = context >> 8 * (self.top - d)
+                stay, p1, place = low[d]
+                at = (upper if place is None else place[upper]) * 256 + q
+                stay, p1 = stay[at], p1[at]
                 p = stay * np.where(one, p1, 1 - p1) + (1 - stay) * p
             out += np.log(p)
         return out
 
 
-def low_tables(counts: np.ndarray, tops: np.ndarray, top: int = 2):
-    """The shallow contexts, which all shards share: for depth 0 to top - 1 the weight s and KT's probability of a one.
+def _tables(byte: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts' log Pw by node, weight s and KT's probability of a one, of their counts by byte and children's sums by node."""
+    n = np.zeros((len(byte), 512))
+    n[:, 256:] = byte
+    for q in range(255, 0, -1):
+        n[:, q] = n[:, 2 * q] + n[:, 2 * q + 1]
+    n0, n1 = np.zeros((len(byte), 256)), np.zeros((len(byte), 256))
+    n0[:, 1:], n1[:, 1:] = n[:, 2:512:2], n[:, 3:512:2]
+    pe = log_kt(n0, n1)
+    pw = np.logaddexp(pe, below) - np.log(2)
+    return pw, np.exp(pe - pw - np.log(2)).ravel(), ((n1 + 0.5) / (n0 + n1 + 1.0)).ravel()
 
-    counts: training counts by (context of top - 1 bytes, byte), dense; tops: sums of log Pw over the contexts of `top`
-    bytes, by (context of top - 1 bytes, node), dense. Both have 256 ** top entries.
+
+def low_tables(counts: np.ndarray, tops: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, heavy_tops: np.ndarray):
+    """The shallow contexts, which shards share: for depth 0 to 2 the weight s, KT's probability of a one, and places.
+
+    counts: training counts by (nearest byte, byte); tops: sums by (nearest byte, node) of log Pw over those contexts of
+    two bytes that aren't split. heavy: the split contexts of two bytes; heavy_counts and heavy_tops: the same
+    for (place in heavy, byte or node), the sums over contexts of three bytes.
     """
-    out: list = [None] * top
-    below = tops.reshape(-1, 256)
-    byte = counts.reshape(-1, 256).astype(np.float64)
-    for d in range(top - 1, -1, -1):
-        if d < top - 1:
-            byte = byte.reshape(-1, 256, 256).sum(axis=1)
-            below = pw.reshape(-1, 256, 256).sum(axis=1)  # noqa: F821
-        n = np.zeros((len(byte), 512))
-        n[:, 256:] = byte
-        for q in range(255, 0, -1):
-            n[:, q] = n[:, 2 * q] + n[:, 2 * q + 1]
-        n0, n1 = np.zeros((len(byte), 256)), np.zeros((len(byte), 256))
-        n0[:, 1:], n1[:, 1:] = n[:, 2:512:2], n[:, 3:512:2]
-        pe = log_kt(n0, n1)
-        pw = np.logaddexp(pe, below) - np.log(2)
-        out[d] = (np.exp(pe - pw - np.log(2)).ravel(), ((n1 + 0.5) / (n0 + n1 + 1.0)).ravel())
-    return tuple(out)
+    below, byte = tops.reshape(256, 256).copy(), counts.reshape(256, 256).astype(np.float64)
+    pw, *two = _tables(heavy_counts.reshape(-1, 256).astype(np.float64), heavy_tops.reshape(-1, 256))
+    np.add.at(below, heavy >> 8, pw)
+    place = np.zeros(1 << 16, np.int64)
+    place[heavy] = np.arange(len(heavy))
+    pw, *one = _tables(byte, below)
+    _, *none = _tables(byte.sum(axis=0, keepdims=True), pw.sum(axis=0, keepdims=True))
+    return (*none, None), (*one, None), (*two, place)

@@ -1,16 +1,17 @@
 """Language-model scores of all texts: context-tree weighting of bytes, and a unigram word model as the base.
 
-Nothing of the model is collected or broadcast but what has a fixed size (256 * 256 entries for the contexts under two
-bytes, and three totals). Texts are taken in blocks of some MB where they are read. A block asks for its different
-byte strings of depth + 1 (grams) and its different words, with its training counts of them; requests are sorted
-by the last two context bytes (words: by hash) into shards. A shard adds up the counts of all blocks, weights its
-context trees and answers each block; a block's answers and texts then meet once more. So what moves is a block's
-vocabulary, not its text length, there is no hot key (a frequent gram is one row of a block), and the model grows
-with the corpus.
+Nothing of the model is collected or broadcast but what has a fixed size (65,536 entries for the contexts under two
+bytes, 256 for each of at most 1024 heavy contexts of two bytes, and three totals). Texts are taken in blocks of some MB
+where they are read. A block asks for its different byte strings of depth + 1 (grams) and its different words, with its
+training counts of them; requests go to shards by the last two context bytes (words: by hash). The number of shards
+grows with the texts' bytes, and a pair of bytes that takes more than half a shard's share is heavy: its grams are dealt
+by three bytes. A shard adds up the counts of all blocks, weights its context trees and answers each block; a block's
+answers and texts then meet once more. So what moves is a block's vocabulary, not its text length (a frequent gram
+is one entry of a block), and the model grows with the corpus.
 
 Rows whose crc32(doc_id as text) leaves 1 modulo 5 are held out of the counts. The score is the log10 probability of
 the text's UTF-8 bytes, A-Z lowered, and one end symbol (byte FF, which UTF-8 never has; FF also stands before the
-text). Words are told apart by a 64-bit hash. A null text is empty, a null doc_id counts as "" (training). Repeated
+text). Words are told apart by a 64-bit hash. Grams of a very long text are made piece by piece. A null text is empty, a null doc_id counts as "" (training). Repeated
 rows are scored each and counted each; an empty table gives an empty result; without training rows every base
 probability is 1 and every bit costs one half. Extra columns aren't read.
 """
@@ -51,65 +52,92 @@ def _undeltas(blob: bytes) -> np.ndarray:
     return np.cumsum(unplanes(blob, "<u8"), dtype=np.uint64)
 
 
-def _shard_of(keys: np.ndarray, kind: str, depth: int, shards: int) -> np.ndarray:
-    context = keys >> np.uint64(8 * (depth + 1 - _TOP)) if kind == "g" else keys
+def _shard_of(keys: np.ndarray, kind: str, depth: int, shards: int, heavy: np.ndarray) -> np.ndarray:
+    context = keys
+    if kind == "g":
+        two = keys >> np.uint64(8 * (depth + 1 - _TOP))
+        split = np.isin(two, heavy.astype(np.uint64))
+        context = two << np.uint64(9)
+        context[split] |= keys[split] >> np.uint64(8 * (depth - _TOP)) & np.uint64(255) | np.uint64(256)
     return (mix(context + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
 
 
-def _chunks(raws: list[bytes], size: int = 2 << 20):
-    """Ranges of texts of about size bytes."""
-    a, n = 0, 0
+def _chunks(raws: list[bytes], kind: str, size: int = 2 << 20):
+    """Lists of pieces (text, begin, end) of about size bytes; a long text is cut for grams, and stays whole for words."""
+    out, n = [], 0
     for k, raw in enumerate(raws):
-        n += len(raw)
-        if n >= size:
-            yield a, k + 1
-            a, n = k + 1, 0
-    if a < len(raws):
-        yield a, len(raws)
-
-
-def _coded(raws: list[bytes], kind: str, depth: int):
-    """For chunks of texts: range, texts' lengths in units, units' codes (int32), and the different units."""
-    for a, b in _chunks(raws):
-        if kind == "g":
-            # end symbols before a text make it independent of the text before it
-            joined = b"".join(_END * depth + raw + _END for raw in raws[a:b])
-            all_grams = ctw.grams(joined, depth)
-            sizes = np.array([len(raw) + 1 for raw in raws[a:b]])
-            ends = np.cumsum(sizes + depth)
-            keep = np.ones(len(all_grams), bool)
-            for k in range(depth):
-                keep[ends - sizes - depth + k] = False
-            units = all_grams[keep]
-        else:
-            each = [word_hashes(raw) for raw in raws[a:b]]
-            sizes, units = np.array([len(x) for x in each]), np.concatenate(each)
-        codes, different = pd.factorize(units)
-        yield (a, b), sizes, codes.astype(np.int32), different
-
-
-def _merged(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        step = size if kind == "g" else len(raw) + 1
+        for begin in range(0, len(raw) + 1, step):  # the end symbol may be a piece
+            out.append((k, begin, min(begin + step, len(raw) + 1)))
+            n += out[-1][2] - begin
+            if n >= size:
+                yield out
+                out, n = [], 0
+    if out:
+        yield out
+
+
+def _units(raws: list[bytes], pieces: list[tuple[int, int, int]], kind: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces' lengths in units, and their units (grams or word hashes) one piece after the other."""
+    if kind == "w":
+        each = [word_hashes(raws[k]) for k, *_ in pieces]
+        return np.array([len(x) for x in each], np.int64), np.concatenate(each)
+    # a piece comes after the bytes before it; end symbols before a text make it independent of the text before it
+    joined = b"".join(raws[k][max(0, a - depth) : a].rjust(depth, _END) + raws[k][a:b] + (_END if b > len(raws[k]) else b"") for k, a, b in pieces)
+    sizes = np.array([b - a for _, a, b in pieces], np.int64)
+    every, ends = ctw.grams(joined, depth), np.cumsum(sizes + depth)
+    keep = np.ones(len(every), bool)
+    for k in range(depth):
+        keep[ends - sizes - depth + k] = False
+    return sizes, every[keep]
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values in a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _counted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different units, sorted, and how often each occurs. Sorts units in place."""
+    units.sort()
+    starts = _runs(units)
+    return units[starts], np.diff(starts, append=len(units)).astype(np.int32)
+
+
+def _merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted tables of units and counts as one."""
+    if not len(one[0]) or not len(two[0]):
+        return two if not len(one[0]) else one
+    keys, counts = np.concatenate((one[0], two[0])), np.concatenate((one[1], two[1]))
+    order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+    keys, counts = keys[order], counts[order]
+    starts = _runs(keys)
+    return keys[starts], np.add.reduceat(counts, starts, dtype=np.int32)
 
 
 def block_requests(raws: list[bytes], train: np.ndarray, kind: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's different grams or words, sorted, and their counts in its training texts."""
-    keys, counts = [], []
-    for (a, b), sizes, codes, different in _coded(raws, kind, depth):
-        used = np.repeat(train[a:b], sizes)
-        keys.append(different)
-        counts.append(np.bincount(codes[used], minlength=len(different)))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(back, np.concatenate(counts), len(every)).astype(np.int64)
+    stack: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []  # chunks' tables; equal ranks are merged as they come
+    for pieces in _chunks(raws, kind):
+        sizes, units = _units(raws, pieces, kind, depth)
+        used = np.repeat(train[[k for k, *_ in pieces]], sizes)
+        held_out, table = _counted(units[~used])[0], _counted(units[used])
+        del units, used
+        rank, table = 0, _merged(table, (held_out, np.zeros(len(held_out), np.int32)))
+        while stack and stack[-1][0] == rank:
+            rank, table = rank + 1, _merged(stack.pop()[1], table)
+        stack.append((rank, table))
+    table = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    while stack:
+        table = _merged(stack.pop()[1], table)
+    return table
 
 
 def _lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()  # bytes: A-Z alone
 
 
-def _blocks(docs: DataFrame, depth: int, shards: int, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, depth: int, shards: int, heavy: np.ndarray, block_bytes: int) -> DataFrame:
     """Rows of two kinds: a text (block, doc_id, held_out, z), and a block's requests to a shard (what, shard, keys, counts)."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"what string, block long, doc_id {doc_type}, held_out boolean, shard int, a binary, b binary"
@@ -125,7 +153,7 @@ def _blocks(docs: DataFrame, depth: int, shards: int, block_bytes: int) -> DataF
             none = pa.nulls(1, ids[0].type)
             for kind in "gw":
                 keys, counts = block_requests(raws, ~np.array(held, bool), kind, depth)
-                shard = _shard_of(keys, kind, depth, shards)
+                shard = _shard_of(keys, kind, depth, shards, heavy)
                 order = np.argsort(shard, kind="stable")
                 edges = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(edges)).tolist():
@@ -159,33 +187,53 @@ def _sum_requests(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return each, keys, np.bincount(back, counts, len(keys)).astype(np.int64)
 
 
-def _tops(requests: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the shallow contexts need of all shards: counts by (c1, byte) and sums of log Pw by (c1, node)."""
+def _shard_trees(keys: np.ndarray, counts: np.ndarray, depth: int, heavy: np.ndarray):
+    """A shard's grams that aren't of heavy contexts, and those that are: (their places, trees, bytes of the trees' tops)."""
+    split = np.isin(keys >> np.uint64(8 * (depth + 1 - _TOP)), heavy.astype(np.uint64))
+    for at, top in ((~split, _TOP), (split, _TOP + 1)):
+        if at.any():
+            yield at, ctw.Shard(keys[at], counts[at], depth, top), top
+
+
+def _low(requests: DataFrame, depth: int, heavy: np.ndarray):
+    """The shallow contexts' tables, of sums over all shards: counts by (context, byte) and log Pw by (context, node)."""
 
     def run(rows: pa.Table) -> pa.Table:
         _, keys, counts = _sum_requests(rows)
-        at, logs = ctw.Shard(keys, counts, depth, _TOP).tops()
-        at = (at >> np.uint64(16) << np.uint64(8) | at & np.uint64(255)).astype(np.int64)
-        pair = (keys >> np.uint64(8 * depth) << np.uint64(8) | keys & np.uint64(255)).astype(np.int64)
-        logs, counts = np.bincount(at, logs, 1 << 16), np.bincount(pair, counts, 1 << 16)
-        some = np.flatnonzero((logs != 0) | (counts != 0))
-        return pa.Table.from_pydict({"at": pa.array(some, pa.int32()), "logs": pa.array(logs[some]), "counts": pa.array(counts[some].astype(np.int64))})
+        logs, times = np.zeros((256 + len(heavy)) << 8), np.zeros((256 + len(heavy)) << 8, np.int64)
+        two, x = (keys >> np.uint64(8 * (depth - 1))).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
+        np.add.at(times, two >> 8 << 8 | x, counts)
+        place = np.zeros(1 << 16, np.int64)
+        place[heavy] = np.arange(len(heavy)) + 256
+        for split, tree, top in _shard_trees(keys, counts, depth, heavy):
+            at, sums = tree.tops()
+            context, node = (at >> np.uint64(8)).astype(np.int64), (at & np.uint64(255)).astype(np.int64)
+            if top == _TOP:
+                np.add.at(logs, context >> 8 << 8 | node, sums)
+            else:
+                np.add.at(logs, place[context >> 8] << 8 | node, sums)
+                np.add.at(times, place[two[split]] << 8 | x[split], counts[split])
+        some = np.flatnonzero((logs != 0) | (times != 0))
+        return pa.Table.from_pydict({"at": pa.array(some, pa.int32()), "logs": pa.array(logs[some]), "counts": pa.array(times[some])})
 
     sums = requests.where("what = 'g'").groupBy("shard").applyInArrow(run, "at int, logs double, counts long").groupBy("at").agg(F.sum("logs").alias("logs"), F.sum("counts").alias("counts"))
-    logs, counts = np.zeros(1 << 16), np.zeros(1 << 16, np.int64)
-    for r in sums.collect():  # at most 65,536 rows
-        logs[r.at], counts[r.at] = r.logs, r.counts
-    return counts, logs
+    logs, counts = np.zeros((256 + len(heavy)) << 8), np.zeros((256 + len(heavy)) << 8, np.int64)
+    for at, log, count in sums.toLocalIterator():  # at most 65,536 rows, and 256 for each heavy context
+        logs[at], counts[at] = log, count
+    return ctw.low_tables(counts[: 1 << 16], logs[: 1 << 16], heavy, counts[1 << 16 :], logs[1 << 16 :])
 
 
-def _answers(requests: DataFrame, depth: int, low) -> DataFrame:
+def _answers(requests: DataFrame, depth: int, heavy: np.ndarray, low) -> DataFrame:
     """For each block and shard the values of its keys in their order: log probabilities, or counts of words."""
 
     def run(rows: pa.Table) -> pa.Table:
         kind, shard = rows.column("what")[0].as_py(), rows.column("shard")[0].as_py()
         each, keys, counts = _sum_requests(rows)
         if kind == "g":
-            values = ctw.Shard(keys, counts, depth, _TOP).log_probabilities(low).astype("<f4").view("<u4")
+            logs = np.zeros(len(keys), "<f4")
+            for at, tree, _ in _shard_trees(keys, counts, depth, heavy):
+                logs[at] = tree.log_probabilities(low)
+            values = logs.view("<u4")
         else:
             values = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
         n = len(each)
@@ -198,17 +246,22 @@ def _answers(requests: DataFrame, depth: int, low) -> DataFrame:
     return requests.groupBy("what", "shard").applyInArrow(run, "what string, block long, shard int, values binary, known long, total long")
 
 
-def _block_values(raws: list[bytes], kind: str, answers: dict[int, bytes], depth: int, shards: int, value: str):
-    """Chunks of texts with the value of each unit: ((a, b), sizes, values)."""
-    coded = list(_coded(raws, kind, depth))
-    keys = _merged([different for *_, different in coded])
+def _block_values(raws: list[bytes], kind: str, answers: dict[int, bytes], depth: int, shards: int, heavy: np.ndarray, value: str):
+    """Chunks of pieces with the value of each unit: (the pieces' texts, sizes, values)."""
+    keys = block_requests(raws, np.ones(len(raws), bool), kind, depth)[0]
     values = np.zeros(len(keys), value)
     if len(keys):
-        shard = _shard_of(keys, kind, depth, shards)
+        shard = _shard_of(keys, kind, depth, shards, heavy)
         order = np.argsort(shard, kind="stable")
         values[order] = np.concatenate([unplanes(answers[s], value) for s in sorted(answers)])
-    for (a, b), sizes, codes, different in coded:
-        yield (a, b), sizes, values[np.searchsorted(keys, different)][codes]
+        del shard, order
+    for pieces in _chunks(raws, kind):
+        sizes, units = _units(raws, pieces, kind, depth)
+        codes, different = pd.factorize(units)
+        order = np.argsort(different)
+        own = np.empty(len(different), value)
+        own[order] = values[np.searchsorted(keys, different[order])]  # sorted look-ups stay in the cache
+        yield np.array([k for k, *_ in pieces]), sizes, own[codes]
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -217,23 +270,52 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def score(docs: DataFrame, depth: int = 6, block_bytes: int = 16 << 20, shards: int | None = None) -> DataFrame:
+def _pairs(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Bytes of all texts with an end symbol each or so, and how often each pair of bytes occurs (its number: the later byte first)."""
+
+    def run(batches):
+        counts, total = np.zeros(1 << 16, np.int64), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                raw = _END.join([b"", *map(_lowered, batch.column(0).slice(at, 256).to_pylist()), b""])
+                raw = np.frombuffer(raw, np.uint8)
+                total += len(raw)
+                for k in range(0, len(raw) - 1, 1 << 20):
+                    part = raw[k : k + (1 << 20) + 1].astype(np.uint16)
+                    counts += np.bincount(part[1:] << 8 | part[:-1], minlength=1 << 16)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(counts[some], total))})
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 65,537 rows
+    counts = np.zeros(1 << 16, np.int64)
+    total = 0
+    for r in found:
+        if r.pair < 0:
+            total = r.n
+        else:
+            counts[r.pair] = r.n
+    return total, counts
+
+
+def score(docs: DataFrame, depth: int = 6, block_bytes: int = 16 << 20, shards: int | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of each row."""
-    if not _TOP <= depth <= 7:
-        raise ValueError("depth must be from 2 to 7")
+    if not _TOP < depth <= 7:
+        raise ValueError("depth must be from 3 to 7")
     spark = docs.sparkSession
-    shards = shards or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     out_schema = f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     if docs.isEmpty():
         return spark.createDataFrame([], out_schema)
+    total, pairs = _pairs(docs)
+    shards = shards or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // shard_bytes)
+    heavy = np.flatnonzero(pairs > total * max(1 / (2 * shards), 1 / 1024))
     path = new_dir(spark, "blocks")
-    _blocks(docs, depth, shards, block_bytes).write.option("compression", "zstd").partitionBy("what").parquet(path)
+    _blocks(docs, depth, shards, heavy, block_bytes).write.option("compression", "zstd").partitionBy("what").parquet(path)
     schema = f"block long, doc_id {doc_type}, held_out boolean, shard int, a binary, b binary, what string"
     rows = spark.read.schema(schema).parquet(path)
     requests = rows.where("what <> 'd'").select("what", "block", "shard", "a", "b")
-    low = ctw.low_tables(*_tops(requests, depth), _TOP)
-    answers = cut(_answers(requests, depth, low), "answers")
+    low = _low(requests, depth, heavy)
+    answers = cut(_answers(requests, depth, heavy, low), "answers")
     for kind in "gw":
         remove(spark, f"{path}/what={kind}")
     texts = spark.read.schema(f"block long, doc_id {doc_type}, held_out boolean, a binary").parquet(f"{path}/what=d")
@@ -248,13 +330,13 @@ def score(docs: DataFrame, depth: int = 6, block_bytes: int = 16 << 20, shards:
         for kind, shard, values in zip(*(answers.column(c).to_pylist() for c in ("what", "shard", "values")), strict=True):
             by_kind[kind][shard] = values
         logs, n_tokens, n_known, base = (np.zeros(len(raws)) for _ in range(4))
-        for (a, b), sizes, values in _block_values(raws, "g", by_kind["g"], depth, shards, "<f4"):
-            logs[a:b] = _sums(values, sizes) / np.log(10)
+        for at, sizes, values in _block_values(raws, "g", by_kind["g"], depth, shards, heavy, "<f4"):
+            np.add.at(logs, at, _sums(values, sizes) / np.log(10))
         under = np.log10(train_tokens + 0.5 * (known + 1))
-        for (a, b), sizes, values in _block_values(raws, "w", by_kind["w"], depth, shards, "<u4"):
-            n_tokens[a:b] = sizes + 1
-            n_known[a:b] = _sums(values > 0, sizes) + (n_train > 0)
-            base[a:b] = _sums(np.log10(values + 0.5) - under, sizes) + (np.log10(n_train + 0.5) - under)
+        for at, sizes, values in _block_values(raws, "w", by_kind["w"], depth, shards, heavy, "<u4"):
+            n_tokens[at] = sizes + 1
+            n_known[at] = _sums(values > 0, sizes) + (n_train > 0)
+            base[at] = _sums(np.log10(values + 0.5) - under, sizes) + (np.log10(n_train + 0.5) - under)
         whole = lambda x: pa.array(x.astype(np.int64))
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": whole(n_tokens), "n_known": whole(n_known),

@@ -97,3 +97,24 @@ def test_better_than_words_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = lmscore.op1_ctw_score(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert r[0] > r[1]
+
+
+def test_long_texts_and_heavy_contexts(spark):
+    """Texts of many pieces, and pairs of bytes that are split by a third; also a text without spaces."""
+    rows = [(k, "ab" * 150 + str(k) + "ba " * (k % 3)) for k in range(12)] + [(20, "x" * 900), (21, "the cat")]
+    whole, lmscore_chunks = list(plain(rows)), lmscore._chunks
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total, pairs = lmscore._pairs(df)
+    assert sum(len(t) + 1 for _, t in rows) <= total and pairs[ord("b") << 8 | ord("a")] >= 1800
+    assert (pairs > total / 10).sum() >= 3  # so shards=5 splits some
+    compare([tuple(r)[:7] for r in lmscore.score(df, DEPTH, 1 << 20, 5).collect()], whole)
+    raws = [t.encode() for _, t in rows]
+    train = np.array([not held_out(i) for i, _ in rows])
+    small = lambda r, kind, size=64: lmscore_chunks(r, kind, size)
+    one = lmscore.block_requests(raws, train, "g", DEPTH)
+    try:
+        lmscore._chunks = small
+        two = lmscore.block_requests(raws, train, "g", DEPTH)
+    finally:
+        lmscore._chunks = lmscore_chunks
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
