@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sylva.llm.common import cut, drop_cut
 from sylva.llm.components import components
 from sylva.llm.hashing import mix, shingles
-from sylva.llm.suffixes import distinct_texts, with_key
+from sylva.llm.suffixes import distinct_texts, key_column, with_key
 
 
 def choose_bands(threshold: float = 0.8, recall: float = 0.9999, budget: int = 128) -> tuple[int, int]:
@@ -179,8 +179,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keep columns of every row, _class and _links."""
-    return with_key(docs, list(keep)).join(classes(docs, threshold, n, recall), "_key").drop("_key")
+    """The keep columns of every row (whatever their names), _class and _links."""
+    names = [f"c{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], key_column("text").alias("_key"))
+    return rows.join(classes(docs, threshold, n, recall), "_key").select(*names, "_class", "_links").toDF(*keep, "_class", "_links")
 
 
 def op6_jaccard_join(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ corpus's suffixes would move `least` bytes for every byte, so only anchored suff
    repeat, whatever the hashes do. Cores that recur in one task are known to go on there, and one row of each is
    shuffled, so frequent passages don't make a hot key.
 4. The suffixes at those anchors (with the bytes before them, reversed, as second key) are range-partitioned by
-   splitters sampled from them and sorted in each bucket by multikey quicksort. Common prefixes of neighbours
+   splitters sampled from them (a bounded number) and sorted in each bucket by multikey quicksort. Common prefixes of neighbours
    then say for each offset which windows are equal: those with the same class of suffixes and of bytes before.
 5. Across boundaries: a window can only have an equal in another bucket if it shares its bytes after the anchor with
    the splitter. Those windows are compared by 128-bit hash, one row for each different window of a bucket.
@@ -101,7 +101,7 @@ def anchors(raw: bytes, least: int, tail: int) -> tuple[np.ndarray, np.ndarray,
         return (np.zeros(0, np.int64),) * 3
     w = least - tail + 1
     first, low, high = [], [], []
-    step = (1 << 26) - w - 8  # places in a slice fit in 26 bits
+    step = 1 << 20  # windows in a slice; places in it fit in 26 bits
     for base in range(0, n, step):
         m = min(step, n - base)
         grams = np.ndarray((m + w - 1,), "<u8", raw, base, (1,))
@@ -254,7 +254,7 @@ def _shared(a: bytes, b: bytes) -> int:
     return lo
 
 
-_FOUND = pa.schema([("key", pa.binary()), ("s", pa.int64()), ("e", pa.int64()), ("window", pa.binary()), ("bucket", pa.int32())])
+_FOUND = pa.schema([("key", pa.binary()), ("s", pa.int64()), ("e", pa.int64()), ("window", pa.binary()), ("bucket", pa.int64())])
 
 
 def bucket_matches(rows: pa.Table, least: int, edges: tuple[bytes | None, bytes | None], bucket: int) -> pa.Table:
@@ -306,30 +306,83 @@ def bucket_matches(rows: pa.Table, least: int, edges: tuple[bytes | None, bytes
     return pa.Table.from_pydict(out, schema=_FOUND)
 
 
-def sorted_matches(rows: DataFrame, least: int, bucket_rows: int = 12_000) -> DataFrame:
-    """(key, s, e): spans of repeated windows, from contexts()."""
+_ORDER = ["suffix", "before", "key", "a"]
+
+
+def _cuts(rows: DataFrame, n: int, total: int) -> list[tuple]:
+    """n - 1 splitters or fewer, from a sample of about 16 n suffixes."""
+    if n < 2:
+        return []
+    share = max(1, total // (n * 16))
+    sample = sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows.where(f"pmod(xxhash64(key, a), {share}) = 0").select(*_ORDER).collect())
+    return sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+
+
+def stream_buckets(batches, bucket_rows: int, edges):
+    """Sorted rows of some ranges as tables of bucket_rows rows: (range, number in it, table, its two edges)."""
+
+    def flush(k, number, rows, before, after):
+        own = edges(k)
+        return k, number, rows, (own[0] if before is None else before, own[1] if after is None else after)
+
+    now, number, held, size, before = None, 0, [], 0, None
+    for batch in batches:
+        ranges = np.asarray(batch.column("bucket"))
+        starts = np.concatenate(([0], np.flatnonzero(ranges[1:] != ranges[:-1]) + 1, [len(ranges)])) if len(ranges) else [0]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if now is not None and now != ranges[a]:
+                yield flush(now, number, pa.Table.from_batches(held), before, None)
+                number, held, size, before = 0, [], 0, None
+            now = int(ranges[a])
+            while part.num_rows:
+                if size >= bucket_rows:
+                    yield flush(now, number, pa.Table.from_batches(held), before, part.column("suffix")[0].as_py())
+                    before = held[-1].column("suffix")[-1].as_py()
+                    number, held, size = number + 1, [], 0
+                held.append(part.slice(0, bucket_rows - size))
+                size += held[-1].num_rows
+                part = part.slice(held[-1].num_rows)
+    if held:
+        yield flush(now, number, pa.Table.from_batches(held), before, None)
+
+
+def sorted_matches(rows: DataFrame, least: int, bucket_rows: int = 12_000, most: int = 4096) -> DataFrame:
+    """(key, s, e): spans of repeated windows, from contexts().
+
+    At most `most` splitters are sampled. If that makes ranges of more than bucket_rows, a range is put in order
+    by Spark's sort, which may spill, and cut into buckets as it streams by.
+    """
     spark = rows.sparkSession
     total = rows.count()
     n = max(1, -(-total // bucket_rows))
-    order = ["suffix", "before", "key", "a"]
-    splitters: list[tuple] = []
-    if n > 1:
-        share = max(1, total // (n * 16))  # about 16 suffixes for each bucket
-        sample = sorted(tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in rows.where(f"pmod(xxhash64(key, a), {share}) = 0").select(*order).collect())
-        splitters = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+    splitters = _cuts(rows, min(n, most), total)
+    schema = "key binary, s long, e long, window binary, bucket long"
 
     def deal(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in order]
+            columns = [batch.column(c).to_pylist() for c in _ORDER]
             yield pa.RecordBatch.from_arrays([pa.array([bisect_right(splitters, k) for k in zip(*columns, strict=True)], pa.int32()), *batch.columns], ["bucket", *batch.schema.names])
 
+    def edges(k: int):
+        return splitters[k - 1][0] if k else None, splitters[k][0] if k < len(splitters) else None
+
     def match(rows: pa.Table) -> pa.Table:
         k = rows.column("bucket")[0].as_py()
-        return bucket_matches(rows, least, (splitters[k - 1][0] if k else None, splitters[k][0] if k < len(splitters) else None), k)
+        return bucket_matches(rows, least, edges(k), k)
+
+    def stream(batches):
+        for k, number, table, own in stream_buckets(batches, bucket_rows, edges):
+            yield from bucket_matches(table, least, own, k << 32 | number).to_batches()
 
     dealt = rows.mapInArrow(deal, "bucket int, key binary, a long, low int, high int, n long, suffix binary, before binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n)
-    found = cut(dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match, "key binary, s long, e long, window binary, bucket int"), "spans")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(n, most))
+    dealt = dealt.repartition(parts, "bucket")
+    if n <= most:
+        found = dealt.groupBy("bucket").applyInArrow(match, schema)
+    else:
+        found = dealt.sortWithinPartitions("bucket", *_ORDER).mapInArrow(stream, schema)
+    found = cut(found, "spans")
     inside = found.where("window IS NULL").select("key", "s", "e")
     if n == 1:
         return inside
@@ -363,25 +416,30 @@ def repeats(docs: DataFrame, least: int = 400, text: str = "text") -> tuple[Data
     return found, spans
 
 
-_RESULT = "key binary, n_bytes long, n_removed long, n_spans long, kept binary"
+_RESULT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each distinct text."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay) and text of each distinct text.
+
+    text is what stays as a text, in which a character that lost a byte goes whole.
+    """
     found, spans = repeats(docs, least, text)
 
+    def one(key, raw, n, spans):
+        runs = [(0, len(raw))] if n > 1 and len(raw) >= least else merge_spans([(x["s"], x["e"]) for x in spans or ()])
+        ends = [0, *(x for r in runs for x in r), len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+        return key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
+
     def run(batches):
         z = zstandard.ZstdDecompressor()
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                out = []
-                for key, blob, n, spans in zip(*(batch.slice(k, 64).column(c).to_pylist() for c in ("key", "z", "n", "spans")), strict=True):
-                    raw = z.decompress(blob)
-                    runs = [(0, len(raw))] if n > 1 and len(raw) >= least else merge_spans([(x["s"], x["e"]) for x in spans or ()])
-                    ends = [0, *(x for r in runs for x in r), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                    out.append((key, len(raw), len(raw) - len(kept), len(runs), kept))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows = zip(*(batch.slice(k, 64).column(c).to_pylist() for c in ("key", "z", "n", "spans")), strict=True)
+                out = [one(key, z.decompress(blob), n, spans) for key, blob, n, spans in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     return found.join(spans, "key", "left").select("key", "z", "n", "spans").mapInArrow(run, _RESULT)
 
@@ -392,22 +450,19 @@ def with_key(docs: DataFrame, columns: list[str], text: str = "text") -> DataFra
 
 
 def op7_suffix_dedup(docs: DataFrame, least: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    kept = without_repeats(docs, least).select(F.col("key").alias("_key"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return with_key(docs, ["doc_id"]).join(kept, "_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left) of each row."""
+    kept = without_repeats(docs, least).withColumnRenamed("key", "_key")
+    return with_key(docs, ["doc_id"]).join(kept, "_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def remove_repeats(docs: DataFrame, least: int = 200) -> DataFrame:
     """docs with repeated passages cut out of text (a character that loses a byte goes whole); n_chars is the new length."""
-    clean = without_repeats(docs, least).select(F.col("key").alias("_key"), "kept")
-
-    def decode(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())], ["_key", "_kept"])
-
-    rest = [c for c in docs.columns if c != "text"]
-    joined = with_key(docs, rest).join(clean.mapInArrow(decode, "_key binary, _kept string"), "_key")
-    out = {c: F.col(f"`{c}`") for c in rest} | {"text": F.col("_kept")}
+    clean = without_repeats(docs, least).select(F.col("key").alias("_key"), F.col("text").alias("_kept"))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever names docs has, they don't clash
+    rows = docs.toDF(*names)
+    at = docs.columns.index("text")
+    joined = with_key(rows, [c for k, c in enumerate(names) if k != at], names[at]).join(clean, "_key")
+    out = [F.col("_kept" if k == at else c) for k, c in enumerate(names)]
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[out[c].alias(c) for c in docs.columns])
+        out[docs.columns.index("n_chars")] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[c.alias(n) for c, n in zip(out, names, strict=True)]).toDF(*docs.columns)
