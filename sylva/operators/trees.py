@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.sources.ptb import each_tree
+
 
 def tokens_and_tags(nodes: DataFrame, key: str = "sent_id") -> DataFrame:
     """key, forms, tags: the leaves from left to right."""
@@ -63,49 +67,109 @@ def span_diff(gold: DataFrame, test: DataFrame, key: str = "sent_id") -> DataFra
     return sides.select(key, "start", "finish", "label", F.when(F.col("g") > F.col("t"), "-").when(F.col("g") < F.col("t"), "+").otherwise(" ").alias("side"))
 
 
-#: Child labels by priority for the head of a parent label; * is any other.
-HEADS = {
-    "S": ("VP", "NP", "PP", "*"), "S1": ("S", "*"), "NP": ("NN", "NNS", "JJ", "DT", "*"),
-    "VP": ("VB", "NN", "JJ", "*"), "PP": ("IN", "DT", "*"),
-}
-
-
-def head_priority(parent: Column, child: Column, rules=HEADS) -> Column:
-    """The place of a child label in its parent's list; punctuation comes last."""
-    out = F.lit(50)
-    for label, order in rules.items():
-        rank = F.lit(len(order))
-        for k, c in enumerate(order):
-            if c != "*":
-                rank = F.when(child == c, k).otherwise(rank)
-        out = F.when(parent == label, rank).otherwise(out)
-    return F.when(child.isin(".", ",", "-LRB-", "-RRB-"), 99).otherwise(out)
-
-
-def head_children(nodes: DataFrame, key: str = "sent_id") -> DataFrame:
-    """key, parent, head: of each node with children the child of least priority, the last one of ties."""
-    labels = nodes.select(key, F.col("node").alias("parent"), F.col("label").alias("_above"))
-    children = nodes.where("parent IS NOT NULL").join(labels, [key, "parent"])
-    best = F.struct(-head_priority(F.col("_above"), F.col("label")), F.col("node"))
-    return children.groupBy(key, "parent").agg(F.max(best).alias("best")).select(key, "parent", F.col("best.node").alias("head"))
-
-
-def lexical_heads(nodes: DataFrame, depth: int, key: str = "sent_id") -> DataFrame:
-    """key, node, lex: the head word's place of each node; `depth` steps of pointer doubling along head children."""
-    heads = head_children(nodes, key)
-    hop = nodes.join(heads.withColumnRenamed("parent", "node"), [key, "node"], "left").select(key, "node", "start", F.coalesce("head", "node").alias("to"))
-    reach = 1
-    while reach < depth:
-        onward = hop.select(key, F.col("node").alias("to"), F.col("to").alias("_far"))
-        hop = hop.join(onward, [key, "to"]).select(key, "node", "start", F.col("_far").alias("to"))
-        reach *= 2
-    places = nodes.select(key, F.col("node").alias("to"), F.col("start").alias("lex"))
-    return hop.join(places, [key, "to"]).select(key, "node", "lex")
-
-
-def dependencies(nodes: DataFrame, depth: int, key: str = "sent_id") -> DataFrame:
-    """key, gov, dep: word places; each child whose head word differs from its parent's hangs on it."""
-    lex = lexical_heads(nodes, depth, key)
-    up = lex.select(key, F.col("node").alias("parent"), F.col("lex").alias("gov"))
-    pairs = nodes.where("parent IS NOT NULL").select(key, "node", "parent").join(lex, [key, "node"]).join(up, [key, "parent"])
-    return pairs.where("lex <> gov").select(key, "gov", F.col("lex").alias("dep"))
+def row_heads(trees: DataFrame, rule: str = "first", key="sent_id", tree: str = "tree") -> DataFrame:
+    """key, node, label, start, finish, head, lex, lex_start, lex_label, lex_word of each phrase, by a rule of sylva.functions.heads.
+
+    head is the head child, lex the preterminal at the end of the chain of heads, however long; both null where there's none.
+    """
+    from sylva.functions import heads
+
+    def run(t):
+        if t is not None and (t := heads.seen_by(t, rule)) is not None:
+            children = heads.head_children(t, heads.RULES[rule])
+            lexical = heads.lexical_heads(t, children)
+            for k in range(len(t)):
+                if t.word[k] is None:
+                    x = lexical[k]
+                    yield (k, t.label[k], t.start[k], t.finish[k], children[k] if children[k] >= 0 else None, *((x, t.start[x], t.label[x], t.word[x]) if x >= 0 else (None,) * 4))
+
+    return each_tree(trees, run, "node int, label string, start int, finish int, head int, lex int, lex_start int, lex_label string, lex_word string", key, tree)
+
+
+def dependencies(trees: DataFrame, rule: str = "first", key="sent_id", tree: str = "tree") -> DataFrame:
+    """key, i, gov, dep, gov_word, dep_word: word places; a child whose head word isn't its parent's hangs on that. i counts from inner phrases out."""
+    from sylva.functions import heads
+
+    def run(t):
+        if t is not None and (t := heads.seen_by(t, rule)) is not None:
+            for i, (g, d) in enumerate(heads.dependencies(t, heads.lexical_heads(t, heads.head_children(t, heads.RULES[rule])))):
+                yield i, t.start[g], t.start[d], t.word[g], t.word[d]
+
+    return each_tree(trees, run, "i int, gov int, dep int, gov_word string, dep_word string", key, tree)
+
+
+def conll(trees: DataFrame, rule: str = "first", key="sent_id", tree: str = "tree") -> DataFrame:
+    """key, id, form, tag, head: a row for each word, numbered from 1; head 0 is the root's word."""
+    from sylva.functions import heads
+
+    def run(t):
+        if t is not None and (t := heads.seen_by(t, rule)) is not None:
+            lexical = heads.lexical_heads(t, heads.head_children(t, heads.RULES[rule]))
+            over = {d: g for g, d in heads.dependencies(t, lexical)}
+            for k in t.leaves():
+                yield t.start[k] + 1, t.word[k], t.label[k], t.start[over[k]] + 1 if k in over else 0
+
+    return each_tree(trees, run, "id int, form string, tag string, head int", key, tree)
+
+
+def parseval(pairs: DataFrame, way: str = "rebased", key="sent_id", gold: str = "gold", test: str = "tree") -> DataFrame:
+    """key, n_gold, n_test, n_matched, precision, recall, fscore of pairs of trees in one row.
+
+    rebased: words are counted without punctuation and empties, the root and spans of no width left out; a gold tree
+    without spans has recall 1. moved: ends of spans are moved over gold's punctuation; every phrase but S1 counts,
+    and ratios without a divisor are 0. In both PRT is ADVP, and equal spans count as often as they occur on both sides.
+    """
+    if way not in ("rebased", "moved"):
+        raise ValueError(f"unknown way {way}")
+
+    def run(g, t):
+        if g is None or t is None:
+            return
+        if way == "rebased":
+            a, b = g.rebased_spans(), t.rebased_spans()
+        else:
+            ends = g.punctuation_ends()
+            a, b = g.moved_spans(ends), t.moved_spans(ends)
+        yield a.total(), b.total(), (a & b).total()
+
+    counts = each_tree(pairs, run, "n_gold long, n_test long, n_matched long", key, (gold, test))
+    out = ratios(counts)
+    return out.withColumn("recall", F.when(F.col("n_gold") == 0, 1.0).otherwise(F.col("recall"))) if way == "rebased" else out
+
+
+def marked_diff(pairs: DataFrame, key="sent_id", gold: str = "gold", test: str = "tree") -> DataFrame:
+    """key, tree: the test tree, with !label! on phrases whose labelled span isn't gold's (as often as gold has it)."""
+
+    def run(g, t):
+        if g is None or t is None:
+            return
+        left = Counter((g.start[k], g.finish[k], g.label[k]) for k in range(len(g)) if g.word[k] is None)
+        out = t.relabelled(lambda x: x)
+        for k in range(len(t)):
+            span = t.start[k], t.finish[k], t.label[k]
+            if t.word[k] is None:
+                if left[span] > 0:
+                    left[span] -= 1
+                else:
+                    out.label[k] = f"!{t.label[k]}!"
+        yield (out.write(),)
+
+    return each_tree(pairs, run, "tree string", key, (gold, test))
+
+
+def subtrees(nodes: DataFrame, key="sent_id") -> DataFrame:
+    """key, node, children: the nodes right below each phrase, in order; children[i] and slices of it are a tree's items."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return nodes.where("parent IS NOT NULL").groupBy(*keys, F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("node")).alias("children"))
+
+
+def set_values(nodes: DataFrame, label: Column | None = None, word: Column | None = None) -> DataFrame:
+    """nodes with new labels or words. A word for a phrase, and no word for a preterminal, is an error, as is an empty label."""
+    out = nodes
+    if label is not None:
+        out = out.withColumn("label", F.when(F.coalesce(label, F.lit("")) == "", F.raise_error(F.lit("a label can't be empty"))).otherwise(label))
+    if word is not None:
+        phrase = F.col("_was").isNull()
+        checked = F.when(phrase & word.isNotNull(), F.raise_error(F.lit("a phrase has no word"))).when(~phrase & (F.coalesce(word, F.lit("")) == ""), F.raise_error(F.lit("a preterminal needs a word"))).otherwise(word)
+        out = out.withColumn("_was", F.col("word")).withColumn("word", checked.cast("string")).drop("_was")
+    return out

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from sylva.functions import text, tokenizer
 from sylva.operators import counting, evaluation, features, fusion, interpolation, losses, nbest, parser, trees
+from sylva.plans import deep
 from sylva.plans import treebank as tb
-from sylva.plans.oracles import ORACLES
+from sylva.plans.oracles import ORACLES as FLAT_ORACLES
 from sylva.sources import ptb
 from sylva.sources.tables import table
 from sylva.streaming import sentences as streams
 
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES: dict = {}
+ORACLES: dict[str, str] = {**FLAT_ORACLES, **deep.ORACLES}
+
+QUERIES: dict = dict(deep.QUERIES)
 
 
 def query(f):
@@ -121,20 +124,6 @@ def subtree_sizes(spark, sf):
     return nodes.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("last_desc") - F.col("node") + 1).cast("long").alias("subtree_nodes"))
 
 
-@query
-def head_positions(spark, sf):
-    """The head word's place of each tree."""
-    nodes = ptb.read_nodes(tb.trees(spark, sf))
-    return trees.lexical_heads(nodes, 4).where("node = 0").select("sent_id", F.col("lex").alias("head"))
-
-
-@query
-def dependencies(spark, sf):
-    """Head to head pairs, by distance."""
-    d = trees.dependencies(ptb.read_nodes(tb.trees(spark, sf)), 4)
-    return d.groupBy((F.col("dep") - F.col("gov")).alias("distance")).agg(F.count("*").alias("n"))
-
-
 @query
 def parseval_sentence(spark, sf):
     """Labelled spans of each candidate against gold."""

@@ -75,21 +75,6 @@ _bucket = " + ".join(f"(CASE WHEN n > {b} THEN 1 ELSE 0 END)" for b in BUCKETS)
 _EVENTS = """
 events AS (SELECT tag AS y, coalesce(lag(tag) OVER w, 'STOP') AS c1, coalesce(lag(tag, 2) OVER w, 'STOP') AS c2 FROM tokens WINDOW w AS (PARTITION BY sent_id ORDER BY pos))"""
 
-_HEAD_RANK = """CASE WHEN ch.label IN ('.', ',', '-LRB-', '-RRB-') THEN 99
- WHEN pa.label = 'S' THEN CASE ch.label WHEN 'VP' THEN 0 WHEN 'NP' THEN 1 WHEN 'PP' THEN 2 ELSE 4 END
- WHEN pa.label = 'S1' THEN CASE ch.label WHEN 'S' THEN 0 ELSE 2 END
- WHEN pa.label = 'NP' THEN CASE ch.label WHEN 'NN' THEN 0 WHEN 'NNS' THEN 1 WHEN 'JJ' THEN 2 WHEN 'DT' THEN 3 ELSE 5 END
- WHEN pa.label = 'VP' THEN CASE ch.label WHEN 'VB' THEN 0 WHEN 'NN' THEN 1 WHEN 'JJ' THEN 2 ELSE 4 END
- WHEN pa.label = 'PP' THEN CASE ch.label WHEN 'IN' THEN 0 WHEN 'DT' THEN 1 ELSE 3 END ELSE 50 END"""
-_HEADS = [_NODES, f"""
-heads AS (SELECT sent_id, parent, node AS head FROM (
-  SELECT ch.sent_id, ch.parent, ch.node, row_number() OVER (PARTITION BY ch.sent_id, ch.parent ORDER BY {_HEAD_RANK}, ch.node DESC) AS r
-  FROM nodes ch JOIN nodes pa ON pa.sent_id = ch.sent_id AND pa.node = ch.parent) WHERE r = 1),
-lex3 AS (SELECT sent_id, node, parent, depth, start AS lex FROM nodes WHERE depth = 3),
-lex2 AS (SELECT n.sent_id, n.node, n.parent, n.depth, l.lex FROM nodes n JOIN heads h ON h.sent_id = n.sent_id AND h.parent = n.node JOIN lex3 l ON l.sent_id = n.sent_id AND l.node = h.head WHERE n.depth = 2),
-lex1 AS (SELECT n.sent_id, n.node, n.parent, n.depth, l.lex FROM nodes n JOIN heads h ON h.sent_id = n.sent_id AND h.parent = n.node JOIN lex2 l ON l.sent_id = n.sent_id AND l.node = h.head WHERE n.depth = 1),
-lex AS (SELECT * FROM lex3 UNION ALL SELECT * FROM lex2 UNION ALL SELECT * FROM lex1)"""]
-
 _DISCOUNT = """
 g3 AS (SELECT c2, c1, y, count(*) AS c FROM events GROUP BY ALL),
 g2 AS (SELECT c1, y, count(*) AS c FROM g3 GROUP BY ALL),
@@ -112,8 +97,6 @@ contains(form, '-') AS hyphen, CASE WHEN length(form) >= 3 THEN right(lower(form
 SELECT s.sent_id, 'S1' AS label, 2 + s.n + (SELECT count(*) FROM chunks c WHERE c.sent_id = s.sent_id AND c.k = -1) AS size FROM sized s
 UNION ALL SELECT s.sent_id, 'S', 1 + s.n + (SELECT count(*) FROM chunks c WHERE c.sent_id = s.sent_id AND c.k = -1) FROM sized s
 UNION ALL SELECT sent_id, label, 1 + finish - start FROM chunks WHERE k = -1 UNION ALL SELECT sent_id, tag, 1 FROM tokens) GROUP BY label"""),
-    "head_positions": _with("SELECT h.sent_id, l.lex AS head FROM heads h JOIN lex l ON l.sent_id = h.sent_id AND l.node = h.head WHERE h.parent = 0", *_HEADS),
-    "dependencies": _with("SELECT d.lex - g.lex AS distance, count(*) AS n FROM lex d JOIN lex g ON g.sent_id = d.sent_id AND g.node = d.parent WHERE d.lex <> g.lex GROUP BY ALL", *_HEADS),
     "parseval_sentence": _with(_ratios("matched"), _MATCH),
     "parseval_corpus": _with(_ratios("(SELECT k, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_test) AS BIGINT) AS n_test, CAST(sum(n_matched) AS BIGINT) AS n_matched FROM matched GROUP BY k)"), _MATCH),
     "exact_match": _with("SELECT k, count(*) AS n, count(*) FILTER (n_gold = n_matched AND n_test = n_matched) AS exact FROM matched GROUP BY k", _MATCH),

@@ -1,44 +1,80 @@
-"""Bracketed trees: text to node table and back, in built-in functions."""
+"""Bracketed trees: text to node table and back, and other tables that follow from one tree at a time.
+
+A tree is one row of text, so reading it is row-local: an Arrow kernel cuts a batch of trees and returns the rows of the
+table, without a shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.functions.rowtree import RowTree
+
+Keys = str | tuple[str, ...]
+
+
+def _keys(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def each_tree(trees: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str, key: Keys = "sent_id", tree: Keys = "tree") -> DataFrame:
+    """key and schema: the rows that rows(tree, ...) gives for the texts of each row, read as RowTree (None if unreadable)."""
+    keys, texts = _keys(key), _keys(tree)
+    kinds = ", ".join(f"`{c}` {trees.schema[c].dataType.simpleString()}" for c in keys)
+    out = trees.sparkSession.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part, at, found = batch.slice(a, 256), [], []
+                for i, cells in enumerate(zip(*(part.column(f"_t{j}").to_pylist() for j in range(len(texts))), strict=True)):
+                    new = list(rows(*map(RowTree.read, cells)))
+                    at += [i] * len(new)
+                    found += new
+                own = part.take(pa.array(at, pa.int64()))
+                columns = zip(*found, strict=True) if found else [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keys), *(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True))], [*keys, *arrow.names])
+
+    return trees.select(*keys, *[F.col(c).alias(f"_t{j}") for j, c in enumerate(texts)]).mapInArrow(run, f"{kinds}, {schema}")
 
-def read_nodes(trees: DataFrame, key: str = "sent_id", tree: str = "tree") -> DataFrame:
+
+def _node_rows(tree: RowTree | None):
+    if tree is not None:
+        depth: list[int] = []
+        for k, up in enumerate(tree.parent):
+            depth.append(0 if up < 0 else depth[up] + 1)
+            yield k, up if up >= 0 else None, depth[k], tree.start[k], tree.finish[k], tree.label[k], tree.word[k]
+
+
+def read_nodes(trees: DataFrame, key: Keys = "sent_id", tree: str = "tree") -> DataFrame:
     """key, node, parent, depth, start, finish, label, word: a row for each constituent, nodes in pre-order.
 
-    Brackets and words are cut by a regular expression; one pass over a tree's marks in order gives depth and word
-    offsets (running sums), and within a depth the bracket after an opening one closes it. A parent is the last
-    opening mark one level up. An opening bracket without a label is S1; a word under -NONE- has no width.
+    An opening bracket without a label is S1; a word under -NONE- has no width. A text that isn't one tree, or is null,
+    has no rows.
     """
-    marks = trees.select(key, F.posexplode(F.regexp_extract_all(tree, F.lit(r"[()]|[^\s()]+"), F.lit(0))).alias("p", "mark"))
-    by_place = Window.partitionBy(key).orderBy("p")
-    marks = marks.withColumns({"before": F.lag("mark").over(by_place), "after": F.lead("mark").over(by_place), "next": F.lead("mark", 2).over(by_place)})
-    is_word = ~F.col("mark").isin("(", ")") & (F.coalesce(F.col("before"), F.lit("")) != "(")
-    width = is_word & (F.lag("mark", 2).over(by_place) == "(") & (F.col("before") != "-NONE-")
-    marks = marks.withColumns({"step": F.expr("CASE mark WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END"), "w": F.when(width, 1).otherwise(0)})
-    so_far = by_place.rowsBetween(Window.unboundedPreceding, 0)
-    marks = marks.withColumns({"d": F.sum("step").over(so_far) + F.when(F.col("step") == -1, 1).otherwise(0), "words": F.sum("w").over(so_far), "node": F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).over(so_far) - 1})
-    brackets = marks.where("step <> 0")
-    by_level = Window.partitionBy(key, "d").orderBy("p")
-    brackets = brackets.withColumn("finish", F.lead("words").over(by_level))
-    opened = brackets.where("step = 1")
-    label = F.when(F.col("after") == "(", "S1").otherwise(F.col("after"))
-    word = F.when((F.col("after") != "(") & ~F.col("next").isin("(", ")"), F.col("next"))
-    nodes = opened.select(key, F.col("node").cast("int").alias("node"), (F.col("d") - 1).cast("int").alias("depth"), F.col("words").cast("int").alias("start"), F.col("finish").cast("int").alias("finish"), label.alias("label"), word.alias("word"))
-    return with_parents(nodes, key)
-
-
-def with_parents(nodes: DataFrame, key: str = "sent_id") -> DataFrame:
-    """The parent of a node is the last node before it one level up: each node also stands as an opener on the level below."""
-    columns = [c for c in nodes.columns if c not in (key, "node", "depth")]
-    own = nodes.select(key, "node", "depth", F.struct(*columns).alias("_rest"), F.lit(None).cast("int").alias("_open"))
-    opens = nodes.select(key, "node", (F.col("depth") + 1).alias("depth"), F.lit(None).cast(own.schema["_rest"].dataType).alias("_rest"), F.col("node").alias("_open"))
-    level = Window.partitionBy(key, "depth").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    both = own.unionAll(opens).withColumn("parent", F.last("_open", ignorenulls=True).over(level)).where("_rest IS NOT NULL")
-    return both.select(key, "node", "parent", "depth", "_rest.*")
+    return each_tree(trees, _node_rows, "node int, parent int, depth int, start int, finish int, label string, word string", key, tree)
+
+
+def errors(trees: DataFrame, key: Keys = "sent_id", tree: str = "tree") -> DataFrame:
+    """key of the rows whose text isn't one tree."""
+    return each_tree(trees, lambda t: [(True,)] if t is None else [], "bad boolean", key, tree).drop("bad")
+
+
+def changed_trees(trees: DataFrame, change: Callable[[RowTree], RowTree | None], key: Keys = "sent_id", tree: str = "tree") -> DataFrame:
+    """key, tree: every tree after a change (null where nothing is left or the text isn't a tree)."""
+
+    def run(t):
+        new = change(t) if t is not None else None
+        return [(new.write() if new is not None else None,)]
+
+    return each_tree(trees, run, "tree string", key, tree)
 
 
 def write_trees(nodes: DataFrame, key: str = "sent_id") -> DataFrame:

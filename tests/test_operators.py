@@ -8,7 +8,7 @@ from sylva.functions import text
 from sylva.operators import losses, nbest, trees
 from sylva.sources import formats, ptb
 
-TREE = "(S1 (S (NP (DT This)) (VP (VBZ is) (NP (DT a) (NN tree))) (. .)))"
+TREE = "(S1 (S (NP (NNS Owls)) (VP (VBD chased) (NP (JJ grey) (NNS mice))) (, ,)))"
 
 
 @pytest.fixture
@@ -19,7 +19,7 @@ def nodes(spark):
 def test_read_and_write(nodes):
     rows = {(r.sent_id, r.node): r for r in nodes.collect()}
     assert rows[1, 0].label == "S1" and rows[1, 0].parent is None and (rows[1, 0].start, rows[1, 0].finish) == (0, 5)
-    assert [rows[1, k].label for k in range(10)] == ["S1", "S", "NP", "DT", "VP", "VBZ", "NP", "DT", "NN", "."]
+    assert [rows[1, k].label for k in range(10)] == ["S1", "S", "NP", "NNS", "VP", "VBD", "NP", "JJ", "NNS", ","]
     assert [rows[1, k].parent for k in range(1, 10)] == [0, 1, 2, 1, 4, 4, 6, 6, 1]
     assert rows[2, 0].label == "S1"
     back = {r.sent_id: r.tree for r in ptb.write_trees(nodes).collect()}
@@ -28,11 +28,16 @@ def test_read_and_write(nodes):
 
 def test_leaves_heads_and_dependencies(nodes):
     leaves = {r.sent_id: (r.forms, r.tags) for r in trees.tokens_and_tags(nodes).collect()}
-    assert leaves[1] == ("This is a tree .", "DT VBZ DT NN .")
-    heads = {r.node: r.lex for r in trees.lexical_heads(nodes, 5).where("sent_id = 1").collect()}
-    assert heads[6] == 3 and heads[2] == 0
-    deps = {(r.gov, r.dep) for r in trees.dependencies(nodes, 5).where("sent_id = 1").collect()}
-    assert (3, 2) in deps and len(deps) == 4
+    assert leaves[1] == ("Owls chased grey mice ,", "NNS VBD JJ NNS ,")
+
+
+def test_heads_and_dependencies(spark):
+    df = spark.createDataFrame([(1, TREE), (2, "broken (")], "sent_id long, tree string")
+    heads = {r.node: (r.lex_word, r.lex_start) for r in trees.row_heads(df).collect()}
+    assert heads == {0: ("chased", 1), 1: ("chased", 1), 2: ("Owls", 0), 4: ("chased", 1), 6: ("mice", 3)}
+    assert [(r.gov, r.dep) for r in trees.dependencies(df).orderBy("i").collect()] == [(3, 2), (1, 3), (1, 0), (1, 4)]
+    assert [(r.id, r.head) for r in trees.conll(df).orderBy("id").collect()] == [(1, 2), (2, 0), (3, 4), (4, 2), (5, 2)]
+    assert [r.sent_id for r in ptb.errors(df).collect()] == [2]
 
 
 def test_last_descendants(nodes):
