@@ -69,4 +69,89 @@ def parse_kv(text: Column) -> Column:
 def write_kv(values: Column) -> Column:
     """A map of numbers in key order; value 1 is left out."""
     entries = F.array_sort(F.map_entries(values))
-    return F.array_join(F.transform(entries, lambda e: F.when(e["value"] == 1, e["key"]).otherwise(F.concat_ws("=", e["key"], F.regexp_replace(e["value"].cast("string"), "[.]0$", "")))), ", ")
+    return F.array_join(F.transform(entries, lambda e: F.when(e["value"] == 1, e["key"].cast("string")).otherwise(F.concat_ws("=", e["key"].cast("string"), F.regexp_replace(e["value"].cast("string"), "[.]0$", "")))), ", ")
+
+
+#: Abbreviations that keep their full stop.
+ABBREVIATIONS = (
+    "Ala. Ca. Calif. Conn. Fla. Ga. Ill. Ky. La. Mass. Me. Md. Mich. Mo. Pa. Va. Vt. Wash. Wyo. W.Va. Co. co. Ltd. Cos. cos. Corp. Inc. INC. CORP. Jr. Sr. Blvd. St. Ave."
+).split()
+
+#: verbs' tags, auxiliary words (upper case) and their contracted forms.
+VERB_TAGS = "VB VBD VBG VBN VBP VBZ".split()
+AUXILIARY_ENDINGS = "'VE 'M 'LL 'D 'S 'RE".split()
+AUXILIARY_GERUNDS = "BEIN HAVING BEING".split()
+AUXILIARIES = (
+    "MAHT SHULD WILL WAS OUGHTA AHM NEED MAYE WILLYA WHADDYA HATH HAVE WERE IS HAS MUST DID HAD DO MIGHT WOULD SHALL SHOULD OUGHT COULD DOES HAFTA BE KIN CAN ART BEEN DONE ARE DOO MAY AM"
+).split()
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column, language: str = "En") -> Column:
+    """A to Z lowered and nothing else; Arabic (transliterated, where case tells letters apart) stays."""
+    return text if language == "Ar" else F.translate(text, _UPPER, _LOWER)
+
+
+def keeps_stop(form: Column) -> Column:
+    """Whether a word's full stop belongs to it: letters and stops in turn, the last letter not s, or a known abbreviation."""
+    return (F.length(form) > 3) & form.rlike(r"[A-Za-z][.][A-Za-rt-z][.]$") | form.isin(*ABBREVIATIONS)
+
+
+def is_final(form: Column, finals: list[str]) -> Column:
+    """Whether a word ends sentences: it is among the words that training saw as full stops or colons."""
+    return form.isin(*finals)
+
+
+def effective_end(form: Column, pos: Column, n: Column, after: Column, finals: list[str], last: Column) -> Column:
+    """Whether a constituent that stops before this word may end the sentence: 1 at the place `last`, before a final word,
+    and before a comma with a closing quote after it (three words or more before the end); else 0."""
+    quoted = (form == ",") & (after == "''") & (pos <= n - 3)
+    return F.when(pos > last, 0).when(pos == last, 1).when(is_final(form, finals) | F.coalesce(quoted, F.lit(False)), 1).otherwise(0)
+
+
+def counted_capital(form: Column, pos: Column, before: Column) -> Column:
+    """capital_class, but 0 for the first word and for the second after an opening quote or bracket."""
+    skipped = (pos == 0) | ((pos == 1) & F.coalesce(before.isin("``", "-LCB-", "-LRB-"), F.lit(False)))
+    return F.when(skipped, 0).otherwise(capital_class(form))
+
+
+def log_bucket(v: Column, factor: float) -> Column:
+    """1 more than the whole part of factor * ln v, from 0 to 14."""
+    return F.when(v > 0, F.least(F.lit(14), (F.lit(float(factor)) * F.log(v)).cast("int") + 1)).otherwise(0)
+
+
+def size_bin(n: Column) -> Column:
+    """The bin of a constituent's width: up to 1, 3, 6, 10, 15, 21, 28, 36 words, or more."""
+    out = F.lit(0)
+    for b in (1, 3, 6, 10, 15, 21, 28, 36):
+        out = out + (n > b).cast("int")
+    return out
+
+
+def label_number(label: Column) -> Column:
+    """The number after ^ in a label, or null."""
+    return F.nullif(F.regexp_extract(label, r"\^(\d+)$", 1), F.lit("")).cast("int")
+
+
+def auxiliary_tag(form: Column, tag: Column) -> Column:
+    """AUX for a verb's tag on an auxiliary or its contraction, AUXG on its gerund; other tags stay."""
+    word = F.upper(form)
+    is_aux = word.isin(*AUXILIARIES) | F.regexp_extract(word, "('.*)$", 1).isin(*AUXILIARY_ENDINGS)
+    return F.when(tag.isin(*VERB_TAGS) & word.isin(*AUXILIARY_GERUNDS), "AUXG").when(tag.isin(*VERB_TAGS) & is_aux, "AUX").otherwise(tag)
+
+
+def tree_words(tree: Column) -> Column:
+    """The words of a bracketed text, from left to right."""
+    return F.regexp_extract_all(tree, F.lit(r"\([^\s()]+ +([^\s()]+)\)"), F.lit(1))
+
+
+def reserved(form: Column) -> Column:
+    """A word that the model uses itself (^^) as another one (^^^)."""
+    return F.when(form == "^^", "^^^").otherwise(form)
+
+
+
+def escaped_tokens(forms: Column) -> Column:
+    """The tokens of a sentence that is already cut, brackets escaped."""
+    return F.transform(forms, escape_brackets)

@@ -67,15 +67,93 @@ def expected_fscore(lists: DataFrame) -> DataFrame:
     return sums.select((2 * F.col("m") / F.col("pg")).alias("f"))
 
 
-def lbfgs(evaluate, start: np.ndarray, memory: int = 15, rounds: int = 50, tolerance: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Minimise; evaluate(x) gives (loss, gradient). Backtracking line search; the driver holds vectors only."""
+def _gradient(pushes: DataFrame, values: DataFrame) -> DataFrame:
+    """feat, grad of pushes (sent_id, k, d: the loss's derivative by a parse's score)."""
+    return values.join(pushes, ["sent_id", "k"]).groupBy("feat").agg(F.sum(F.col("d") * F.col("val")).alias("grad"))
+
+
+def _margin_pushes(lists: DataFrame, push) -> DataFrame:
+    """sent_id, k, d: push(margin) on each loser, and minus their sum on the first best winner."""
+    w = Window.partitionBy("sent_id")
+    each = winners(lists).withColumn("_best", F.max(F.when(F.col("p_gold") > 0, F.struct("score", -F.col("k")))).over(w))
+    each = each.withColumn("_d", F.when(F.col("p_gold") == 0, push(F.col("_best.score") - F.col("score"))).otherwise(0.0))
+    best = F.col("k") == -F.col("_best").getItem("col2")
+    return each.select("sent_id", "k", F.when(best, -F.sum("_d").over(w)).otherwise(F.col("_d")).alias("d"))
+
+
+def pairwise_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+    """feat, grad of pairwise_loss."""
+    return _gradient(_margin_pushes(lists, lambda m: 1 / (1 + F.exp(m))), values)
+
+
+def exp_gradient(lists: DataFrame, values: DataFrame, log: bool = False) -> DataFrame:
+    """feat, grad of exp_loss's loss, or of its log_loss."""
+    pushes = _margin_pushes(lists, lambda m: F.exp(-m))
+    if log:
+        total = exp_loss(lists).select(F.col("loss").alias("_total"))
+        pushes = pushes.join(F.broadcast(total)).select("sent_id", "k", (F.col("d") / F.col("_total")).alias("d"))
+    return _gradient(pushes, values)
+
+
+def em_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+    """feat, grad of em_loss."""
+    w = Window.partitionBy("sent_id")
+    each = model_probabilities(winners(lists)).withColumn("_c", F.when(F.col("p_gold") > 0, F.col("p_model")).otherwise(0.0))
+    return _gradient(each.select("sent_id", "k", (F.col("p_model") - F.col("_c") / F.sum("_c").over(w)).alias("d")), values)
+
+
+def expected_fscore_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+    """feat, grad of expected_fscore."""
+    w = Window.partitionBy("sent_id")
+    each = model_probabilities(lists)
+    totals = each.agg(F.sum(F.col("p_model") * F.col("n_matched")).alias("_m"), F.sum(F.col("p_model") * (F.col("n_test") + F.col("n_gold"))).alias("_d"))
+    mean = lambda c: F.sum(F.col("p_model") * F.col(c)).over(w)
+    each = each.withColumns({"_em": mean("n_matched"), "_et": mean("n_test")}).join(F.broadcast(totals))
+    d = F.col("p_model") * (2 * (F.col("n_matched") - F.col("_em")) - 2 * F.col("_m") / F.col("_d") * (F.col("n_test") - F.col("_et"))) / F.col("_d")
+    return _gradient(each.select("sent_id", "k", d.alias("d")), values)
+
+
+#: Losses by name: (a frame with the loss in its first column, a frame of feat and grad). expected_f is to be made great.
+LOSSES = {
+    "log": (log_loss, log_loss_gradient), "em": (em_loss, em_gradient), "pairwise": (pairwise_loss, pairwise_gradient), "exp": (exp_loss, exp_gradient),
+    "log_exp": (lambda x: exp_loss(x).select("log_loss"), lambda x, v: exp_gradient(x, v, log=True)),
+    "expected_f": (lambda x: expected_fscore(x).select(-F.col("f")), lambda x, v: expected_fscore_gradient(x, v).withColumn("grad", -F.col("grad"))),
+}
+
+
+def penalty(x: np.ndarray, c: np.ndarray, p: float = 2.0) -> tuple[float, np.ndarray]:
+    """The sum of c * |x| ** p and its gradient (0 at 0 for p = 1, where owlqn() takes the side that helps)."""
+    size = np.abs(x)
+    return float((c * size**p).sum()), c * p * np.sign(x) * (size ** (p - 1) if p != 1 else 1.0)
+
+
+def lbfgs(evaluate, start: np.ndarray, memory: int = 15, rounds: int = 50, tolerance: float = 1e-5, l1: np.ndarray | float = 0.0) -> tuple[np.ndarray, float]:
+    """Minimise evaluate(x), which gives (loss, gradient), plus the sum of l1 * |x|. Backtracking line search; the driver holds vectors only.
+
+    With l1 the direction and the steps keep to one orthant at a time, so weights become exactly 0.
+    """
     x = np.array(start, float)
-    value, grad = evaluate(x)
+    l1 = np.broadcast_to(np.asarray(l1, float), x.shape)
+    orthant = bool((l1 > 0).any())
+
+    def total(at):
+        value, grad = evaluate(at)
+        return value + float((l1 * np.abs(at)).sum()), grad
+
+    def pseudo(at, grad):
+        """The gradient with the penalty; at 0 the side that falls, or 0 if none does."""
+        if not orthant:
+            return grad
+        right, left = grad + l1, grad - l1
+        return np.where(at > 0, right, np.where(at < 0, left, np.where(right < 0, right, np.where(left > 0, left, 0.0))))
+
+    value, grad = total(x)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        if np.abs(grad).max(initial=0) <= tolerance * max(1.0, np.abs(x).max(initial=0)):
+        steep = pseudo(x, grad)
+        if np.abs(steep).max(initial=0) <= tolerance * max(1.0, np.abs(x).max(initial=0)):
             break
-        q, alphas = grad.copy(), []
+        q, alphas = steep.copy(), []
         for s, y in reversed(pairs):
             alphas.append(s @ q / (y @ s))
             q -= alphas[-1] * y
@@ -84,10 +162,15 @@ def lbfgs(evaluate, start: np.ndarray, memory: int = 15, rounds: int = 50, toler
             q *= s @ y / (y @ y)
         for (s, y), a in zip(pairs, reversed(alphas), strict=True):
             q += (a - y @ q / (y @ s)) * s
-        step, slope = (1.0 if pairs else 1.0 / max(1.0, np.linalg.norm(grad))), -(grad @ q)
+        if orthant:
+            q = np.where(q * steep > 0, q, 0.0)
+        side = np.where(x != 0, np.sign(x), -np.sign(steep))
+        step, slope = (1.0 if pairs else 1.0 / max(1.0, np.linalg.norm(steep))), -(steep @ q)
         while True:
             new = x - step * q
-            new_value, new_grad = evaluate(new)
+            if orthant:
+                new = np.where(new * side > 0, new, 0.0)
+            new_value, new_grad = total(new)
             if new_value <= value + 1e-4 * step * slope or step < 1e-12:
                 break
             step /= 2
@@ -98,23 +181,78 @@ def lbfgs(evaluate, start: np.ndarray, memory: int = 15, rounds: int = 50, toler
     return x, value
 
 
-def fit_log_linear(lists: DataFrame, values: DataFrame, feats: list[str], penalty: float = 1.0, rounds: int = 20) -> tuple[dict[str, float], float]:
-    """Weights of the named features that minimise log loss plus penalty * w^2; each evaluation is one pass over the lists."""
+#: Weights of up to this many features (some 30 MB) are broadcast; more are joined by key.
+BROADCAST_WEIGHTS = 1_000_000
+
+
+def fit_log_linear(
+    lists: DataFrame, values: DataFrame, feats: list[str], penalty: float = 1.0, rounds: int = 20, loss: str = "log", p: float = 2.0, factors: dict[str, float] | None = None
+) -> tuple[dict[str, float], float]:
+    """Weights of the named features that minimise a loss plus penalty * |w| ** p; each evaluation is one pass over the lists.
+
+    lists needs what the loss reads (fscore; n_gold, n_test, n_matched for expected_f). factors multiply the penalty of
+    features by the first part of their name. p = 1 makes weights exactly 0. The driver holds a vector of the features.
+    """
     spark = lists.sparkSession
-    own = values.where(F.col("feat").isin(*feats)).select("sent_id", "k", "feat", "val").cache()
-    base = lists.select("sent_id", "k", "fscore").cache()
+    wanted = spark.createDataFrame([(f, i) for i, f in enumerate(feats)], "feat string, i int")
+    small = len(feats) <= BROADCAST_WEIGHTS
+    own = values.join(F.broadcast(wanted) if small else wanted, "feat").select("sent_id", "k", F.col("i").alias("feat"), "val").cache()
+    base = lists.drop("score").cache()
+    c = penalty * np.array([(factors or {}).get(f.partition(":")[0], 1.0) for f in feats])
+    value_of, gradient_of = LOSSES[loss]
 
     def evaluate(x: np.ndarray):
-        weights = spark.createDataFrame(list(zip(feats, map(float, x), strict=True)), "feat string, w double")
-        score = own.join(F.broadcast(weights), "feat").groupBy("sent_id", "k").agg(F.sum(F.col("val") * F.col("w")).alias("score"))
+        weights = spark.createDataFrame([(i, w) for i, w in enumerate(x.tolist())], "feat int, w double")
+        score = own.join(F.broadcast(weights) if small else weights, "feat").groupBy("sent_id", "k").agg(F.sum(F.col("val") * F.col("w")).alias("score"))
         scored = base.join(score, ["sent_id", "k"], "left").fillna(0.0, ["score"])
-        loss = log_loss(scored).first()[0] or 0.0
-        grad = {r.feat: r.grad for r in log_loss_gradient(scored, own).collect()}
-        return loss + penalty * float(x @ x), np.array([grad.get(f, 0.0) for f in feats]) + 2 * penalty * x
+        value = value_of(scored).first()[0] or 0.0
+        grad = np.zeros(len(feats))
+        for r in gradient_of(scored, own).toLocalIterator():
+            grad[r.feat] = r.grad
+        if p != 1:
+            more, slope = globals()["penalty"](x, c, p)
+            return value + more, grad + slope
+        return value, grad
 
     try:
-        x, value = lbfgs(evaluate, np.zeros(len(feats)), rounds=rounds)
+        x, value = lbfgs(evaluate, np.zeros(len(feats)), rounds=rounds, l1=c if p == 1 else 0.0)
     finally:
         own.unpersist()
         base.unpersist()
     return dict(zip(feats, x.tolist(), strict=True)), value
+
+
+def search_factors(score, names: list[str], rounds: int = 10, step: float = 2.0, start: dict[str, float] | None = None) -> tuple[dict[str, float], float]:
+    """Positive factors by name with the greatest score(factors): one at a time by logarithmic steps, which shrink when none helps."""
+    best = {n: 1.0 for n in names} | (start or {})
+    value = score(best)
+    for _ in range(rounds):
+        moved = False
+        for n in names:
+            for by in (step, 1 / step):
+                new = best | {n: best[n] * by}
+                if (found := score(new)) > value:
+                    best, value, moved = new, found, True
+                    break
+        if not moved:
+            step = step**0.5
+            if step < 1.05:
+                break
+    return best, value
+
+
+def search_classes(score, names: list[str]) -> tuple[set[str], float]:
+    """A set of names with a great score(set): from all, the best single change (out or in) as long as one helps. Scores are remembered."""
+    known: dict[frozenset, float] = {}
+
+    def of(chosen: frozenset) -> float:
+        if chosen not in known:
+            known[chosen] = score(set(chosen))
+        return known[chosen]
+
+    best = frozenset(names)
+    while True:
+        new = max((best ^ {n} for n in names), key=lambda c: (of(c), sorted(c)))
+        if of(new) <= of(best):
+            return set(best), of(best)
+        best = new

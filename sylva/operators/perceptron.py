@@ -5,6 +5,7 @@ The driver holds one weight for each feature of the pruned dictionary.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import pyarrow as pa
@@ -12,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _sweep(sentences: list[list[tuple[float, dict[str, float]]]], start: dict[str, float]) -> dict[str, float]:
-    """One pass over sentences of (fscore, features): towards the best parse, away from a rival that scores as well."""
+def _sweep(sentences: list[list[tuple[float, dict[str, float]]]], start: dict[str, float], rate: float = 1.0, decay: float = 1.0, factors: dict[str, float] | None = None) -> dict[str, float]:
+    """One pass over sentences of (fscore, features): towards the best parse, away from a rival that scores as well.
+
+    Steps are rate times the difference of f, times a factor by the first part of a feature's name; decay shrinks the rate after each sentence.
+    """
     w, total, n = defaultdict(float, start), defaultdict(float), 0
+    of = (lambda f: factors.get(f.partition(":")[0], 1.0)) if factors else (lambda f: 1.0)
     for parses in sentences:
         score = [sum(v * w[f] for f, v in x.items()) for _, x in parses]
         best = max(range(len(parses)), key=lambda k: (parses[k][0], -k))
@@ -22,34 +27,44 @@ def _sweep(sentences: list[list[tuple[float, dict[str, float]]]], start: dict[st
         if rivals:
             worst = max(rivals, key=lambda k: (score[k], -k))
             if score[worst] >= score[best]:
-                gap = parses[best][0] - parses[worst][0]
+                gap = rate * (parses[best][0] - parses[worst][0])
                 for k, sign in ((best, gap), (worst, -gap)):
                     for f, v in parses[k][1].items():
-                        w[f] += sign * v
-                        total[f] -= sign * v * n  # lazy averaging: what earlier steps didn't have
+                        w[f] += sign * v * of(f)
+                        total[f] -= sign * v * of(f) * n  # lazy averaging: what earlier steps didn't have
         n += 1
+        rate *= decay
     return {f: v + total[f] / n for f, v in w.items()} if n else dict(start)
 
 
-def fit_perceptron(lists: DataFrame, values: DataFrame, epochs: int = 5, parts: int = 8) -> dict[str, float]:
-    """Weights by feature from lists (sent_id, k, fscore) and values (sent_id, k, feat, val)."""
+def fit_perceptron(lists: DataFrame, values: DataFrame, epochs: int = 5, parts: int = 8, burn_in: int = 0, reduce: float = 1.0, decay: float = 1.0, factors: dict[str, float] | None = None) -> dict[str, float]:
+    """Weights by feature from lists (sent_id, k, fscore) and values (sent_id, k, feat, val).
+
+    reduce multiplies the rate after each epoch; epochs before burn_in don't enter the average of epochs. A sentence's
+    place in its part is by a hash of it and the epoch. factors scale the steps of classes of features.
+    """
     features = values.groupBy("sent_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("feat", "val"))).alias("x"))
     rows = lists.join(features, ["sent_id", "k"], "left").select(F.pmod(F.xxhash64("sent_id"), F.lit(parts)).alias("part"), "sent_id", "k", "fscore", "x")
     rows = rows.persist()
     weights: dict[str, float] = {}
+    mean: dict[str, float] = {}
     try:
-        for _ in range(epochs):
-            def run(batches, start=weights):
+        for epoch in range(epochs):
+            def run(batches, start=weights, rate=reduce**epoch, salt=epoch):
                 sentences: dict = defaultdict(list)
                 for batch in batches:
                     for r in batch.to_pylist():
                         sentences[r["sent_id"]].append((r["k"], r["fscore"], dict(r["x"] or ())))
-                w = _sweep([[(f, x) for _, f, x in sorted(p, key=lambda y: y[0])] for _, p in sorted(sentences.items())], start)
+                order = sorted(sentences.items(), key=lambda x: zlib.crc32(f"{salt} {x[0]}".encode()))
+                w = _sweep([[(f, x) for _, f, x in sorted(p, key=lambda y: y[0])] for _, p in order], start, rate, decay, factors)
                 yield pa.RecordBatch.from_pydict({"feat": pa.array(list(w), pa.string()), "w": pa.array(list(w.values()), pa.float64()), "n": pa.array([len(sentences)] * len(w), pa.int64())})
 
             mixed = rows.repartition(parts, "part").mapInArrow(run, "feat string, w double, n long")
             n = rows.select("sent_id").distinct().count()
             weights = {r.feat: r.w for r in mixed.groupBy("feat").agg((F.sum(F.col("w") * F.col("n")) / F.lit(float(max(1, n)))).alias("w")).collect()}
+            if epoch >= burn_in:
+                for f, w in weights.items():
+                    mean[f] = mean.get(f, 0.0) + w / max(1, epochs - burn_in)
     finally:
         rows.unpersist()
-    return weights
+    return mean if burn_in else weights
