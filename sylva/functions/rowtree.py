@@ -28,7 +28,7 @@ def simple_label(label: str) -> str:
 
 def label_parts(label: str) -> tuple[str, str, str, str, str]:
     """Category, -tag, =number, |alternative and ^number of a label; the last four with their marks or empty."""
-    m = _PARTS.match(label)
+    m = None if label.startswith("-") else _PARTS.match(label)  # -LRB- has no parts
     return m.groups() if m else (label, "", "", "", "")
 
 

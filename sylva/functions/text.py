@@ -142,8 +142,8 @@ def auxiliary_tag(form: Column, tag: Column) -> Column:
 
 
 def tree_words(tree: Column) -> Column:
-    """The words of a bracketed text, from left to right."""
-    return F.regexp_extract_all(tree, F.lit(r"\([^\s()]+ +([^\s()]+)\)"), F.lit(1))
+    """The words of a bracketed text, from left to right, without empty ones (under -NONE-)."""
+    return F.regexp_extract_all(tree, F.lit(r"\((?!-NONE- )[^\s()]+ +([^\s()]+)\)"), F.lit(1))
 
 
 def reserved(form: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import text, tokenizer
 from sylva.operators import counting, evaluation, features, fusion, interpolation, losses, nbest, parser, trees
-from sylva.plans import deep
+from sylva.plans import deep, extra
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import ORACLES as FLAT_ORACLES
 from sylva.sources import ptb
@@ -16,9 +16,9 @@ from sylva.streaming import sentences as streams
 
 __all__ = ["ORACLES", "QUERIES"]
 
-ORACLES: dict[str, str] = {**FLAT_ORACLES, **deep.ORACLES}
+ORACLES: dict[str, str] = {**FLAT_ORACLES, **deep.ORACLES, **extra.ORACLES}
 
-QUERIES: dict = dict(deep.QUERIES)
+QUERIES: dict = deep.QUERIES | extra.QUERIES
 
 
 def query(f):
@@ -166,15 +166,6 @@ def constraint_matches(spark, sf):
     return m.groupBy("k").agg(F.count("*").alias("n"), F.sum((F.col("n_matched") == F.col("n_gold")).cast("bigint")).alias("satisfied"))
 
 
-@query
-def fold_split(spark, sf):
-    """Sentences by fold; fold i of 20 has those from i * N / 20 on."""
-    docs = table(spark, sf, "documents")
-    n = docs.agg(F.count("*")).first()[0]
-    numbered = docs.select(F.col("doc_id").alias("i"))
-    return numbered.groupBy(F.expr(f"int(((i + 1) * 20 - 1) div {max(1, n)})").alias("fold")).agg(F.count("*").alias("n"), F.min("i").alias("first_id"), F.max("i").alias("last_id"))
-
-
 @query
 def unique_trees(spark, sf):
     """C11: candidates that are the first of their shape."""
@@ -227,14 +218,6 @@ def beam_curve(spark, sf):
     return nbest.beam_curve(_scored(spark, sf))
 
 
-@query
-def merge_nbest(spark, sf):
-    """two generators' lists, united by tree."""
-    n = tb.nbest(spark, sf)
-    merged = nbest.merge_lists({"a": n.where("k <> 1"), "b": n.where("k <> 0").withColumn("logprob", F.col("logprob") / 2)}, ["sent_id", "k"], "logprob")
-    return merged.select("sent_id", "k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
-
-
 @query
 def fuse_spans(spark, sf):
     """Spans whose summed probability reaches one half."""
