@@ -54,11 +54,11 @@ _PAIRS1 = _in(f"{p} {c}" for p, cs in heads.FIRST.items() for c in cs.split())
 _PAIRS2 = _in(f"{p} {c}" for p, cs in heads.SECOND.items() for c in cs.split())
 #: Head children by the first-stage rule, and lexical heads up the chains: lex(sent_id, k, node, lex), of all nodes in c0.
 _FIRST = f"""
-c0 AS (SELECT *, {_SIMPLE} AS cat FROM nn),
+c0 AS MATERIALIZED (SELECT *, {_SIMPLE} AS cat FROM nn),
 ranked AS (SELECT c.sent_id, c.k, c.parent, c.node, p.cat AS up, CASE WHEN p.cat || ' ' || c.cat IN {_PAIRS1} THEN 1 WHEN p.cat = c.cat THEN 2 WHEN p.cat || ' ' || c.cat IN {_PAIRS2} THEN 3
     WHEN c.cat IN {_in(heads.TAGS - heads.PUNCTUATION_TAGS)} THEN 4 WHEN c.cat = 'PP' THEN 6 WHEN c.cat IN {_in(heads.PHRASES)} THEN 5 WHEN c.cat IN {_in(heads.PUNCTUATION_TAGS)} THEN 7 END AS r
   FROM c0 c JOIN c0 p ON p.sent_id = c.sent_id AND p.k = c.k AND p.node = c.parent),
-head AS (SELECT sent_id, k, parent, node FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, k, parent ORDER BY r, CASE WHEN r = 2 OR (r = 1 AND up = 'PP') THEN node ELSE -node END) AS o FROM ranked WHERE r IS NOT NULL) WHERE o = 1),
+head AS MATERIALIZED (SELECT sent_id, k, parent, node FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, k, parent ORDER BY r, CASE WHEN r = 2 OR (r = 1 AND up = 'PP') THEN node ELSE -node END) AS o FROM ranked WHERE r IS NOT NULL) WHERE o = 1),
 lex(sent_id, k, node, lex) AS (SELECT sent_id, k, node, node FROM c0 WHERE word IS NOT NULL
   UNION ALL SELECT h.sent_id, h.k, h.parent, l.lex FROM lex l JOIN head h ON h.sent_id = l.sent_id AND h.k = l.k AND h.node = l.node)"""
 
@@ -74,7 +74,7 @@ def _tiers(name: str, tiers: dict, right: bool) -> str:
     order = "CASE " + " ".join(cases) + " WHEN punct THEN NULL WHEN word IS NOT NULL THEN 50000000 - ix ELSE 60000000 - ix END"
     return f"""
 kids_{name} AS (SELECT c.*, {kind} AS kind FROM v c JOIN v p ON p.sent_id = c.sent_id AND p.k = c.k AND p.node = c.parent),
-head_{name} AS (SELECT sent_id, k, parent, node, ix FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, k, parent ORDER BY o) AS r FROM (SELECT *, {order} AS o FROM kids_{name}) WHERE o IS NOT NULL) WHERE r = 1),
+head_{name} AS MATERIALIZED (SELECT sent_id, k, parent, node, ix FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, k, parent ORDER BY o) AS r FROM (SELECT *, {order} AS o FROM kids_{name}) WHERE o IS NOT NULL) WHERE r = 1),
 lex_{name}(sent_id, k, node, lex) AS (SELECT sent_id, k, node, node FROM v WHERE word IS NOT NULL
   UNION ALL SELECT h.sent_id, h.k, h.parent, l.lex FROM lex_{name} l JOIN head_{name} h ON h.sent_id = l.sent_id AND h.k = l.k AND h.node = l.node)"""
 
@@ -100,11 +100,15 @@ def _q(n: str) -> str:
 def _totals(*parts: tuple[str, str]) -> str:
     """parts: (class, SQL of sent_id, k, feat, a row for each occurrence)."""
     union = " UNION ALL ".join(f"SELECT sent_id, k, '{cls}' AS cls, feat FROM ({sql})" for cls, sql in parts)
-    return f"SELECT cls, feat, count(*) AS parses, CAST(sum(val) AS DOUBLE) AS total FROM (SELECT sent_id, k, cls, feat, count(*) AS val FROM ({union}) WHERE feat IS NOT NULL GROUP BY ALL) GROUP BY ALL"
+    return f"SELECT cls, feat, count(*) AS parses, CAST(sum(val) AS DOUBLE) AS total FROM (SELECT sent_id, k, cls, feat, count(*) AS val FROM ({union}) WHERE feat IS NOT NULL GROUP BY ALL) GROUP BY ALL HAVING count(*) >= {LEAST}"
+
+
+#: Features of fewer parses are left out, as the ranker's dictionary does.
+LEAST = 5
 
 
 def _features(spark, sf, *names: str) -> DataFrame:
-    return treefeatures.feature_totals(_parses(spark, sf), list(names))
+    return treefeatures.feature_totals(_parses(spark, sf), list(names)).where(F.col("parses") >= LEAST)
 
 
 @query("SELECT label, least(depth, 40) AS depth, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(finish) AS BIGINT) AS finishes, count(word) AS words, CAST(sum(parent) AS BIGINT) AS parents FROM nn GROUP BY ALL")
@@ -259,7 +263,7 @@ def deep_projection(spark, sf):
        "spine AS (SELECT sent_id, k, node FROM chain WHERE s)", k="k = 1")
 def deep_branches(spark, sf):
     """J' RightBranch, LeftBranchLength, RightBranchLength, of the second candidate."""
-    return treefeatures.feature_totals(nested.trees(spark, sf, (1,)), ["RightBranch", "LeftBranchLength", "RightBranchLength"])
+    return treefeatures.feature_totals(nested.trees(spark, sf, (1,)), ["RightBranch", "LeftBranchLength", "RightBranchLength"]).where(F.col("parses") >= LEAST)
 
 
 @query(_totals(
