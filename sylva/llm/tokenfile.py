@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.bytebpe import byte_letters, texts
 from sylva.llm.common import new_dir, partitions_for
-from sylva.llm.recent import Recent
+from sylva.llm.recent import Memo
 
 #: White space to Python's split() that is not white space to the tokenizer's pattern.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -63,30 +63,25 @@ class WordTokens:
             raise ValueError(f"a chain that this class doesn't know: {steps}")
         self.cut = regex.compile(chain["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = Recent(self._pieces, 150_000)
-        self.words = Recent(self._words, 400_000)
+        self.model, self.code = self.library.model.tokenize, self.kind.char
+        self.pieces = Memo(self._piece, 150_000)
+        self.words = Memo(self._word, 600_000)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        model, code, letters = self.library.model.tokenize, self.kind.char, self.letters
+    def _piece(self, piece: str) -> bytes:
         # printable ASCII stands for itself among the letters for bytes
-        return [array(code, [t.id for t in model(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model(letters)]).tobytes()
 
-    def _cut(self, word: str) -> tuple[str, ...] | list[str] | None:
-        """A word's pieces; None for the library's whole chain. Letters are one piece, and so is a mark after them."""
+    def _word(self, word: str) -> bytes:
+        """Ids of a word: letters are one piece, and so is a mark after them; what isn't plain takes the library's whole chain."""
         if not (word.isascii() or _PLAIN(word)):
-            return None
+            return self._whole(word)
         low = word.lower()
         if low.isalpha():
-            return (low,)
+            return self._piece(low)  # remembered as a word
         if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return (low[:-1], low[-1])
-        return self.cut(low)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        cuts = list(map(self._cut, words))
-        self.pieces.fill(set().union(*filter(None, cuts)))
-        get = self.pieces.__getitem__
-        return [self._whole(w) if c is None else get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for w, c in zip(words, cuts, strict=True)]
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.cut(low)))
 
     def _whole(self, text: str) -> bytes:
         return array(self.kind.char, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -104,8 +99,7 @@ class WordTokens:
         """Ids of each text, as bytes."""
         odd = {k for k, t in enumerate(texts) if any(c in t for c in _ODD) or self._has_added(t)}
         words = [[] if k in odd else (t.lower() if t.isascii() else t).split() for k, t in enumerate(texts)]
-        self.words.fill(set().union(*words))
-        get = self.words.__getitem__
+        get = self.words.__getitem__  # a word that isn't there makes itself
         return [self._whole(texts[k]) if k in odd else b"".join(map(get, x)) for k, x in enumerate(words)]
 
     def encode(self, text: str) -> bytes:

@@ -11,7 +11,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from sylva.llm import bytebpe, tokenfile  # noqa: E402
-from sylva.llm.recent import Recent  # noqa: E402
+from sylva.llm.recent import Memo, Recent  # noqa: E402
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 CHARS = list("ab 'sdtmrelv\n\t\r   éßΣς漢字🙂́<|>\x1c\x7f\x85 　12٣.,;!") + [chr(c) for c in range(33, 0x250, 7)]
@@ -99,10 +99,20 @@ def test_op4_files(spark, part_bytes):
     assert tokenfile.op4_token_files(df.limit(0), WORDS).count() == 0
 
 
-def test_recent_is_bounded():
+def test_memos_are_bounded():
     made = []
     memo = Recent(lambda keys: made.extend(keys) or [k * 2 for k in keys], 10)
+    single = Memo(lambda key: made.append(key) or key * 2, 10)
     for k in range(100):
-        assert memo[k % 30] == k % 30 * 2
-    memo.fill(set(range(25)))
-    assert memo[3] == 6 and len(memo.old) <= 25
+        key = str(k % 30)
+        assert memo[key] == single[key] == key * 2
+    memo.fill({str(k) for k in range(25)})
+    assert memo["3"] == "33" and len(memo.old) <= 25 and len(single) <= 10 and len(single.old) <= 10
+    for m in (memo, single):  # a long key is made anew each time
+        assert m["x" * 300] == "x" * 600 and "x" * 300 not in m
+
+
+def test_very_long_text_without_spaces():
+    words, text = tokenfile.words_of(WORDS), "abc" * 400_000 + "é" * 100
+    before = len(words.words)
+    assert len(words.encode(text)) > 0 and len(words.words) == before
