@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.text import escape_brackets, split_punctuation
-from sylva.sources.tables import table
+from sylva.sources.tables import spread, table
 
 CANDIDATES = (0, 1, 2)
 GOLD = -1
@@ -20,7 +20,7 @@ LABELS = ("NP", "VP", "PP")
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sent_id, sentence: the lines with a character that isn't a space."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "sentence"))
     return lines.where(F.trim("sentence") != "").select((F.col("doc_id") * 1000000 + F.col("line")).alias("sent_id"), "sentence")
 
