@@ -92,7 +92,7 @@ class ByteBPE:
         self.starts = np.cumsum(self.lengths) - self.lengths
         #: (ids as bytes, ids as decimals) of a text's part up to the next single space, without and with a space before it
         self.first = Recent(lambda parts: self._parts(parts, ""), 20_000)
-        self.later = Recent(lambda parts: self._parts(parts, " "), 300_000)
+        self.later = Recent(lambda parts: self._parts(parts, " "), 700_000)
 
     def _encode_cut(self, cuts: list[list[str]]) -> list[list[int]]:
         """Ids of texts that are cut into pre-tokens; each different pre-token goes to the library once."""

@@ -50,12 +50,11 @@ class Recent(dict):
 
     def fill(self, keys: set) -> None:
         """Have all keys but long ones in the young generation; what is unknown is made in one call."""
-        keys = {k for k in keys if len(k) <= LONGEST}
-        missing = keys - self.keys()
+        missing = {k for k in keys - self.keys() if len(k) <= LONGEST}
         if len(self) + len(missing) > self.most:
             self.old = dict(self)
             self.clear()
-            missing = keys
+            missing = {k for k in keys if len(k) <= LONGEST}
         old = self.old
         self.update({k: old[k] for k in missing if k in old})
         new = [k for k in missing if k not in self]
