@@ -3,9 +3,11 @@
 Lengths are whole numbers up to the largest size, so a histogram says all that a plan needs, and it has at most as many
 rows as the largest size, however many pieces there are. The driver packs the histogram: lengths go down, a
 piece goes to the open bin with the least room that holds it, equal bins are handled as ranges of bin numbers. If no
-bin has room, one of the least-cost size is opened: the size whose cost for each token that can still come (this
-piece and all that are no longer) is least. Every single size is tried as the only one to open, too, and the plan
-whose bins cost least is taken. At last each bin gets the least size that holds its contents.
+bin has room, one of the least-cost size is opened: for each size it is worked out what the histogram's rest could
+fill the new bins with (longest pieces first, an equal share for each of the bins that are opened together) and
+which size they would be cut down to; the size whose bins cost least for each token in them is opened. Every single
+size is tried as the only one to open, too, and the plan whose bins cost least is taken. At last each bin gets the
+least size that holds its contents.
 
 Texts longer than the largest size are cut into full pieces and a rest. Pieces of equal length are numbered by hash
 buckets and prefix sums of the buckets' counts, so a frequent length is no hot key. The plan's rows (ranges of
@@ -30,13 +32,12 @@ from sylva.llm.common import cut
 SIZES = (1024, 2048, 4096, 8192)
 
 
-def _pack(histogram: dict[int, int], sizes: tuple[int, ...], opens: Callable[[int, int], int]):
+def _pack(histogram: dict[int, int], opens: Callable[[int, int], int]):
     """(placements, bins). A placement (length, first, n, bin, each, at): n pieces from rank first on, `each` to a bin from
     bin number `bin` on, the first of a bin at offset `at`. A range of bins is (first bin, n, contents)."""
     room: dict[int, list[tuple[int, int, int]]] = {}  # room left: ranges (first bin, n, size)
     rooms: list[int] = []
     placements, bins = [], 0
-    left = sum(k * n for k, n in histogram.items())
 
     def put(space: int, first: int, n: int, size: int) -> None:
         if n:
@@ -55,7 +56,7 @@ def _pack(histogram: dict[int, int], sizes: tuple[int, ...], opens: Callable[[in
                 if not room[space]:
                     del room[space], rooms[k]
             else:
-                size = space = opens(length, left)
+                size = space = opens(length, todo)
                 n = -(-todo // (space // length))
                 first, bins = bins, bins + n
             each = space // length
@@ -63,33 +64,52 @@ def _pack(histogram: dict[int, int], sizes: tuple[int, ...], opens: Callable[[in
             if full:
                 placements.append((length, rank, full * each, first, each, size - space))
                 put(space - each * length, first, full, size)
-                rank, todo, left = rank + full * each, todo - full * each, left - full * each * length
+                rank, todo = rank + full * each, todo - full * each
             if full < n and todo:  # a last bin gets the rest
                 placements.append((length, rank, todo, first + full, todo, size - space))
                 put(space - todo * length, first + full, 1, size)
-                left -= todo * length
                 rank, todo, full = rank + todo, 0, full + 1
             put(space, first + full, n - full, size)
     return placements, [(first, n, size - space) for space, ranges in room.items() for first, n, size in ranges]
 
 
+def _expected(length: int, todo: int, size: int, lengths: np.ndarray, counts: np.ndarray) -> int:
+    """Contents of each of the bins of `size` that `todo` pieces need, if every bin gets an equal share of the shorter ones."""
+    each = size // length
+    n = -(-todo // each)
+    held = min(each, todo) * length
+    shorter = lengths[: np.searchsorted(lengths, length)]
+    some = np.flatnonzero(counts[: len(shorter)] >= n)
+    at = len(some)
+    while (at := min(at, int(np.searchsorted(shorter[some], size - held, side="right"))) - 1) >= 0:
+        k = some[at]
+        held += int(min(counts[k] // n, (size - held) // shorter[k]) * shorter[k])
+    return held
+
+
+def policies(histogram: dict[int, int], sizes: tuple[int, ...], cost: Callable[[int], float]) -> list[Callable[[int, int], int]]:
+    """Sizes to open for a length and a number of pieces: the one of least expected cost for a token, and each size alone."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[k] for k in lengths.tolist()], np.int64)
+    at_least = lambda n: sizes[bisect_left(sizes, n)]
+
+    def cheapest(length: int, todo: int) -> int:
+        held = {s: _expected(length, todo, s, lengths, counts) for s in sizes if s >= length}
+        return min(held, key=lambda s: (cost(at_least(held[s])) / held[s], s))
+
+    return [cheapest, *(lambda length, _, s=s: max(s, at_least(length)) for s in sizes)]
+
+
+def total_cost(ranges, sizes: tuple[int, ...], cost: Callable[[int], float]) -> float:
+    return sum(n * cost(sizes[bisect_left(sizes, max(1, held))]) for _, n, held in ranges)
+
+
 def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, cost: Callable[[int], float] = float):
     """The placements and bins (first bin, n, contents, size) of the cheapest plan found."""
     sizes = tuple(sorted(sizes))
-    at_least = lambda n: sizes[bisect_left(sizes, n)]
-
-    def cheapest(length: int, left: int) -> int:
-        fits = [s for s in sizes if s >= length]
-        return min(fits, key=lambda s: (cost(s) / min(s, left), s))
-
-    policies = [cheapest, *(lambda length, _, s=s: max(s, at_least(length)) for s in sizes)]
-    best = None
-    for opens in policies:
-        placements, ranges = _pack(histogram, sizes, opens)
-        total = sum(n * cost(at_least(max(1, held))) for _, n, held in ranges)
-        if best is None or total < best[0]:
-            best = (total, placements, [(first, n, held, at_least(max(1, held))) for first, n, held in ranges])
-    return best[1], sorted(best[2])
+    plans = [_pack(histogram, opens) for opens in policies(histogram, sizes, cost)]
+    placements, ranges = min(plans, key=lambda p: total_cost(p[1], sizes, cost))
+    return placements, sorted((first, n, held, sizes[bisect_left(sizes, max(1, held))]) for first, n, held in ranges)
 
 
 def pieces(docs: DataFrame, most: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -23,7 +23,7 @@ def test_plans():
     for _ in range(150):
         items = [rng.choice([1, 2, 3, 7, 8, 13, 16, 31, 32]) if rng.random() < 0.7 else rng.randrange(1, 33) for _ in range(rng.randrange(1, 120))]
         counts = collections.Counter(items)
-        _, ranges = packing._pack(counts, (32,), lambda *_: 32)
+        _, ranges = packing._pack(counts, lambda *_: 32)
         assert sorted(held for _, n, held in ranges for _ in range(n)) == one_by_one(items, 32)
         placements, ranges = packing.plan(counts, (8, 16, 32))
         held = {f + k: (h, s) for f, n, h, s in ranges for k in range(n)}
@@ -56,3 +56,29 @@ def test_rows(spark):
             end += r.n_tokens
         assert {r.bin_tokens for r in parts} == {end}
     assert packing.op2_best_fit(df.limit(0)).count() == 0
+
+
+def test_sizes_are_chosen_jointly():
+    for times in (1, 1000):
+        counts = collections.Counter({6: 2 * times, 7: times, 11: times, 16: times, 28: times})
+        sizes = (8, 16, 32)
+        jointly, *alone = [packing.total_cost(packing._pack(counts, opens)[1], sizes, float) for opens in packing.policies(counts, sizes, float)]
+        ranges = packing.plan(counts, sizes)[1]
+        assert sum(n * size for _, n, _, size in ranges) == min(jointly, *alone)
+        if times == 1:  # 74 tokens: no plan costs less than 80
+            assert jointly == 80 and min(alone) == 88 and len({size for *_, size in ranges}) > 1
+
+
+def test_expected_contents():
+    rng = random.Random(9)
+    for _ in range(200):
+        counts = collections.Counter(rng.randrange(1, 33) for _ in range(rng.randrange(1, 60)))
+        length = rng.choice(sorted(counts))
+        held = packing._expected(length, counts[length], 32, *(packing.np.array(x) for x in zip(*sorted(counts.items()), strict=True)))
+        each = 32 // length
+        n = -(-counts[length] // each)
+        want = length * min(each, counts[length])
+        for k in sorted((k for k in counts if k < length), reverse=True):
+            for _ in range(counts[k] // n):
+                want += k if want + k <= 32 else 0
+        assert held == want
