@@ -2,8 +2,9 @@
 
 The trees are fitted on URLs with a label (1: block). Every feature is an expression over the URL: length, depth,
 digit ratio, character entropy, numbers of parameters and host labels, and the share of blocked URLs among the
-training URLs of the same host suffix (last label, last two labels; a training URL doesn't count itself). Features
-are cut at quantiles of the training rows; a split needs the sums of gradients by leaf, feature and bin, which is
+training URLs of the same host suffix (last label, last two labels). Shares are counted on one half of the training
+URLs, by hash, and the trees are fitted on the other half: a share that a URL's own label goes into, or is taken out
+of, tells the trees that label, which no other URL has. Features are cut at quantiles of the training rows; a split needs the sums of gradients by leaf, feature and bin, which is
 one grouped aggregate for each level of a tree; the finished trees compile into one CASE expression.
 
 At most `max_rows` labelled rows are used for fitting, those with the lowest hash of the URL; they bound the table
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut
+from sylva.llm.common import cut, drop_cut
 
 #: (host, path, verdict), fixed by the contract of the query.
 RULES = (
@@ -29,6 +30,9 @@ RULES = (
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 )
 
+#: The half of the training URLs that suffixes are counted on.
+SHARED = "pmod(shiftright(_o, 20), 2) = 0"
+
 FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_suffix1", "f_suffix2")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,31 +130,34 @@ def _grow(rows: DataFrame, margin: str, cuts: dict[str, list[float]], depth: int
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "y", max_rows: int = 20_000, rounds: int = 8, depth: int = 3, rate: float = 0.5, bins: int = 16, smooth: float = 1.0) -> Model:
-    """Boost on at most max_rows of labelled (url, label 0 or 1)."""
+    """Boost on at most max_rows of labelled (url, label 0 or 1); a half counts suffixes, a half grows the trees."""
     rows = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL")
-    rows = rows.withColumn("_o", F.xxhash64("url")).orderBy("_o", "url", "y").limit(max_rows).drop("_o")
+    rows = rows.withColumn("_o", F.xxhash64("url")).orderBy("_o", "url", "y").limit(max_rows)
     rows = cut(with_lexical(with_host_path(rows)), "urls")
     n, s = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not n:
+        drop_cut(rows)
         return Model()
     prior = (s + 0.5) / (n + 1)
-    tables = tuple(cut(rows.groupBy(k).agg(F.sum("y").alias(f"{k}_y"), F.count("*").alias(f"{k}_n")), "suffixes") for k in ("s1", "s2"))
+    counted = rows.where(SHARED)
+    tables = tuple(cut(counted.groupBy(k).agg(F.sum("y").alias(f"{k}_y"), F.count("*").alias(f"{k}_n")), "suffixes") for k in ("s1", "s2"))
     model = Model(math.log(prior / (1 - prior)), prior, [], tables)
-    rows = cut(_with_shares(rows, model, own=True), "urls")
+    every, rows = rows, cut(_with_shares(rows.where(f"NOT ({SHARED})"), model), "urls")
+    drop_cut(every)
     steps = [k / bins for k in range(1, bins)]
     found = rows.agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(found[f] or [])) for f in FEATURES}
     for _ in range(rounds):
         margin = " + ".join([repr(model.base) + "D", *map(_case, model.trees)])
         model.trees.append(_grow(rows, margin, cuts, depth, rate, smooth))
+    drop_cut(rows)
     return model
 
 
-def _with_shares(df: DataFrame, model: Model, own: bool = False, weight: float = 5.0) -> DataFrame:
-    """f_suffix1 and f_suffix2: smoothed share of blocked URLs among the suffix's training rows (own: less the row)."""
+def _with_shares(df: DataFrame, model: Model, weight: float = 5.0) -> DataFrame:
+    """f_suffix1 and f_suffix2: smoothed share of blocked URLs among the suffix's rows in the half that is counted."""
     for k, table in zip(("s1", "s2"), model.suffixes or (), strict=False):
-        less = ("y", "1") if own else ("0", "0")
-        share = f"coalesce(({k}_y - {less[0]} + {weight} * {model.prior!r}D) / ({k}_n - {less[1]} + {weight}), {model.prior!r}D)"
+        share = f"coalesce(({k}_y + {weight} * {model.prior!r}D) / ({k}_n + {weight}), {model.prior!r}D)"
         df = df.join(F.broadcast(table), k, "left").withColumn(f"f_suffix{k[1]}", F.expr(share)).drop(f"{k}_y", f"{k}_n")
     return df
 
