@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 
-from sylva.llm import jaccard, suffixes
+from sylva.llm import jaccard, quality, suffixes
 from sylva.llm.components import components
 
 
@@ -181,3 +183,82 @@ def test_pipeline_stages(spark):
     texts = kept["repeated_passages"]
     assert all(texts[k].text == clean[k] for k in range(30)) and shared not in texts[104].text + texts[105].text and len(texts[104].text) > 400
     assert set(kept["packed_bins"]) == set(texts)
+
+
+def brute_good(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    times = collections.Counter(zip(words, words[1:], words[2:]))  # noqa: B905
+    repeated = {i + d for i in range(len(words) - 2) if times[tuple(words[i : i + 3])] > 1 for d in range(3)}
+    if len(words) < 50:
+        return False
+    share = lambda n: n / len(words)
+    stop = sum(w.lower() in quality.STOP_WORDS for w in words)
+    shout = sum(len(w) > 1 and w == w.upper() and w != w.lower() for w in words)
+    return (
+        share(len(repeated)) <= 0.5 and 2 <= share(sum(map(len, words))) <= 15 and share(sum(c in "#*$%&|<>" for c in text)) <= 0.25
+        and share(stop) >= 0.01 and (len(lines) - len(set(lines))) / len(lines) <= 0.4 and share(shout) <= 0.4
+    )
+
+
+def brute_pieces(rows):
+    """(doc_id, piece, start, n_tokens) of what the pipeline keeps: all its stages in plain Python."""
+    rows = [r for r in rows if brute_good(r[1])]
+    least = {c for _, c, *_ in brute_classes(rows)}
+    rows = [r for r in rows if r[0] in least]
+    raws = [t.encode() for _, t in rows]
+    seen = collections.Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    for (doc_id, _), raw in zip(rows, raws, strict=True):
+        gone = {i + k for i in range(len(raw) - 199) if seen[raw[i : i + 200]] > 1 for k in range(200)}
+        left = bytes(b for i, b in enumerate(raw) if i not in gone).decode("utf-8", "ignore")
+        n = len(re.findall("[^\x20\x09-\x0d]+", left)) + 1
+        for piece in range(-(-n // 8192)):
+            yield doc_id, piece, piece * 8192, min(8192, n - piece * 8192)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "é", "Und", *(f"w{rng.randrange(3000)}" for _ in range(5))]) for _ in range(n))
+    shared = [prose(60) for _ in range(4)]
+    rows = []
+    for _ in range(70):
+        kind = rng.randrange(8)
+        if kind == 0 and rows:  # an exact copy
+            text = rng.choice(rows)
+        elif kind == 1 and rows:  # a near copy
+            words = (rng.choice(rows) or "x").split(" ")
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = "zz"
+            text = " ".join(words)
+        elif kind == 2:
+            text = rng.choice([None, "", "short text", "SHOUT " + prose(20).upper() + prose(30).upper(), "a b c " * 40, "# " * 50 + prose(60), "\n".join([prose(9)] * 9)])
+        elif kind == 3:
+            text = prose(rng.randrange(40, 60))
+        else:
+            text = prose(rng.randrange(60, 200)) + " " + rng.choice(shared) + rng.choice([" ", "\n"]) + prose(rng.randrange(60, 200))
+        rows.append(text)
+    rows = [*enumerate(rows), (500, prose(9000)), (501, prose(60) + " " + prose(20000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    want = sorted(brute_pieces(rows))
+    assert 40 < len(want) and sorted((r.doc_id, r.piece, r.start, r.n_tokens) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.bin_id].append(r)
+    for parts in bins.values():
+        ends = [0, *itertools.accumulate(r.n_tokens for r in sorted(parts, key=lambda r: r.bin_offset))]
+        assert [r.bin_offset for r in sorted(parts, key=lambda r: r.bin_offset)] == ends[:-1]
+        assert {(r.bin_tokens, r.bin_size) for r in parts} == {(ends[-1], min(s for s in (1024, 2048, 4096, 8192) if s >= ends[-1]))}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows = [(None, None), (None, ""), (1, "junk"), (1, "junk")]
+    for k, some in enumerate((rows, [])):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long")
+        docs.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        assert pipeline.run(spark, str(tmp_path / str(k))).count() == 0
