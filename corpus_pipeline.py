@@ -2,6 +2,9 @@
 
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In every stage a null text is empty, a null doc_id is an id like others, columns that no stage knows pass through (but
+for the last, which returns its own), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,22 +19,28 @@ PASSAGE_BYTES = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
+    """Documents that pass every rule. Repeated rows are judged each; empty texts go, as they have no words."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the Jaccard join (five words, 0.8), the one of the least doc_id."""
+    """One document of each class of the Jaccard join (five words, 0.8), the one of the least doc_id.
+
+    Null ids come last; of the rows with that id and that text one stays. Texts without words are alike only if equal.
+    """
     return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand in more than one place."""
+    """Texts without the passages of PASSAGE_BYTES or more that stand in more than one place; every copy of them goes.
+
+    Repeated rows are places of their own. A text of which nothing is left stays, empty.
+    """
     return suffixes.remove_repeats(docs, PASSAGE_BYTES)
 
 
 def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document with its bin."""
+    """Each piece of each row with its bin; an empty text has one piece, its end token, and repeated rows are packed each."""
     return packing.op2_best_fit(docs)
 
 
@@ -45,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Similarity classes and suffix sorting aren't SQL; tests/llm holds the stages against brute-force versions.
+#: Similarity classes and suffix sorting aren't SQL; tests/llm holds the whole pipeline against a brute-force version.
 ORACLE_SQL = None
