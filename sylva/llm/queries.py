@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import bytebpe, editprint, jaccard, licences, lmscore, packing, quality, suffixes, tokenfile, urlfilter
+from sylva.llm import bytebpe, editprint, jaccard, licences, lmscore, packing, quality, suffixes, sumsquares, tokenfile, urlfilter
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
@@ -61,8 +61,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sumsquares.op13_sum_of_squares(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op9_licence_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op9_licence_scan, op10_quality_rules, op13_sum_of_squares)}
