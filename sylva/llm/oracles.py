@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sylva.llm import divergence
 from sylva.llm.licences import TEMPLATES
 from sylva.llm.quality import RULES, STOP_WORDS
 
@@ -76,4 +77,5 @@ ORACLES = {
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND passed) AS kept FROM q_judged""",
     # no part of over 400 words can reach the threshold: the longest template has under 80
     "op9_licence_scan": _licence_sql(),
+    "op12_source_divergence": divergence.SQL,
 }
