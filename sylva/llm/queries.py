@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import bytebpe, divergence, editprint, jaccard, licences, lmscore, packing, quality, suffixes, sumsquares, tokenfile, urlfilter
+from sylva.llm import alignment, bytebpe, divergence, editprint, jaccard, licences, lmscore, packing, quality, suffixes, sumsquares, tokenfile, urlfilter
 from sylva.llm.common import table
 from sylva.llm.oracles import ORACLES
 
@@ -61,6 +61,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op11_token_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.op12_source_divergence(table(spark, sf_dir, "documents"))
 
@@ -73,4 +77,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op9_licence_scan, op10_quality_rules, op12_source_divergence, op13_sum_of_squares)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_best_fit, op3_byte_bpe, op4_token_files, op5_edit_fingerprints, op6_jaccard_join, op7_suffix_dedup, op8_url_filter, op9_licence_scan, op10_quality_rules, op11_token_alignment, op12_source_divergence, op13_sum_of_squares)}
