@@ -86,6 +86,9 @@ class Aligner:
             raise ValueError("pieces that go over a space")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.lengths_a, self.lengths_b = [[len(x) for x in table] for table in (self.bytes_a, self.bytes_b)]
+        self.length_a, self.length_b = np.array(self.lengths_a, np.int64), np.array(self.lengths_b, np.int64)
+        # ids as decimals with a mark: inside a group, after A's ids, after a group, after a chunk
+        self.said = np.array([[f"{k}{mark}" for mark in ",|;\n"] for k in range(max(len(self.lengths_a), len(self.lengths_b)))], object)
         # merges in the order of their tokens' ids: the library's own ids, by ranks
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         ranked = [model["vocab"][m] for m in merged] == list(range(256, 256 + len(merged)))
@@ -103,19 +106,57 @@ class Aligner:
         return b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
     def _align_chunks(self, chunks: list[str]) -> list[tuple]:
-        """(A tokens, B tokens, groups as text, pairs as 64-bit integers) of each chunk; _NONE where the whole text must be seen."""
-        return [self._align(c, self._ids_a(c), b) for c, b in zip(chunks, self.b.encode(chunks, num_threads=1), strict=True)]
-
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple:
-        if not self._same(chunk, a, b):
-            return _NONE
-        said, links = [], []
-        for i, k, j, m in groups_of(_ends(self.lengths_a, a), _ends(self.lengths_b, b)):
-            if (k - i) * (m - j) > _MANY:
-                return _NONE
-            said.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-            links += [x << 32 | y for x in a[i:k] for y in b[j:m]]
-        return len(a), len(b), ";".join(said), np.array(links, np.int64).tobytes()
+        """(A tokens, B tokens, groups as text, pairs as 64-bit integers) of each chunk; _NONE where the whole text must be seen.
+
+        The pointers go over all chunks' ends at once: their bytes are one run, in which every chunk's end is an end of both.
+        """
+        a, b = [self._ids_a(c) for c in chunks], self.b.encode(chunks, num_threads=1)
+        same = [self._same(c, x, y) for c, x, y in zip(chunks, a, b, strict=True)]
+        if not all(same):
+            return self._align_some(chunks, same)
+        if not chunks:
+            return []
+        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        ids_a, ids_b = np.array([i for x in a for i in x], np.int64), np.array([i for x in b for i in x], np.int64)
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        # groups end where ends meet; at[g] is a group's first token
+        last_a, last_b = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True)), np.flatnonzero(np.isin(ends_b, ends_a, assume_unique=True))
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        chunk_end = np.searchsorted(last_a, np.cumsum(n_a) - 1)  # the last group of each chunk
+        most = np.maximum.reduceat(size_a * size_b, np.concatenate(([0], chunk_end[:-1] + 1)))
+        if most.max() > _MANY:
+            return self._align_some(chunks, (most <= _MANY).tolist())
+        links = self._links(ids_a, ids_b, size_a, size_b)
+        link_end = np.cumsum(size_a * size_b)[chunk_end]
+        raw, said, at, out = links.tobytes(), self._say(ids_a, ids_b, last_a, last_b, size_a, size_b, chunk_end), 0, []
+        for x, y, text, end in zip(n_a.tolist(), n_b.tolist(), said, (link_end * 8).tolist(), strict=True):
+            out.append((x, y, text, raw[at:end]))
+            at = end
+        return out
+
+    def _align_some(self, chunks: list[str], fit: list[bool]) -> list[tuple]:
+        found = iter(self._align_chunks([c for c, ok in zip(chunks, fit, strict=True) if ok]))
+        return [next(found) if ok else _NONE for ok in fit]
+
+    @staticmethod
+    def _links(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """Each group's pairs, A token by A token."""
+        times = np.repeat(size_b, size_a)  # of each A token
+        first_b = np.repeat(np.cumsum(size_b) - size_b, size_a)
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(ids_a, times) << 32 | ids_b[np.repeat(first_b, times) + place]
+
+    def _say(self, ids_a, ids_b, last_a, last_b, size_a, size_b, chunk_end) -> list[str]:
+        """Each chunk's groups as text: ids with the mark that follows them, put in order and joined once."""
+        words_a, words_b = self.said[ids_a, 0], self.said[ids_b, 0]
+        words_a[last_a] = self.said[ids_a[last_a], 1]
+        words_b[last_b] = self.said[ids_b[last_b], 2]
+        words_b[last_b[chunk_end]] = self.said[ids_b[last_b[chunk_end]], 3]
+        out = np.empty(len(ids_a) + len(ids_b), object)
+        before_b, before_a = np.cumsum(size_b) - size_b, np.cumsum(size_a)
+        out[np.arange(len(ids_a)) + np.repeat(before_b, size_a)] = words_a
+        out[np.arange(len(ids_b)) + np.repeat(before_a, size_b)] = words_b
+        return "".join(out.tolist()).split("\n")[:-1]
 
     def cut(self, text: str) -> list[str]:
         """The text's chunks; the space before each but the first isn't in it."""

@@ -50,7 +50,7 @@ def plain(libraries, text):
 def odd_texts(n):
     rng = random.Random(11)
     made = ["".join(rng.choice(CHARS if rng.random() < 0.4 else "abcdé.,' ") for _ in range(rng.randrange(60))) for _ in range(n)]
-    return [*made, " ", "  a", "a  ", "a \n b", "a\n b", "a  b   c", " a", "a ", "x" * 3000, "don't 'S re-do", "<|endoftext|> <s> </s> <unk> <0x41>", "\x1f\x01" * 300, "naïve Ünï über Straße"]
+    return [*made, " ", "  a", "a  ", "a \n b", "a\n b", "a  b   c", " a", "a ", "x" * 3000, "don't 'S re-do", "<|endoftext|> <s> </s> <unk> <0x41>", "\x1f\x01" * 300, " ".join(["x" * 500 + "é"] * 2), "naïve Ünï über Straße"]
 
 
 def said(groups):
