@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 
@@ -39,7 +40,7 @@ def plain(libraries, text):
     bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in y]
     if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
         return []
-    ends = [{sum(map(len, t[: k + 1])): k + 1 for k in range(len(t))} for t in (bytes_a, bytes_b)]
+    ends = [{e: k + 1 for k, e in enumerate(accumulate(map(len, t)))} for t in (bytes_a, bytes_b)]
     both, out, p, q = sorted(ends[0].keys() & ends[1].keys()), [], 0, 0
     for e in both:
         out.append((x[p : ends[0][e]], y[q : ends[1][e]]))
