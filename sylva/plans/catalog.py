@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import text, tokenizer
 from sylva.operators import counting, evaluation, features, fusion, interpolation, losses, nbest, parser, trees
-from sylva.plans import deep, extra
+from sylva.plans import deep, extra, scores
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import ORACLES as FLAT_ORACLES
 from sylva.sources import ptb
@@ -16,9 +16,9 @@ from sylva.streaming import sentences as streams
 
 __all__ = ["ORACLES", "QUERIES"]
 
-ORACLES: dict[str, str] = {**FLAT_ORACLES, **deep.ORACLES, **extra.ORACLES}
+ORACLES: dict[str, str] = {**FLAT_ORACLES, **deep.ORACLES, **extra.ORACLES, **scores.ORACLES}
 
-QUERIES: dict = deep.QUERIES | extra.QUERIES
+QUERIES: dict = deep.QUERIES | extra.QUERIES | scores.QUERIES
 
 
 def query(f):
