@@ -109,9 +109,9 @@ def query(sql: str, *ctes: str):
     return add
 
 
-def _tables(spark, sf) -> DataFrame:
-    """The level tables of all calculations, counted on the gold trees."""
-    return treemodel.level_tables(treemodel.tree_events(nested.trees(spark, sf), key=KEY))
+def _tables(spark, sf, calcs=treemodel.TREE_CALCS) -> DataFrame:
+    """The level tables of calculations, counted on the gold trees."""
+    return treemodel.level_tables(treemodel.tree_events(nested.trees(spark, sf), calcs, KEY))
 
 
 def _candidates(spark, sf) -> DataFrame:
@@ -130,7 +130,7 @@ def tree_log_probs(spark, sf):
 @query("SELECT calc, k, count(*) AS n, CAST(sum(micro) AS BIGINT) AS micro FROM m_scored GROUP BY calc, k")
 def calc_log_probs(spark, sf):
     """H3, I4: events of every calculation with their scores, by calculation and candidate."""
-    scores = treemodel.with_scores(treemodel.tree_events(_candidates(spark, sf), key=KEY), _tables(spark, sf))
+    scores = treemodel.with_scores(treemodel.tree_events(_candidates(spark, sf), key=KEY), _tables(spark, sf, tuple(conditional.CALCS)))
     return scores.groupBy("calc", "k").agg(F.count("*").alias("n"), F.sum("micro").alias("micro"))
 
 
