@@ -33,7 +33,7 @@ class Model:
     # --- loading and guards
 
     def load_parser(self, grammar: Grammar, lexicon: DataFrame) -> Model:
-        """The parser's tables; a model takes them once. lexicon: tagged tokens (form, tag)."""
+        """The parser's tables; a model takes them once. lexicon: tagged tokens (pos, form, tag)."""
         if self.grammar is not None:
             raise RuntimeError("the parser's model is already loaded")
         self.grammar, self.tables = grammar, self.tables | {"lexicon": lexicon}
@@ -62,7 +62,8 @@ class Model:
     def lattice(self, tokens: DataFrame) -> DataFrame:
         """sent_id, forms, tags of tokens (sent_id, pos, form)."""
         self._need("parser")
-        return lattice(tokens, self.tables["lexicon"], self.options.smooth_pos)
+        o = self.options
+        return lattice(tokens, self.tables["lexicon"], o.smooth_pos, o.language, o.case_insensitive)
 
     def parse(self, tokens: DataFrame, rerank: bool | None = None) -> DataFrame:
         """sent_id, k, logprob, tree and, with a ranker, reranker_score and both ranks. rerank None: if there's a ranker."""

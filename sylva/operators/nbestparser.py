@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,15 @@ Tags = list[list[tuple[str, float]]]
 
 @dataclass(frozen=True)
 class Options:
-    """What a parse may be told: the number of parses, the longest sentence, and how many phrases may stand over one span in a row."""
+    """What a parse may be told: the number of parses, the longest sentence, how many phrases may stand over one span in a row,
+    and for the words' tags the language, whether capitals are ignored, and what open-class tags of a known word get that it wasn't seen with."""
 
     nbest: int = 50
     max_length: int = MAX_LENGTH
     unary: int = 6
     language: str = "En"
     case_insensitive: bool = False
-    smooth_pos: float = 0.5
-    small_corpus: bool = False
-    overparsing: int = 21
-    debug: int = 0
-    extra: dict = field(default_factory=dict)
+    smooth_pos: float = 0.0
 
     def __post_init__(self) -> None:
         if self.language not in ("En", "Ch", "Ar"):

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions import heads
+from sylva.functions import heads, text
 from sylva.functions.text import BUCKETS
-from sylva.operators import conditional, treemodel
+from sylva.operators import conditional, treemodel, words
 from sylva.plans import deep, nested
 from sylva.plans import treebank as tb
+from sylva.plans.oracles import with_treebank
+from sylva.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +147,50 @@ def inside_scores(spark, sf):
     """The score of each node's subtree, by candidate and label."""
     scores = treemodel.inside_scores(_candidates(spark, sf), _tables(spark, sf), key=KEY)
     return scores.groupBy("k", "label").agg(F.count("*").alias("n"), F.sum("micro").alias("micro"))
+
+
+# --- words: the model of the documents' tokens on the words of the conversations
+
+_FORMS = tb.ORACLE[tb.ORACLE.index("list_transform(list_filter") : tb.ORACLE.index(" AS forms")]
+
+
+def _cap(form: str, pos: str, first: str) -> str:
+    differs = lambda i: f"substring({form}, {i}, 1) <> lower(substring({form}, {i}, 1))"
+    return f"CASE WHEN {pos} = 0 OR ({pos} = 1 AND {first} IN ({', '.join(repr(x) for x in words.OPENERS)})) OR length({form}) < 2 OR ({differs(1)} AND {differs(2)}) THEN -1 WHEN {differs(1)} THEN 1 ELSE 0 END"
+
+
+_OPEN = deep._in(heads.OPEN_TAGS)
+_WORDS = f"""
+w_seen AS (SELECT *, lower(form) AS word, {_cap("form", "pos", "''")} AS cap, count(*) OVER (PARTITION BY lower(form)) AS seen FROM tokens),
+w_tags AS (SELECT tag, count(*) AS n, count(*) FILTER (seen <= 2) / count(*) AS pu, coalesce(count(*) FILTER (pos >= 2 AND cap = 1) / nullif(count(*) FILTER (pos >= 2 AND cap >= 0), 0), 0) AS pc,
+  coalesce(count(*) FILTER (seen <= 2 AND contains(form, '-')) / nullif(count(*) FILTER (seen <= 2), 0), 0) AS ph FROM w_seen GROUP BY tag),
+w_lexicon AS (SELECT word, tag, count(*) / any_value(n) AS g FROM w_seen JOIN w_tags USING (tag) GROUP BY word, tag),
+w_ends AS (SELECT tag, right(word, 2) AS ending, count(*) AS c FROM w_seen WHERE tag IN {_OPEN} AND seen <= 4 AND length(word) >= 3 GROUP BY ALL),
+w_endings AS (SELECT tag, ending, c / sum(c) OVER (PARTITION BY tag) AS pe FROM w_ends),
+w_forms AS (SELECT {_FORMS} AS forms FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS sentence FROM conversations) WHERE trim(sentence) <> ''),
+w_tokens AS (SELECT unnest(forms) AS form, generate_subscripts(forms, 1) - 1 AS pos, forms[1] AS first FROM w_forms),
+w_kinds AS (SELECT DISTINCT lower(form) AS word, {_cap("form", "pos", "first")} AS cap FROM w_tokens),
+w_known AS (SELECT word, cap, tag, g * CASE cap WHEN -1 THEN 1 WHEN 1 THEN pc ELSE 1 - pc END * (1 - pu) AS p FROM w_kinds JOIN w_lexicon USING (word) JOIN w_tags USING (tag)),
+w_unknown AS (SELECT word, cap, t.tag, pu * CASE WHEN contains(word, '-') THEN ph ELSE 1 - ph END * CASE cap WHEN -1 THEN 1 WHEN 1 THEN pc ELSE 1 - pc END * 0.0001::DOUBLE
+    * CASE WHEN t.tag NOT IN {_OPEN} THEN 0.0001::DOUBLE WHEN length(word) < 3 THEN 0.01::DOUBLE ELSE coalesce(pe, 0.00001::DOUBLE) END * 600 AS p
+  FROM (SELECT * FROM w_kinds k WHERE NOT EXISTS (SELECT 1 FROM w_known x WHERE x.word = k.word AND x.cap = k.cap AND x.p > 0))
+  CROSS JOIN w_tags t LEFT JOIN w_endings e ON e.tag = t.tag AND e.ending = right(word, 2))"""
+
+
+def _talk(spark, sf) -> DataFrame:
+    """form, pos, first: the tokens of the conversations' lines."""
+    lines = table(spark, sf, "conversations").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("sentence")).where(F.trim("sentence") != "")
+    forms = lines.select(F.transform(text.split_punctuation(F.col("sentence")), text.escape_brackets).alias("forms"))
+    return forms.select(F.posexplode("forms").alias("pos", "form"), F.get("forms", F.lit(0)).alias("first"))
+
+
+def word_tags(spark, sf):
+    """Tags of the conversations' words with log2 P(word | tag) in millionths of a bit, known words and unknown ones."""
+    model = words.word_model(tb.tokens(spark, sf))
+    found = words.word_tags(words.kinds(_talk(spark, sf), model).select("word", "cap").distinct(), model)
+    return found.select("word", F.coalesce("cap", F.lit(-1)).alias("cap"), "tag", "known", F.round(F.log2("p") * treemodel.MICRO).cast("long").alias("micro"))
+
+
+QUERIES["word_tags"] = word_tags
+ORACLES["word_tags"] = with_treebank(f"""SELECT word, cap, tag, known, CAST(round(log2(p) * {treemodel.MICRO}) AS BIGINT) AS micro FROM (
+SELECT word, cap, tag, true AS known, p FROM w_known UNION ALL SELECT word, cap, tag, false, p FROM w_unknown) WHERE p > 0""", _WORDS)

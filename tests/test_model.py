@@ -16,7 +16,7 @@ def test_model(spark, tmp_path):
     tokens = nodes.where("word IS NOT NULL").selectExpr("sent_id", "start AS pos", "word AS form", "label AS tag")
     with pytest.raises(ValueError, match="no parser"):
         Model().parse(tokens)
-    model = Model().load_parser(parser.train_grammar(nodes), tokens.select("form", "tag"))
+    model = Model().load_parser(parser.train_grammar(nodes), tokens.unionAll(tokens).unionAll(tokens).select("pos", "form", "tag"))
     with pytest.raises(RuntimeError, match="already"):
         model.load_parser(model.grammar, tokens)
     with pytest.raises(ValueError, match="no ranker"):

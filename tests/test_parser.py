@@ -55,9 +55,10 @@ def test_train_and_parse(spark):
     nodes = ptb.read_nodes(trees)
     tokens = nodes.where("word IS NOT NULL").selectExpr("sent_id", "start AS pos", "word AS form", "label AS tag")
     g = parser.train_grammar(nodes)
-    parsed = {r.sent_id: r for r in parser.parse_df(parser.lattice(tokens, tokens), g).collect()}
+    train = tokens.unionAll(tokens).unionAll(tokens)  # words seen twice at most count as unknown
+    parsed = {r.sent_id: r for r in parser.parse_df(parser.lattice(tokens, train), g).collect()}
     assert {k: r.tree for k, r in parsed.items()} == {r.sent_id: r.tree for r in trees.collect()} and all(r.logprob < 0 for r in parsed.values())
-    short = parser.parse_df(parser.lattice(tokens, tokens), g, max_length=3).where("sent_id = 2").first()
+    short = parser.parse_df(parser.lattice(tokens, train), g, max_length=3).where("sent_id = 2").first()
     assert short.logprob is None and short.tree == "(S1 (S (N dogs) (V saw) (D the) (N cat)))"
 
 
