@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators import comparison
+
 
 def class_ablation(scored: DataFrame, values: DataFrame, weights: DataFrame) -> DataFrame:
     """cls, n_features, fscore: corpus f of the parses ranked first without the class ('' leaves none out).
@@ -49,16 +51,5 @@ def distinguishing(won: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def randomisation_test(a: DataFrame, b: DataFrame, trials: int = 1000, seed: int = 17) -> DataFrame:
-    """p_value of the difference of corpus f of two systems (sent_id, n_gold, n_test, n_matched): approximate randomisation.
-
-    A trial swaps a sentence's two results if a hash of sentence, trial and seed is odd; sums by trial are all that moves.
-    """
-    names = ("n_gold", "n_test", "n_matched")
-    both = a.select("sent_id", *[F.col(c).alias(f"a_{c}") for c in names]).join(b.select("sent_id", *[F.col(c).alias(f"b_{c}") for c in names]), "sent_id")
-    each = both.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
-    swap = (F.col("trial") > 0) & (F.pmod(F.xxhash64("sent_id", "trial", F.lit(seed)), F.lit(2)) == 1)
-    side = lambda x, y, c: F.sum(F.when(swap, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")))
-    f = lambda x, y: 2 * side(x, y, "n_matched") / (side(x, y, "n_gold") + side(x, y, "n_test"))
-    gaps = each.groupBy("trial").agg(F.abs(f("a", "b") - f("b", "a")).alias("gap"))
-    seen = gaps.agg(F.max(F.when(F.col("trial") == 0, F.col("gap"))).alias("seen"))
-    return gaps.where("trial > 0").join(F.broadcast(seen)).agg(((F.sum((F.col("gap") >= F.col("seen") - 1e-12).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    """p_value of the difference of corpus f of two systems (sent_id, n_gold, n_test, n_matched): approximate randomisation."""
+    return comparison.permutation(comparison.paired(a, b), trials, seed).withColumnRenamed("permutation_p", "p_value")

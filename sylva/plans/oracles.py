@@ -21,7 +21,7 @@ nodes AS (
   UNION ALL SELECT sent_id, node, 1, 2, start, finish, label, NULL FROM chunk_nodes
   UNION ALL SELECT t.sent_id, node + 1 + pos - start, node, 3, pos, pos + 1, tag, form FROM chunk_nodes x JOIN tokens t ON t.sent_id = x.sent_id AND pos >= start AND pos < finish)"""
 
-_MATCH = """
+MATCH_SQL = """
 gold AS (SELECT g.sent_id, t.k, g.start, g.finish, g.label FROM chunks g, (VALUES (0), (1), (2)) AS t(k) WHERE g.k = -1),
 test AS (SELECT sent_id, k, start, finish, label FROM chunks WHERE k >= 0),
 bag AS (SELECT sent_id, k, start, finish, label, sum(g) AS g, sum(t) AS t
@@ -35,7 +35,7 @@ CASE WHEN n_gold > 0 THEN round(n_matched / n_gold, 6) ELSE 0 END AS recall,
 CASE WHEN n_gold + n_test > 0 THEN round(2 * n_matched / (n_gold + n_test), 6) ELSE 0 END AS fscore FROM {name}"""
 
 
-SCORED_SQL = [_MATCH, f"rated AS ({_ratios('matched')})", "scored AS (SELECT n.sent_id, n.n, n.k, n.logprob, r.n_gold, r.n_test, r.n_matched, r.fscore FROM nbest n JOIN rated r USING (sent_id, k))"]
+SCORED_SQL = [MATCH_SQL, f"rated AS ({_ratios('matched')})", "scored AS (SELECT n.sent_id, n.n, n.k, n.logprob, r.n_gold, r.n_test, r.n_matched, r.fscore FROM nbest n JOIN rated r USING (sent_id, k))"]
 
 _TAGGED = """
 tagged AS (SELECT x.sent_id, x.n, x.k, x.c, x.start, x.finish, x.label, t.pos, t.tag, t.form
@@ -98,14 +98,14 @@ contains(form, '-') AS hyphen, CASE WHEN length(form) >= 3 THEN right(lower(form
 SELECT s.sent_id, 'S1' AS label, 2 + s.n + (SELECT count(*) FROM chunks c WHERE c.sent_id = s.sent_id AND c.k = -1) AS size FROM sized s
 UNION ALL SELECT s.sent_id, 'S', 1 + s.n + (SELECT count(*) FROM chunks c WHERE c.sent_id = s.sent_id AND c.k = -1) FROM sized s
 UNION ALL SELECT sent_id, label, 1 + finish - start FROM chunks WHERE k = -1 UNION ALL SELECT sent_id, tag, 1 FROM tokens) GROUP BY label"""),
-    "parseval_sentence": with_treebank(_ratios("matched"), _MATCH),
-    "parseval_corpus": with_treebank(_ratios("(SELECT k, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_test) AS BIGINT) AS n_test, CAST(sum(n_matched) AS BIGINT) AS n_matched FROM matched GROUP BY k)"), _MATCH),
-    "exact_match": with_treebank("SELECT k, count(*) AS n, count(*) FILTER (n_gold = n_matched AND n_test = n_matched) AS exact FROM matched GROUP BY k", _MATCH),
-    "tree_diff": with_treebank("SELECT label, CASE WHEN g > t THEN '-' WHEN g < t THEN '+' ELSE ' ' END AS side, count(*) AS n FROM bag WHERE k = 0 GROUP BY ALL", _MATCH),
+    "parseval_sentence": with_treebank(_ratios("matched"), MATCH_SQL),
+    "parseval_corpus": with_treebank(_ratios("(SELECT k, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_test) AS BIGINT) AS n_test, CAST(sum(n_matched) AS BIGINT) AS n_matched FROM matched GROUP BY k)"), MATCH_SQL),
+    "exact_match": with_treebank("SELECT k, count(*) AS n, count(*) FILTER (n_gold = n_matched AND n_test = n_matched) AS exact FROM matched GROUP BY k", MATCH_SQL),
+    "tree_diff": with_treebank("SELECT label, CASE WHEN g > t THEN '-' WHEN g < t THEN '+' ELSE ' ' END AS side, count(*) AS n FROM bag WHERE k = 0 GROUP BY ALL", MATCH_SQL),
     "crossing_spans": with_treebank("""SELECT t.label, count(*) AS n_crossing, count(DISTINCT t.sent_id) AS n_sentences FROM chunks t JOIN chunks g ON g.sent_id = t.sent_id AND g.k = -1 AND t.k = 0
 WHERE (g.start < t.start AND t.start < g.finish AND g.finish < t.finish) OR (t.start < g.start AND g.start < t.finish AND t.finish < g.finish) GROUP BY t.label"""),
     "constraint_matches": with_treebank("""SELECT k, count(*) AS n, count(*) FILTER (held = needed) AS satisfied FROM (
-SELECT g.sent_id, g.k, count(*) AS needed, count(t.sent_id) AS held FROM gold g LEFT JOIN test t USING (sent_id, k, start, finish, label) WHERE g.finish - g.start = 2 GROUP BY g.sent_id, g.k) GROUP BY k""", _MATCH),
+SELECT g.sent_id, g.k, count(*) AS needed, count(t.sent_id) AS held FROM gold g LEFT JOIN test t USING (sent_id, k, start, finish, label) WHERE g.finish - g.start = 2 GROUP BY g.sent_id, g.k) GROUP BY k""", MATCH_SQL),
     "unique_trees": with_treebank("""SELECT k, count(*) AS n FROM (SELECT sent_id, shape, min(k) AS k FROM (
 SELECT sent_id, k, string_agg(start || ':' || finish || ':' || label, ' ' ORDER BY start) AS shape FROM chunks WHERE k >= 0 GROUP BY ALL) GROUP BY ALL) GROUP BY k"""),
     "nbest_softmax": with_treebank("""SELECT sent_id, k, round(e / sum(e) OVER (PARTITION BY sent_id), 6) AS p, round(logprob - (top + ln(sum(e) OVER (PARTITION BY sent_id))), 6) + 0.0 AS lcp

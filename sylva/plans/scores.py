@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from sylva.functions import heads, text
 from sylva.functions.text import BUCKETS
-from sylva.operators import conditional, treemodel, words
+from sylva.operators import comparison, conditional, treemodel, trees, words
 from sylva.plans import deep, nested
 from sylva.plans import treebank as tb
-from sylva.plans.oracles import with_treebank
+from sylva.plans.oracles import MATCH_SQL, with_treebank
 from sylva.sources.tables import table
 
 QUERIES: dict = {}
@@ -194,3 +194,38 @@ def word_tags(spark, sf):
 QUERIES["word_tags"] = word_tags
 ORACLES["word_tags"] = with_treebank(f"""SELECT word, cap, tag, known, CAST(round(log2(p) * {treemodel.MICRO}) AS BIGINT) AS micro FROM (
 SELECT word, cap, tag, true AS known, p FROM w_known UNION ALL SELECT word, cap, tag, false, p FROM w_unknown) WHERE p > 0""", _WORDS)
+
+
+# --- two candidates as two systems
+
+_TRIALS, _SEED = 200, 17
+_DRAW = "CAST('0x' || substr(md5(concat_ws(':', sent_id, trial, {0})), 1, 8) AS BIGINT)"
+_TIMES = " + ".join(f"CASE WHEN d >= {b} THEN 1 ELSE 0 END" for b in comparison.poisson_bounds())
+_RATIO = "CASE WHEN {0}g + {0}e > 0 THEN 2 * {0}m / ({0}g + {0}e) ELSE 0 END"
+_SIX = [x + c for x in "ab" for c in "gem"]  # gold, test and matched of both
+_PAIRS = f"""
+e_rows AS (SELECT a.sent_id, a.n_gold AS ag, a.n_test AS ae, a.n_matched AS am, b.n_gold AS bg, b.n_test AS be, b.n_matched AS bm FROM matched a JOIN matched b ON a.sent_id = b.sent_id AND a.k = 0 AND b.k = 1),
+e_better AS (SELECT count(*) AS n, count(*) FILTER (x > y) AS better_a, count(*) FILTER (x < y) AS better_b, count(*) FILTER (x = y) AS tied, {", ".join(f"sum({c}) AS {c}" for c in _SIX)}
+  FROM (SELECT *, round({_RATIO.format("a")}, 12) AS x, round({_RATIO.format("b")}, 12) AS y FROM e_rows)),
+e_boot AS (SELECT trial, {", ".join(f"sum(w * {c}) AS {c}" for c in _SIX)}
+  FROM (SELECT *, {_TIMES} AS w FROM (SELECT *, {_DRAW.format(_SEED)} AS d FROM e_rows, (SELECT unnest(range(1, {_TRIALS + 1})) AS trial))) GROUP BY trial),
+e_interval AS (SELECT quantile_cont(x, 0.025) AS low_a, quantile_cont(x, 0.975) AS high_a, quantile_cont(y, 0.025) AS low_b, quantile_cont(y, 0.975) AS high_b FROM (SELECT {_RATIO.format("a")} AS x, {_RATIO.format("b")} AS y FROM e_boot)),
+e_swap AS (SELECT *, trial > 0 AND {_DRAW.format(_SEED + 1)} % 2 = 1 AS s FROM e_rows, (SELECT unnest(range(0, {_TRIALS + 1})) AS trial)),
+e_sums AS (SELECT trial, {", ".join(f"sum(CASE WHEN s THEN {y}{c} ELSE {x}{c} END) AS {x}{c}" for x, y in ("ab", "ba") for c in "gem")} FROM e_swap GROUP BY trial),
+e_gaps AS (SELECT trial, abs({_RATIO.format("a")} - {_RATIO.format("b")}) AS gap FROM e_sums),
+e_p AS (SELECT (count(*) FILTER (gap >= (SELECT gap FROM e_gaps WHERE trial = 0) - 1e-12) + 1) / (count(*) + 1) AS permutation_p FROM e_gaps WHERE trial > 0),
+e_tail AS (SELECT least(1.0::DOUBLE, 2 * sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))) AS binomial_p FROM (SELECT better_a + better_b AS m, unnest(range(0, least(better_a, better_b) + 1)) AS i FROM e_better))"""
+
+
+def model_comparison(spark, sf):
+    """The first two candidates as two systems: sentences won, binomial test, bootstrap intervals, permutation test."""
+    from sylva.plans.catalog import _gold_and_test
+
+    counts = trees.matched_spans(*_gold_and_test(spark, sf), ("sent_id", "k"))
+    row = comparison.compare(counts.where("k = 0"), counts.where("k = 1"), _TRIALS, _SEED)
+    return row.select("n", "better_a", "better_b", "tied", *[F.round(c, 9).alias(c) for c in row.columns if c[0] in "flhp"], F.round("binomial_p", 9).alias("binomial_p"))
+
+
+QUERIES["model_comparison"] = model_comparison
+ORACLES["model_comparison"] = with_treebank(f"""SELECT n, better_a, better_b, tied, round({_RATIO.format("a")}, 9) AS f_a, round({_RATIO.format("b")}, 9) AS f_b, round(low_a, 9) AS low_a, round(high_a, 9) AS high_a,
+round(low_b, 9) AS low_b, round(high_b, 9) AS high_b, round(permutation_p, 9) AS permutation_p, round(binomial_p, 9) AS binomial_p FROM e_better, e_interval, e_p, e_tail""", MATCH_SQL, _PAIRS)
