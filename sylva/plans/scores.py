@@ -5,7 +5,9 @@ The model is counted on the gold trees; the candidates are scored. Weights are b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions import heads, text
@@ -14,7 +16,9 @@ from sylva.operators import comparison, conditional, treemodel, trees, words
 from sylva.plans import deep, nested
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import MATCH_SQL, with_treebank
+from sylva.sources.shared import shared_dir
 from sylva.sources.tables import table
+from sylva.streaming import ordered
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -229,3 +233,24 @@ def model_comparison(spark, sf):
 QUERIES["model_comparison"] = model_comparison
 ORACLES["model_comparison"] = with_treebank(f"""SELECT n, better_a, better_b, tied, round({_RATIO.format("a")}, 9) AS f_a, round({_RATIO.format("b")}, 9) AS f_b, round(low_a, 9) AS low_a, round(high_a, 9) AS high_a,
 round(low_b, 9) AS low_b, round(high_b, 9) AS high_b, round(permutation_p, 9) AS permutation_p, round(binomial_p, 9) AS binomial_p FROM e_better, e_interval, e_p, e_tail""", MATCH_SQL, _PAIRS)
+
+
+# --- a stream of lists
+
+
+def ordered_stream(spark, sf):
+    """O: the deep candidates as files of parses in mixed order, streamed two files a batch, lists out in the order of a document's sentences."""
+    from sylva.plans.extra import _lists
+
+    number = F.dense_rank().over(Window.partitionBy("stream").orderBy("sent_id")) - 1
+    rows = _lists(spark, sf).withColumn("stream", F.expr("CAST(sent_id div 1000000 AS STRING)")).withColumn("sent_no", number.cast("long"))
+    rows = rows.select("stream", "sent_no", F.lit(len(tb.CANDIDATES)).alias("n"), "k", "logprob", "tree", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(6, F.xxhash64("stream", "sent_no", "k")).write.parquet(f"{base}/in")
+    out = ordered.run_now(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files=2)
+    return out.select("stream", "sent_no", "seq", "whole", "rank", "k", "logprob", F.md5("tree").alias("tree"))
+
+
+QUERIES["ordered_stream"] = ordered_stream
+ORACLES["ordered_stream"] = with_treebank("""SELECT stream, sent_no, sent_no AS seq, true AS whole, CAST(row_number() OVER (PARTITION BY stream, sent_no ORDER BY logprob DESC, k) AS INTEGER) AS rank, k, logprob, md5(tree) AS tree FROM (
+SELECT *, dense_rank() OVER (PARTITION BY stream ORDER BY sent_id) - 1 AS sent_no FROM (SELECT CAST(sent_id // 1000000 AS VARCHAR) AS stream, sent_id, k, logprob, tree FROM ntrees JOIN nbest USING (sent_id, k) WHERE k >= 0))""", nested.TREES_SQL)
