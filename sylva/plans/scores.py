@@ -16,6 +16,7 @@ from sylva.operators import comparison, conditional, treemodel, trees, words
 from sylva.plans import deep, nested
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import MATCH_SQL, with_treebank
+from sylva.sources import files, formats
 from sylva.sources.shared import shared_dir
 from sylva.sources.tables import table
 from sylva.streaming import ordered
@@ -254,3 +255,35 @@ def ordered_stream(spark, sf):
 QUERIES["ordered_stream"] = ordered_stream
 ORACLES["ordered_stream"] = with_treebank("""SELECT stream, sent_no, sent_no AS seq, true AS whole, CAST(row_number() OVER (PARTITION BY stream, sent_no ORDER BY logprob DESC, k) AS INTEGER) AS rank, k, logprob, md5(tree) AS tree FROM (
 SELECT *, dense_rank() OVER (PARTITION BY stream ORDER BY sent_id) - 1 AS sent_no FROM (SELECT CAST(sent_id // 1000000 AS VARCHAR) AS stream, sent_id, k, logprob, tree FROM ntrees JOIN nbest USING (sent_id, k) WHERE k >= 0))""", nested.TREES_SQL)
+
+
+# --- files read by splits
+
+
+def _file_query(name: str, what: str, write, read, sql: str, *ctes: str) -> None:
+    """A query that writes rows as text files to the shared folder and reads them in splits of 100,000 bytes."""
+
+    def run(spark, sf):
+        files.register(spark)
+        folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        write(spark, sf).repartition(3).write.text(folder)
+        return read(spark.read.format(what).option("split_bytes", 100_000).load(folder))
+
+    run.__name__, run.__doc__ = name, f"{what}: text files written, and read again by byte ranges."
+    QUERIES[name], ORACLES[name] = run, with_treebank(sql, *ctes)
+
+
+_file_query("sgml_files", "sylva_sgml", lambda spark, sf: formats.write_sgml(tb.sentences(spark, sf)), lambda df: formats.read_sgml(df).select("sent_id", F.md5("sentence").alias("sentence")),
+            "SELECT sent_id, md5(regexp_replace(sentence, '^\\s+|\\s+$', '', 'g')) AS sentence FROM sentences")
+_file_query("tree_files", "sylva_trees", lambda spark, sf: nested.trees(spark, sf).select("tree"), lambda df: df.groupBy(F.md5("text").alias("tree")).agg(F.count("*").alias("n")),
+            "SELECT md5(tree) AS tree, count(*) AS n FROM ntrees WHERE k = -1 GROUP BY ALL", nested.TREES_SQL)
+
+
+def _list_texts(spark, sf) -> DataFrame:
+    from sylva.plans.extra import _lists
+
+    return formats.write_nbest(_lists(spark, sf))
+
+
+_file_query("nbest_files", "sylva_nbest", _list_texts, lambda df: formats.read_nbest(df).select(F.col("sent_id").cast("long").alias("sent_id"), "k", "logprob", F.md5("tree").alias("tree")),
+            "SELECT sent_id, k, logprob, md5(tree) AS tree FROM ntrees JOIN nbest USING (sent_id, k) WHERE k >= 0", nested.TREES_SQL)
