@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.functions import heads, text
+from sylva.functions import heads, tables, text
 from sylva.functions.text import BUCKETS
 from sylva.operators import comparison, conditional, treemodel, trees, words
 from sylva.plans import deep, nested
@@ -287,3 +287,29 @@ def _list_texts(spark, sf) -> DataFrame:
 
 _file_query("nbest_files", "sylva_nbest", _list_texts, lambda df: formats.read_nbest(df).select(F.col("sent_id").cast("long").alias("sent_id"), "k", "logprob", F.md5("tree").alias("tree")),
             "SELECT sent_id, k, logprob, md5(tree) AS tree FROM ntrees JOIN nbest USING (sent_id, k) WHERE k >= 0", nested.TREES_SQL)
+
+
+# --- table functions in SQL
+
+
+def _sql(spark, text_: str, **views: DataFrame) -> DataFrame:
+    """Spark SQL with the table functions, over views of these names (made anew each time)."""
+    tables.register(spark)
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(text_)
+
+
+def lateral_nodes(spark, sf):
+    """Nodes of the deep trees by a lateral table function."""
+    return _sql(spark, "SELECT n.label, least(n.depth, 40) AS depth, count(*) AS n, sum(n.start) AS starts, count(n.word) AS words FROM sylva_trees t, LATERAL tree_nodes(t.tree) n GROUP BY ALL", sylva_trees=nested.trees(spark, sf))
+
+
+def best_parses(spark, sf):
+    """The best two candidates of each sentence by a table function that declares its partitioning."""
+    return _sql(spark, "SELECT sent_id, k, logprob, rank FROM best_parses(TABLE(sylva_lists), 2)", sylva_lists=tb.nbest(spark, sf))
+
+
+QUERIES |= {"lateral_nodes": lateral_nodes, "best_parses": best_parses}
+ORACLES["lateral_nodes"] = "WITH RECURSIVE " + ",\n".join([tb.ORACLE.strip(), *nested.nodes_sql("k = -1")]) + "\nSELECT label, least(depth, 40) AS depth, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, count(word) AS words FROM nn GROUP BY ALL"
+ORACLES["best_parses"] = with_treebank("SELECT sent_id, k, logprob, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY logprob DESC, k) AS r FROM nbest) WHERE r <= 2")
