@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import heads, tables, text
 from sylva.functions.text import BUCKETS
-from sylva.operators import comparison, conditional, treemodel, trees, words
+from sylva.operators import comparison, conditional, thirds, treemodel, trees, words
 from sylva.plans import deep, nested
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import MATCH_SQL, with_treebank
@@ -313,3 +313,38 @@ def best_parses(spark, sf):
 QUERIES |= {"lateral_nodes": lateral_nodes, "best_parses": best_parses}
 ORACLES["lateral_nodes"] = "WITH RECURSIVE " + ",\n".join([tb.ORACLE.strip(), *nested.nodes_sql("k = -1")]) + "\nSELECT label, least(depth, 40) AS depth, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, count(word) AS words FROM nn GROUP BY ALL"
 ORACLES["best_parses"] = with_treebank("SELECT sent_id, k, logprob, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY logprob DESC, k) AS r FROM nbest) WHERE r <= 2")
+
+
+# --- third relations
+
+_RULES = [*thirds.THIRDS, ("NP", "PP", 1, "S"), ("NP", "VP", 1, "S"), ("NP", "NP", 1, "S"), ("NN", "NP", 1, "S"), ("NN", "NP", 2, "NN"), ("JJ", "NP", 2, "NN"), ("NP", "S", 2, "PP"), ("PP", "S", 2, "VP"),
+          ("NP", "S", 3, "NN"), ("ADVP", "S", 3, "NP"), ("NP", "VP", 3, "NN"), ("SBAR", "SBAR", 4, "SBAR"), ("SBAR", "S", 4, "S"), ("NP", "S", 4, "S"), ("VP", "S", 4, "S")]
+_THIRDS = f"""
+t_own AS (SELECT c.sent_id, c.k, c.node, c.parent, c.cat AS dep, x.lex, h.node AS p_head, p.cat AS above, p.parent AS up, xp.lex AS p_lex, xo.lex AS o_lex,
+    row_number() OVER w AS ix, lag(c.node) OVER w AS bef, lead(c.node) OVER w AS aft
+  FROM c0 c JOIN c0 p ON {_on("c", "p", "parent", "node")} LEFT JOIN lex x ON {_on("c", "x", "node", "node")} LEFT JOIN lex xp ON {_on("p", "xp", "node", "node")}
+  LEFT JOIN head h ON {_on("c", "h", "parent", "parent")} LEFT JOIN lex xo ON {_on("p", "xo", "parent", "node")} WINDOW w AS (PARTITION BY c.sent_id, c.k, c.parent ORDER BY c.node)),
+t_at AS (SELECT *, max(CASE WHEN node = p_head THEN ix END) OVER (PARTITION BY sent_id, k, parent) AS hx FROM t_own),
+t_kids AS (SELECT sent_id, k, parent, list(node ORDER BY node) AS ids FROM c0 WHERE parent IS NOT NULL GROUP BY ALL),
+t_in AS (SELECT a.*, ids, i.node AS i_head FROM t_at a LEFT JOIN t_kids c ON {_on("a", "c", "p_head", "parent")} LEFT JOIN head i ON {_on("a", "i", "p_head", "parent")}),
+t_rel AS (SELECT sent_id, k, node, dep, above, 1 AS rel, CASE WHEN p_lex IS DISTINCT FROM lex AND up IS NOT NULL AND o_lex IS DISTINCT FROM lex THEN up END AS third FROM t_in
+  UNION ALL SELECT sent_id, k, node, dep, above, 2, CASE WHEN ix > hx + 1 THEN bef WHEN ix < hx - 1 THEN aft END FROM t_in
+  UNION ALL SELECT sent_id, k, node, dep, above, 3, CASE WHEN i_head IS NULL THEN NULL WHEN ix = hx - 1 THEN CASE WHEN ids[1] <> i_head THEN ids[1] ELSE ids[2] END
+    WHEN ix = hx + 1 THEN CASE WHEN ids[-1] <> i_head THEN ids[-1] WHEN len(ids) > 1 THEN ids[-2] END END FROM t_in
+  UNION ALL SELECT sent_id, k, node, dep, above, 4, CASE WHEN p_lex IS DISTINCT FROM lex THEN parent END FROM t_in),
+t_rules(ord, dep, above, rel, term) AS (VALUES {", ".join(str((i, *r)) for i, r in enumerate(_RULES))}),
+t_held AS (SELECT r.*, u.ord, u.term, x.lex AS third_lex, row_number() OVER (PARTITION BY r.sent_id, r.k, r.node ORDER BY u.ord) AS nth
+  FROM t_rel r JOIN c0 c ON {_on("r", "c", "third", "node")} JOIN t_rules u ON u.dep = r.dep AND u.above = r.above AND u.rel = r.rel AND u.term = c.cat LEFT JOIN lex x ON {_on("r", "x", "third", "node")})"""
+
+
+def third_relations(spark, sf):
+    """Nodes of the gold trees by the first rule that names a third node, with that node's head word."""
+    found = thirds.relations(nested.trees(spark, sf), key=KEY)
+    held = thirds.thirds(found, thirds.rule_table(spark, _RULES), KEY)
+    return held.groupBy("dep", "above", "rel", "term", F.col("third_word").alias("word")).agg(F.count("*").alias("n"), F.sum("third").alias("thirds"))
+
+
+QUERIES["third_relations"] = third_relations
+ORACLES["third_relations"] = "WITH RECURSIVE " + ",\n".join([tb.ORACLE.strip(), *nested.nodes_sql("k = -1"), deep._FIRST, _THIRDS]) + f"""
+SELECT t.dep, t.above, t.rel, t.term, coalesce(translate(x.word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^^') AS word, count(*) AS n, CAST(sum(t.third) AS BIGINT) AS thirds
+FROM t_held t LEFT JOIN c0 x ON {_on("t", "x", "third_lex", "node")} WHERE nth = 1 GROUP BY ALL"""
