@@ -5,6 +5,7 @@ lists: sent_id, k, score (the model's), fscore (against gold); values: sent_id,
 
 from __future__ import annotations
 
+import heapq
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,18 +242,30 @@ def search_factors(score, names: list[str], rounds: int = 10, step: float = 2.0,
     return best, value
 
 
-def search_classes(score, names: list[str]) -> tuple[set[str], float]:
-    """A set of names with a great score(set): from all, the best single change (out or in) as long as one helps. Scores are remembered."""
+def search_classes(score, names: list[str], patience: int = 3) -> tuple[set[str], float]:
+    """A set of names with a great score(set), by best-first search from all names.
+
+    The best set in the queue that hasn't been opened is opened: all sets with one name more or less are scored and queued.
+    Scores are remembered. It ends when `patience` openings in a row found nothing better, or the queue is empty.
+    """
     known: dict[frozenset, float] = {}
+    queue: list[tuple[float, list[str], frozenset]] = []
 
-    def of(chosen: frozenset) -> float:
+    def visit(chosen: frozenset) -> None:
         if chosen not in known:
             known[chosen] = score(set(chosen))
-        return known[chosen]
+            heapq.heappush(queue, (-known[chosen], sorted(chosen), chosen))
 
     best = frozenset(names)
-    while True:
-        new = max((best ^ {n} for n in names), key=lambda c: (of(c), sorted(c)))
-        if of(new) <= of(best):
-            return set(best), of(best)
-        best = new
+    visit(best)
+    waited = 0
+    while queue and waited < patience:
+        _, _, chosen = heapq.heappop(queue)
+        for n in names:
+            visit(chosen ^ {n})
+        top = min(queue, default=(0.0, [], chosen))
+        if top[2] in known and known[top[2]] > known[best]:
+            best, waited = top[2], 0
+        else:
+            waited += 1
+    return set(best), known[best]

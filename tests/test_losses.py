@@ -53,12 +53,15 @@ def test_searches():
     best, value = losses.search_factors(lambda f: -((np.log(f["a"]) - np.log(8)) ** 2) - (np.log(f["b"]) + 1) ** 2, ["a", "b"])
     assert abs(np.log(best["a"] / 8)) < 0.2 and abs(np.log(best["b"]) + 1) < 0.2 and value > -0.1
     assert losses.search_classes(lambda c: len(c & {"x", "y"}) - len(c - {"x", "y"}), ["x", "y", "z", "w"]) == ({"x", "y"}, 2)
+    hill = {frozenset("ab"): 2.0, frozenset("a"): 1.0, frozenset("b"): 1.5, frozenset(): 5.0}  # a step down before the best
+    calls = []
+    assert losses.search_classes(lambda c: calls.append(c) or hill[frozenset(c)], ["a", "b"]) == (set(), 5.0) and len(calls) == 4
 
 
 def test_trained_rankers(spark):
     lists = spark.createDataFrame([(s, k, 1.0 if k == s % 3 else 0.2) for s in range(30) for k in range(3)], "sent_id long, k int, fscore double")
     values = spark.createDataFrame([(s, k, f"C:{'good' if k == s % 3 else 'bad'}", 1.0) for s in range(30) for k in range(3)], "sent_id long, k int, feat string, val double")
-    w = perceptron.fit_perceptron(lists, values, epochs=4, parts=2, burn_in=1, reduce=0.5, decay=0.99, factors={"C": 2.0})
+    w = {r.feat: r.w for r in perceptron.fit_perceptron(lists, values, epochs=4, parts=2, burn_in=1, reduce=0.5, decay=0.99, factors={"C": 2.0}).collect()}
     assert w["C:good"] > 0 > w["C:bad"]
     _, _, track = neural.fit(lists, values, ["C:good", "C:bad"], rounds=12)
     assert track[-1] < 0.8 * track[0]

@@ -16,10 +16,47 @@ def test_unit_rules(spark):
 def test_perceptron(spark):
     lists = spark.createDataFrame([(s, k, 1.0 if k == s % 2 else 0.3) for s in range(40) for k in (0, 1)], "sent_id long, k int, fscore double")
     values = spark.createDataFrame([(s, k, "good" if k == s % 2 else "bad", 1.0) for s in range(40) for k in (0, 1)], "sent_id long, k int, feat string, val double")
-    w = perceptron.fit_perceptron(lists, values, epochs=2, parts=3)
+    w = {r.feat: r.w for r in perceptron.fit_perceptron(lists, values, epochs=2, parts=3).collect()}
     assert w["good"] > 0 > w["bad"]
 
 
+def plain_fit(lists, values, epochs, parts, part_of, burn_in, reduce, decay, factors):
+    """Parameter mixing in plain Python, with every weight in every part."""
+    import zlib
+
+    sents = sorted({s for s, *_ in lists})
+    x = {(s, k): {} for s, k, _ in lists}
+    for s, k, f, v in values:
+        x[s, k][f] = v
+    weights, kept = {}, []
+    for epoch in range(epochs):
+        total = dict.fromkeys({f for _, _, f, _ in values}, 0.0)
+        for p in range(parts):
+            own = sorted((s for s in sents if part_of[s] == p), key=lambda s: (zlib.crc32(f"{epoch} {s}".encode()), str(s)))
+            w = perceptron._sweep([[(f, x[s, k]) for t, k, f in sorted(lists) if t == s] for s in own], weights, reduce**epoch, decay, factors)
+            for f in total:
+                total[f] += w.get(f, 0.0) * len(own) / len(sents)
+        weights = total
+        kept += [weights] if epoch >= burn_in else []
+    return {f: sum(w[f] for w in kept) / len(kept) for f in weights} if burn_in else weights
+
+
+def test_weights_in_tables_equal_weights_in_memory(spark):
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    lists = [(s, k, round(rng.random(), 2)) for s in range(60) for k in range(rng.randint(1, 4))]
+    values = [(s, k, f"C{f % 3}:{f}", float(rng.randint(1, 3))) for s, k, _ in lists for f in rng.sample(range(25), rng.randint(0, 6))]
+    frames = spark.createDataFrame(lists, "sent_id long, k int, fscore double").repartition(5), spark.createDataFrame(values, "sent_id long, k int, feat string, val double").repartition(4)
+    for parts, burn_in, factors in ((1, 0, None), (4, 2, {"C1": 0.5})):
+        part_of = {r.sent_id: r.p for r in frames[0].select("sent_id", F.pmod(F.xxhash64("sent_id"), F.lit(parts)).alias("p")).distinct().collect()}
+        got = {r.feat: r.w for r in perceptron.fit_perceptron(*frames, 4, parts, burn_in, 0.8, 0.99, factors).collect()}
+        assert got == pytest.approx(plain_fit(lists, values, 4, parts, part_of, burn_in, 0.8, 0.99, factors), abs=1e-9) and any(got.values())
+
+
 def test_pretty():
     import pytest
 
