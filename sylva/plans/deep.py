@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import heads
 from sylva.functions.rowtree import BOUNDING, CLOSED, FUNCTIONAL
-from sylva.operators import treefeatures, trees
+from sylva.operators import arrayfeatures, treefeatures, trees
 from sylva.plans import nested
 from sylva.plans import treebank as tb
 from sylva.sources import ptb
@@ -41,7 +41,7 @@ def _parses(spark, sf) -> DataFrame:
 
 
 def _pairs(spark, sf) -> DataFrame:
-    """sent_id, k, gold, tree: gold's text is made in the row, so no join."""
+    """sent_id, k, gold, tree: each candidate with gold's tree, by a join on the sentence."""
     return _parses(spark, sf).join(_gold(spark, sf).select("sent_id", F.col("tree").alias("gold")), "sent_id")
 
 
@@ -100,15 +100,11 @@ def _q(n: str) -> str:
 def _totals(*parts: tuple[str, str]) -> str:
     """parts: (class, SQL of sent_id, k, feat, a row for each occurrence)."""
     union = " UNION ALL ".join(f"SELECT sent_id, k, '{cls}' AS cls, feat FROM ({sql})" for cls, sql in parts)
-    return f"SELECT cls, feat, count(*) AS parses, CAST(sum(val) AS DOUBLE) AS total FROM (SELECT sent_id, k, cls, feat, count(*) AS val FROM ({union}) WHERE feat IS NOT NULL GROUP BY ALL) GROUP BY ALL HAVING count(*) >= {LEAST}"
-
-
-#: Features of fewer parses are left out, as the ranker's dictionary does.
-LEAST = 5
+    return f"SELECT cls, feat, count(*) AS parses, CAST(sum(val) AS DOUBLE) AS total FROM (SELECT sent_id, k, cls, feat, count(*) AS val FROM ({union}) WHERE feat IS NOT NULL GROUP BY ALL) GROUP BY ALL"
 
 
 def _features(spark, sf, *names: str) -> DataFrame:
-    return treefeatures.feature_totals(_parses(spark, sf), list(names)).where(F.col("parses") >= LEAST)
+    return arrayfeatures.feature_totals(_parses(spark, sf), list(names))
 
 
 @query("SELECT label, least(depth, 40) AS depth, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(finish) AS BIGINT) AS finishes, count(word) AS words, CAST(sum(parent) AS BIGINT) AS parents FROM nn GROUP BY ALL")
@@ -260,10 +256,10 @@ def deep_projection(spark, sf):
 @query(_totals(("RightBranch", "SELECT sent_id, k, '1' AS feat FROM spine UNION ALL SELECT v.sent_id, v.k, '0' FROM v LEFT JOIN spine USING (sent_id, k, node) WHERE NOT punct AND spine.node IS NULL"), ("RightBranchLength", "SELECT sent_id, k, CAST(CAST(floor(log2(r)) AS INT) AS VARCHAR) AS feat FROM chain WHERE word IS NOT NULL"), ("LeftBranchLength", "SELECT sent_id, k, CAST(CAST(floor(log2(l)) AS INT) AS VARCHAR) AS feat FROM chain WHERE word IS NOT NULL")),
        "w AS MATERIALIZED (SELECT *, max(ix) OVER (PARTITION BY sent_id, k, parent) AS hi, min(ix) OVER (PARTITION BY sent_id, k, parent) AS lo FROM v WHERE NOT punct)",
        "chain(sent_id, k, node, word, r, l, s) AS (SELECT sent_id, k, node, word, 1, 1, true FROM w WHERE parent IS NULL UNION ALL SELECT c.sent_id, c.k, c.node, c.word, CASE WHEN c.ix = hi THEN r + 1 ELSE 1 END, CASE WHEN c.ix = lo THEN l + 1 ELSE 1 END, s AND c.ix = hi FROM chain p JOIN w c ON c.sent_id = p.sent_id AND c.k = p.k AND c.parent = p.node)",
-       "spine AS (SELECT sent_id, k, node FROM chain WHERE s)", k="k = 1")
+       "spine AS (SELECT sent_id, k, node FROM chain WHERE s)")
 def deep_branches(spark, sf):
-    """J' RightBranch, LeftBranchLength, RightBranchLength, of the second candidate."""
-    return treefeatures.feature_totals(nested.trees(spark, sf, (1,)), ["RightBranch", "LeftBranchLength", "RightBranchLength"]).where(F.col("parses") >= LEAST)
+    """J' RightBranch, LeftBranchLength, RightBranchLength."""
+    return treefeatures.feature_totals(_parses(spark, sf), ["RightBranch", "LeftBranchLength", "RightBranchLength"])
 
 
 @query(_totals(
@@ -309,7 +305,7 @@ def deep_head_features(spark, sf):
 @query()
 def deep_fragments(spark, sf):
     """J' Heads, NGramTree, HeadTree, CoPar, NNGram (no SQL: recursive texts; tested against known trees)."""
-    return _features(spark, sf, "Heads:2:1:1:0", "Heads:3:0:0:0", "NGramTree:2:0:1:0", "HeadTree:1:0:0:1", "CoPar:0", "NNGram:2:1:1")
+    return treefeatures.feature_totals(_parses(spark, sf), ["Heads:2:1:1:0", "Heads:3:0:0:0", "NGramTree:2:0:1:0", "HeadTree:1:0:0:1", "CoPar:0", "NNGram:2:1:1"])
 
 
 __all__ = ["ORACLES", "QUERIES"]
