@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.lists import numbered
+
 KEYS = ("sent_id", "k")
 
 
@@ -74,12 +76,10 @@ def pseudo_constants(values: DataFrame, lists: DataFrame) -> DataFrame:
 def dictionary(values: DataFrame, lists: DataFrame, least: int = 5) -> DataFrame:
     """fid, cls, feat, sentences: features that vary in `least` sentences or more, numbered by class and feature from 0.
 
-    The numbering sorts the pruned dictionary alone: a range sort, counts by its partitions, and their prefix sums.
+    Only the pruned dictionary is sorted, by ranges (lists.numbered).
     """
     kept = pseudo_constants(values, lists).where("NOT constant").groupBy("cls", "feat").agg(F.count("*").alias("sentences")).where(F.col("sentences") >= least)
-    first = kept.groupBy("cls").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)))
-    number = F.row_number().over(Window.partitionBy("cls").orderBy("feat")) - 1
-    return kept.withColumn("_r", number).join(F.broadcast(first), "cls").select((F.col("_r") + F.coalesce("_before", F.lit(0))).cast("long").alias("fid"), "cls", "feat", "sentences")
+    return numbered(kept, ["cls", "feat"]).select(F.col("i").alias("fid"), "cls", "feat", "sentences")
 
 
 def baseline_shift(values: DataFrame, lists: DataFrame) -> DataFrame:

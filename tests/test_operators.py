@@ -8,7 +8,7 @@ from sylva.functions import text
 from sylva.operators import losses, nbest, trees
 from sylva.sources import formats, ptb
 
-TREE = "(S1 (S (NP (NNS Owls)) (VP (VBD chased) (NP (JJ grey) (NNS mice))) (, ,)))"
+TREE = "(S1 (SINV (ADVP (RB Here)) (VP (VBZ comes)) (NP (NP (DT the) (NN bus)) (PP (TO to) (NP (NNP Bergen))))))"
 
 
 @pytest.fixture
@@ -18,9 +18,9 @@ def nodes(spark):
 
 def test_read_and_write(nodes):
     rows = {(r.sent_id, r.node): r for r in nodes.collect()}
-    assert rows[1, 0].label == "S1" and rows[1, 0].parent is None and (rows[1, 0].start, rows[1, 0].finish) == (0, 5)
-    assert [rows[1, k].label for k in range(10)] == ["S1", "S", "NP", "NNS", "VP", "VBD", "NP", "JJ", "NNS", ","]
-    assert [rows[1, k].parent for k in range(1, 10)] == [0, 1, 2, 1, 4, 4, 6, 6, 1]
+    assert rows[1, 0].label == "S1" and rows[1, 0].parent is None and (rows[1, 0].start, rows[1, 0].finish) == (0, 6)
+    assert [rows[1, k].label for k in range(14)] == "S1 SINV ADVP RB VP VBZ NP NP DT NN PP TO NP NNP".split()
+    assert [rows[1, k].parent for k in range(1, 14)] == [0, 1, 2, 1, 4, 1, 6, 7, 7, 6, 10, 10, 12]
     assert rows[2, 0].label == "S1"
     back = {r.sent_id: r.tree for r in ptb.write_trees(nodes).collect()}
     assert back == {1: TREE, 2: "(S1 (S (NN x)))"}
@@ -28,21 +28,21 @@ def test_read_and_write(nodes):
 
 def test_leaves_heads_and_dependencies(nodes):
     leaves = {r.sent_id: (r.forms, r.tags) for r in trees.tokens_and_tags(nodes).collect()}
-    assert leaves[1] == ("Owls chased grey mice ,", "NNS VBD JJ NNS ,")
+    assert leaves[1] == ("Here comes the bus to Bergen", "RB VBZ DT NN TO NNP")
 
 
 def test_heads_and_dependencies(spark):
     df = spark.createDataFrame([(1, TREE), (2, "broken (")], "sent_id long, tree string")
     heads = {r.node: (r.lex_word, r.lex_start) for r in trees.row_heads(df).collect()}
-    assert heads == {0: ("chased", 1), 1: ("chased", 1), 2: ("Owls", 0), 4: ("chased", 1), 6: ("mice", 3)}
-    assert [(r.gov, r.dep) for r in trees.dependencies(df).orderBy("i").collect()] == [(3, 2), (1, 3), (1, 0), (1, 4)]
-    assert [(r.id, r.head) for r in trees.conll(df).orderBy("id").collect()] == [(1, 2), (2, 0), (3, 4), (4, 2), (5, 2)]
+    assert heads == {0: ("comes", 1), 1: ("comes", 1), 2: ("Here", 0), 4: ("comes", 1), 6: ("bus", 3), 7: ("bus", 3), 10: ("to", 4), 12: ("Bergen", 5)}
+    assert [(r.gov, r.dep) for r in trees.dependencies(df).orderBy("i").collect()] == [(4, 5), (3, 2), (3, 4), (1, 0), (1, 3)]
+    assert [(r.id, r.head) for r in trees.conll(df).orderBy("id").collect()] == [(1, 2), (2, 0), (3, 4), (4, 2), (5, 4), (6, 5)]
     assert [r.sent_id for r in ptb.errors(df).collect()] == [2]
 
 
 def test_last_descendants(nodes):
     last = {r.node: r.last_desc for r in trees.last_descendants(nodes).where("sent_id = 1").collect()}
-    assert last[0] == 9 and last[2] == 3 and last[4] == 8 and last[3] == 3
+    assert last[0] == 13 and last[2] == 3 and last[4] == 5 and last[3] == 3 and last[6] == 13 and last[7] == 9
 
 
 def test_parseval_counts_are_multisets(spark):
