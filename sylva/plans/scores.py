@@ -137,8 +137,7 @@ def tree_log_probs(spark, sf):
 @query("SELECT calc, k, count(*) AS n, CAST(sum(micro) AS BIGINT) AS micro FROM m_scored GROUP BY calc, k")
 def calc_log_probs(spark, sf):
     """H3, I4: events of every calculation with their scores, by calculation and candidate."""
-    scores = treemodel.with_scores(treemodel.tree_events(_candidates(spark, sf), key=KEY), _tables(spark, sf, tuple(conditional.CALCS)))
-    return scores.groupBy("calc", "k").agg(F.count("*").alias("n"), F.sum("micro").alias("micro"))
+    return treemodel.calc_scores(_candidates(spark, sf), _tables(spark, sf, tuple(conditional.CALCS)), key=KEY)
 
 
 _UPTO = f"""

@@ -106,6 +106,10 @@ def test_scores_are_sums(spark, trees, texts):
         assert all(got[k][f"micro_{calc}"] == sums[k] for k in got)
     assert all(r.micro == sum(r[f"micro_{c}"] for c in tm.TREE_CALCS) for r in got.values())
     assert got.keys() == {k for k, t in enumerate(texts) if RowTree.read(t) is not None}
+    sums = {r.calc: (r.n, r.micro) for r in tm.calc_scores(trees, tables).collect()}
+    for calc in co.CALCS:
+        events = list(row_events(texts, calc))
+        assert sums[calc] == (len(events), sum(micro[calc, ctx, y] for _, y, ctx in events))
     inside = tm.inside_scores(trees, tables, key=key).collect()
     assert {r.sent_id: r.micro for r in inside if r.node == 0} == {k: r.micro for k, r in got.items()}
     by_node = Counter()
