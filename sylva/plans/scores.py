@@ -24,6 +24,8 @@ from sylva.streaming import ordered
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 KEY = ("sent_id", "k")
+#: The queries that take longest; a run over all queries has them last.
+LONGEST = ("tree_log_probs", "calc_log_probs", "inside_scores")
 
 
 def _on(a: str, b: str, x: str, y: str) -> str:
