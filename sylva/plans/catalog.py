@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sylva.functions import text, tokenizer
 from sylva.operators import counting, evaluation, features, fusion, interpolation, losses, nbest, parser, trees
-from sylva.plans import deep, extra, scores
+from sylva.plans import deep, extra, nested, scores
 from sylva.plans import treebank as tb
 from sylva.plans.oracles import ORACLES as FLAT_ORACLES
+from sylva.plans.oracles import SECOND_SCORE
 from sylva.sources import ptb
 from sylva.sources.tables import table
 from sylva.streaming import sentences as streams
@@ -436,6 +437,16 @@ def fuse_trees(spark, sf):
     return fused.join(gold, "sent_id").groupBy((F.concat(F.lit("(S1 "), "tree", F.lit(")")) == F.col("gold")).alias("is_gold"), F.col("tree").isNull().alias("none")).agg(F.count("*").alias("n"))
 
 
+@query
+def fuse_score_sets(spark, sf):
+    """Deep trees fused by parser scores, by second scores raised to a power, and by both; the first tree where that fails."""
+    sized = tb.token_arrays(spark, sf).select("sent_id", F.size("forms").alias("n"))
+    scores_ = sized.select("sent_id", F.explode(F.array(*map(F.lit, tb.CANDIDATES))).alias("k"), "n").select("sent_id", "k", F.expr(tb.SCORE).alias("parser"), F.expr(SECOND_SCORE).alias("second"))
+    lists = fusion.with_chains(nested.trees(spark, sf, tb.CANDIDATES)).join(scores_, ["sent_id", "k"])
+    sets = {"parser": fusion.ScoreSet("parser"), "second": fusion.ScoreSet("second", exponent=1.2, share=3.0)}
+    return fusion.fuse_sets(lists, sets, "mixed").withColumn("tree", F.md5("tree"))
+
+
 @query
 def lambda_em_pass(spark, sf):
     """Interpolation weights by bucket after two passes."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sylva.functions.text import BUCKETS
+from sylva.plans.nested import nodes_sql
 from sylva.plans.treebank import ORACLE
 
 
@@ -179,3 +180,45 @@ FROM pairs JOIN (SELECT bucket, sum(n * 0.5 * gh / (0.5 * gh + 0.5 * gl)) / sum(
         "e2 AS (SELECT c1, c2, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY c1, c2) AS tot, round(count(*) / sum(count(*)) OVER (PARTITION BY c1, c2), 9) AS gh FROM events GROUP BY c1, c2, y)",
         "pairs AS (SELECT CAST(" + _bucket.replace("n >", "tot / 10 >") + " AS INT) AS bucket, n, CAST(gh AS DOUBLE) AS gh, CAST(gl AS DOUBLE) AS gl FROM e2 JOIN e1 USING (c1, y))"),
 }
+
+
+# --- fusion
+
+#: A second score of each candidate, in the place of a reranker's.
+SECOND_SCORE = "round((n % 5) * (k - 1) * CAST(0.3 AS DOUBLE) + CASE WHEN k = 1 THEN (sent_id % 4) - CAST(1.5 AS DOUBLE) ELSE 0 END, 6)"
+
+
+def _softmax(score: str) -> str:
+    return f"(SELECT sent_id, k, e / sum(e) OVER (PARTITION BY sent_id) AS p FROM (SELECT sent_id, k, exp({score} - max({score}) OVER (PARTITION BY sent_id)) AS e FROM nbest))"
+
+
+#: Fused trees from piece(sent_id, k, node, start, finish, label, word) and probs(sent_id, set, k, p). Spans that reach one half
+#: don't cross, so the tree is all of them: brackets open before a word, the widest first, and close after it.
+FUSED_SQL = """
+unary AS (SELECT sent_id, k, start, finish, string_agg(label, '+' ORDER BY node) AS chain, CAST(NULL AS VARCHAR) AS word FROM piece WHERE word IS NULL AND finish > start GROUP BY ALL
+  UNION ALL SELECT sent_id, k, start, finish, label, word FROM piece WHERE word IS NOT NULL AND finish > start),
+weighted AS (SELECT sent_id, set, start, finish, chain, word, sum(p) AS score FROM unary JOIN probs USING (sent_id, k) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, set, start, finish, word IS NULL ORDER BY round(score, 9) DESC, chain) AS b FROM weighted)
+  WHERE b = 1 AND (word IS NOT NULL OR round(score, 9) >= 0.5)),
+opens AS (SELECT sent_id, set, start AS pos, string_agg('(' || replace(chain, '+', ' (') || ' ', '' ORDER BY finish DESC) AS o FROM kept WHERE word IS NULL GROUP BY ALL),
+closes AS (SELECT sent_id, set, finish - 1 AS pos, sum(len(chain) - len(replace(chain, '+', '')) + 1) AS c FROM kept WHERE word IS NULL GROUP BY ALL),
+built AS (SELECT w.sent_id, w.set, max(finish) AS n, string_agg(coalesce(o, '') || '(' || chain || ' ' || word || ')' || repeat(')', CAST(coalesce(c, 0) AS INT)), ' ' ORDER BY start) AS tree
+  FROM kept w LEFT JOIN opens o ON o.sent_id = w.sent_id AND o.set = w.set AND o.pos = w.start LEFT JOIN closes c ON c.sent_id = w.sent_id AND c.set = w.set AND c.pos = w.start
+  WHERE word IS NOT NULL GROUP BY ALL),
+fused AS (SELECT b.sent_id, b.set, t.chain AS root, CASE WHEN t.chain IS NOT NULL THEN b.tree END AS tree
+  FROM built b LEFT JOIN kept t ON t.sent_id = b.sent_id AND t.set = b.set AND t.start = 0 AND t.finish = b.n AND t.word IS NULL)"""
+
+ORACLES["fuse_trees"] = with_treebank(
+    "SELECT '(S1 ' || f.tree || ')' = g.tree AS is_gold, f.tree IS NULL AS none, count(*) AS n FROM fused f JOIN trees g USING (sent_id) GROUP BY ALL",
+    """piece AS (SELECT sent_id, k, 0 AS node, 0 AS start, n AS finish, 'S' AS label, CAST(NULL AS VARCHAR) AS word FROM nbest
+  UNION ALL SELECT sent_id, k, 1, start, finish, label, NULL FROM chunks WHERE k >= 0
+  UNION ALL SELECT sent_id, k, 2, pos, pos + 1, tag, form FROM tokens, (VALUES (0), (1), (2)) AS g(k))""",
+    f"probs AS (SELECT *, '' AS set FROM {_softmax('logprob')})", FUSED_SQL)
+
+ORACLES["fuse_score_sets"] = with_treebank(
+    "SELECT sent_id, set, md5(CASE WHEN fine THEN f ELSE t END) AS tree, fine AS fused FROM (SELECT f.sent_id, set, f.tree AS f, t.tree AS t, coalesce(starts_with(root || '+', 'S1+'), false) AS fine FROM fused f JOIN ntrees t ON t.sent_id = f.sent_id AND t.k = 0)",
+    *nodes_sql("k >= 0"), "piece AS (SELECT * FROM nn)",
+    f"second AS (SELECT sent_id, n, k, {SECOND_SCORE} AS score FROM nbest)",
+    f"probs AS (SELECT sent_id, 'parser' AS set, k, p FROM {_softmax('logprob')} UNION ALL SELECT sent_id, 'second', k, p FROM {_softmax('score * 1.2::DOUBLE').replace('FROM nbest', 'FROM second')}"
+    f" UNION ALL SELECT sent_id, 'mixed', k, (a.p + 3 * b.p) / 4 FROM {_softmax('logprob')} a JOIN {_softmax('score * 1.2::DOUBLE').replace('FROM nbest', 'FROM second')} b USING (sent_id, k))",
+    FUSED_SQL)
