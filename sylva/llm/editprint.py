@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -285,6 +286,8 @@ def _row(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 _OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+_OUT_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in _OUT.split(", ")]
 
 
 def _judge(ids: list, texts: list[str], id_type: pa.DataType) -> pa.RecordBatch:
@@ -306,45 +309,67 @@ def _judge(ids: list, texts: list[str], id_type: pa.DataType) -> pa.RecordBatch:
     )
 
 
+def _results(part: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.string()), *batch.columns], ["kind", "part", "text", *batch.schema.names])
+
+
+def _edges(part: int, kind: int, doc_id: pa.Array, text: str) -> pa.RecordBatch:
+    """A row that carries a text at the edge of a part; the columns of results are null."""
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string()), doc_id, *(pa.nulls(1, t) for t in _OUT_TYPES)], ["kind", "part", "text", "doc_id", *_OUT_NAMES])
+
+
 def op5_edit_fingerprints(docs: DataFrame, part_bytes: int = 24 << 20, batch_chars: int = 16 << 20) -> DataFrame:
     """Fingerprints of each text and its edited text, whose end is taken from the next document's beginning.
 
-    Parts are ranges of doc_id, cut at quantiles; each part also gets the first row of the next one.
+    Documents are range-partitioned by doc_id (any type that has an order, nulls first) and the beginning of the text, so that rows
+    of one id, or of none, are dealt by their texts; Spark samples the ranges. Rows of one id are in the order of their
+    texts. Each part judges all its rows but the last, whose next text is the first one of the part that follows: both
+    travel as rows of the written result and meet in a join on the part's number. The driver gets two numbers of parts.
+
+    A null text is empty; an empty table gives no rows; repeated rows are next to each other; other columns are left out.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total, n_rows, low = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.min("doc_id")).first()
-    out_schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}"
+    total, n_rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    id_name = docs.schema["doc_id"].dataType.simpleString()
     if not n_rows:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], f"doc_id {id_name}, {_OUT}")
     n = partitions_for(spark, total, part_bytes)
-    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    cuts = sorted({c for c in found or [] if c > low})
-    order = [F.asc_nulls_first("doc_id"), "text"]
-    first = docs.orderBy(*order).limit(1).select(F.lit(len(cuts)).alias("part"), F.lit(1).alias("ahead"), "doc_id", "text")
-    part = F.lit(0)
-    if cuts:
-        table = spark.createDataFrame([(c, k) for k, c in enumerate(cuts)], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int")
-        heads = docs.join(F.broadcast(table), "doc_id").groupBy("part", "doc_id").agg(F.min("text").alias("text"))  # a row for each part
-        first = first.unionAll(heads.select("part", F.lit(1), "doc_id", "text"))
-        part = F.coalesce(F.expr(f"size(filter(array({', '.join(map(str, cuts))}), c -> c <= doc_id))"), F.lit(0))
-    rows = docs.select(part.cast("int").alias("part"), F.lit(0).alias("ahead"), "doc_id", "text").unionAll(first.select(F.col("part").cast("int"), "ahead", "doc_id", "text"))
+    order = F.asc_nulls_first("doc_id")
+    rows = docs.repartitionByRange(n, order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
 
     def run(batches):
-        ids, texts, size, now, id_type = [], [], 0, None, None
+        part, ids, texts, size, id_type = TaskContext.get().partitionId(), [], [], 0, None
         for batch in batches:
-            id_type = batch.column("doc_id").type
             for k in range(0, batch.num_rows, 256):
-                columns = [batch.slice(k, 256).column(c).to_pylist() for c in ("part", "ahead", "doc_id", "text")]
-                for p, ahead, doc_id, text in zip(*columns, strict=True):
-                    if p != now:
-                        ids, texts, size, now = [], [], 0, p
+                some = batch.slice(k, 256)
+                if id_type is None:
+                    id_type = some.column("doc_id").type
+                    yield _edges(part, 1, some.column("doc_id").slice(0, 1), some.column("text")[0].as_py())
+                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    ids.append(doc_id)
                     texts.append(text)
                     size += len(text)
-                    if ahead or size > batch_chars and len(ids) > 1:
-                        yield _judge(ids, texts, id_type)
-                        ids, texts, size = [], texts[-1:], len(text)
-                    if not ahead:
-                        ids.append(doc_id)
-
-    return rows.repartition(n, "part").sortWithinPartitions("part", "ahead", *order).mapInArrow(run, out_schema)
+                    if size > batch_chars and len(ids) > 1:
+                        yield _results(part, _judge(ids[:-1], texts, id_type))
+                        ids, texts, size = ids[-1:], texts[-1:], len(text)
+        if len(ids) > 1:
+            yield _results(part, _judge(ids[:-1], texts, id_type))
+        if ids:
+            yield _edges(part, 2, pa.array(ids[-1:], id_type), texts[-1])
+
+    def close(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc_id, text, following = (batch.column(c).slice(k, 1) for c in ("doc_id", "text", "following"))
+                yield _judge(doc_id.to_pylist(), [text[0].as_py(), following[0].as_py()], doc_id.type)
+
+    judged = cut(rows.mapInArrow(run, f"kind int, part int, text string, doc_id {id_name}, {_OUT}"), "prints")
+    first, last = judged.where("kind = 1").agg(F.min("part"), F.max("part")).first()
+    heads = judged.where("kind = 1").select(F.col("part").alias("to"), F.col("text").alias("following"))
+    tails = judged.where("kind = 2").select("doc_id", "text", F.when(F.col("part") == last, F.lit(first)).otherwise(F.col("part") + 1).alias("to"))
+    met = tails.join(heads.hint("merge"), "to", "left")
+    met = met.withColumn("following", F.coalesce("following", F.raise_error(F.lit("a part between others has no rows")).cast("string")))
+    edges = met.select("doc_id", "text", "following").mapInArrow(close, f"doc_id {id_name}, {_OUT}")
+    return judged.where("kind = 0").select("doc_id", *_OUT_NAMES).unionAll(edges)

@@ -1,5 +1,6 @@
 """Edit fingerprints against a walk of one text at a time."""
 
+import datetime
 import hashlib
 import random
 
@@ -106,3 +107,34 @@ def test_all_pairs_of_groups(spark, block):
     got = [(r.a, r.b) for r in e.similar_pairs(spark.createDataFrame([(p,) for p in prints], "fingerprint string"), block=block).collect()]
     print("recall", len(set(got) & want), len(want))
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("id_type", ["string", "long", "int", "date"])
+def test_parts_of_other_ids(spark, id_type):
+    """Ids of any type; most rows have one id or none, so only their texts deal them to parts."""
+    rng = random.Random(12)
+    make_id = {"string": lambda k: f"doc {k:03d}", "date": lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(k)}.get(id_type, lambda k: k)
+    texts = [make(60, rng) for _ in range(300)]
+    rows = [(None if k % 3 == 0 else make_id(7 if k % 3 == 1 else k), t) for k, t in enumerate(texts)] + [(make_id(1), "same"), (make_id(1), "same"), (None, None)]
+    df = spark.createDataFrame(rows, f"doc_id {id_type}, text string").repartition(5)
+    got = e.op5_edit_fingerprints(df, part_bytes=700).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else make_id(0), r[1].encode()))
+    want = []
+    for k, (i, t) in enumerate(order):
+        m = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - m] + order[(k + 1) % len(order)][1][:m]).encode()).hexdigest()))
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
+
+
+def test_one_row_follows_itself(spark):
+    got = e.op5_edit_fingerprints(spark.createDataFrame([(4, "abcdefgh", 1)], "doc_id long, text string, part int")).collect()
+    assert [(r.doc_id, r.edited_sha256, r.near_next) for r in got] == [(4, hashlib.sha256(b"abcdefab").hexdigest(), 1.0)]
+
+
+def test_long_text_among_parts(spark):
+    rng = random.Random(13)
+    rows = [(k, make(40, rng)) for k in range(30)] + [(15, make(60000, rng))]
+    got = {r.n_chars: r for r in e.op5_edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=300, batch_chars=100).collect()}
+    following = min((t for i, t in rows if i == 15 and t > rows[-1][1]), default=rows[16][1])  # of one id in the order of texts
+    edited = rows[-1][1][:45000] + following
+    assert set(got) == {40, 60000} and got[60000].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[60000].edited_fingerprint == walk(edited)
