@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from sylva.functions import heads
 from sylva.functions.rowtree import BOUNDING, CLOSED, FUNCTIONAL
-from sylva.operators import arrayfeatures, treefeatures, trees
+from sylva.operators import arrayfeatures, bestparses, features, treefeatures, trees
 from sylva.plans import nested
 from sylva.plans import treebank as tb
 from sylva.sources import ptb
+from sylva.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -275,7 +276,10 @@ def deep_edges(spark, sf):
     return _features(spark, sf, "Neighbours:1:1", "WordNeighbours:1:0:1", "Edges:0:1:1:0:0", "Edges:1:0:0:1:1", "Edges:0:2:0:0:0", "WordEdges:0:0:2:0:0", "WordEdges:1:0:0:0:1")
 
 
-@query(_totals(("Heavy", f"SELECT sent_id, k, {_q('(finish - start)')} || ' ' || {_q('(n - finish)')} || ' ' || cat || ' ' || {_at('ends', '(finish - 1)')} || ' ' || {_at('ends', 'finish')} AS feat FROM ph")), _LISTS)
+_HEAVY = f"{_q('(finish - start)')} || ' ' || {_q('(n - finish)')} || ' ' || cat || ' ' || {_at('ends', '(finish - 1)')} || ' ' || {_at('ends', 'finish')} AS feat"
+
+
+@query(_totals(("Heavy", f"SELECT sent_id, k, {_HEAVY} FROM ph")), _LISTS)
 def deep_heavy(spark, sf):
     """J' Heavy, with punctuation."""
     return _features(spark, sf, "Heavy")
@@ -308,4 +312,61 @@ def deep_fragments(spark, sf):
     return treefeatures.feature_totals(_parses(spark, sf), ["Heads:2:1:1:0", "Heads:3:0:0:0", "NGramTree:2:0:1:0", "HeadTree:1:0:0:1", "CoPar:0", "NNGram:2:1:1"])
 
 
+# --- best parses by a ranker
+
+#: Weights in eighths by a feature's number, some of them 0, so that sums are exact.
+_WEIGHT = "(fid * 7919 % 41 - 20) / CAST(8 AS DOUBLE)"
+_RANKER = [_LISTS, f"""
+occur AS (SELECT sent_id, k, 'Heavy' AS cls, {_HEAVY} FROM ph UNION ALL SELECT sent_id, k, 'Word:1', word || ' ' || cat FROM v WHERE word IS NOT NULL),
+vals AS MATERIALIZED (SELECT sent_id, k, cls, feat, CAST(count(*) AS DOUBLE) AS val FROM occur WHERE feat IS NOT NULL GROUP BY ALL),
+size AS (SELECT sent_id, count(*) AS m FROM nbest GROUP BY ALL),
+dict AS MATERIALIZED (SELECT *, {_WEIGHT} AS w FROM (SELECT row_number() OVER (ORDER BY cls, feat) - 1 AS fid, cls, feat FROM (
+  SELECT sent_id, cls, feat FROM vals JOIN size USING (sent_id) GROUP BY sent_id, cls, feat, m HAVING count(*) < m OR min(val) < max(val)) GROUP BY cls, feat HAVING count(*) >= 5)),
+known AS (SELECT sent_id, k, cls, feat, fid, w, val FROM vals JOIN dict USING (cls, feat)),
+weight AS MATERIALIZED (SELECT sent_id, k, logprob, coalesce(weight, 0) AS weight, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY coalesce(weight, 0) DESC, k) AS INT) AS rank
+  FROM nbest LEFT JOIN (SELECT sent_id, k, sum(val * w) AS weight FROM known GROUP BY ALL) USING (sent_id, k))"""]
+
+
+def _ranker(spark, sf):
+    """The candidates, their features' values, and the weights of the dictionary; the two of features are written once."""
+    scores = tb.nbest(spark, sf).select("sent_id", "k", "logprob")
+    values = written(arrayfeatures.tree_features(_parses(spark, sf), ["Heavy", "Word:1"]), "values")
+    weights = written(features.dictionary(values, scores).select("fid", "cls", "feat", F.expr(_WEIGHT).alias("w")), "weights")
+    return _parses(spark, sf).join(scores, ["sent_id", "k"]), values, weights
+
+
+@query("SELECT sent_id, rank, k, weight, logprob, md5(tree) AS tree FROM weight JOIN ntrees USING (sent_id, k)", *_RANKER)
+def ranked_parses(spark, sf):
+    """Lists in the order of a ranker's weights (modes 0 and 1)."""
+    return bestparses.best_parses(1, *_ranker(spark, sf)).withColumn("tree", F.md5("tree"))
+
+
+@query("""SELECT sent_id, k, count(*) AS n, sum(val) AS total, sum(fid * val) AS ids FROM (
+SELECT sent_id, k, fid, sum(val) AS val FROM (SELECT sent_id, k, fid, val FROM known WHERE fid <> 0 AND w <> 0
+  UNION ALL SELECT b.sent_id, n.k, fid, -base FROM based b JOIN nbest n ON n.sent_id = b.sent_id) GROUP BY ALL HAVING sum(val) <> 0) GROUP BY ALL""", *_RANKER, """
+filled AS (SELECT f.sent_id, f.fid, coalesce(x.val, 0) AS val FROM (SELECT DISTINCT sent_id, fid FROM known WHERE fid <> 0 AND w <> 0) f
+  JOIN nbest n ON n.sent_id = f.sent_id LEFT JOIN known x ON x.sent_id = f.sent_id AND x.fid = f.fid AND x.k = n.k),
+based AS (SELECT sent_id, fid, base FROM (SELECT sent_id, fid, v AS base, row_number() OVER (PARTITION BY sent_id, fid ORDER BY sum(g) DESC, v) AS r FROM (
+  SELECT sent_id, fid, val AS v, 2 AS g FROM filled UNION ALL SELECT sent_id, fid, val - 1, 1 FROM filled) GROUP BY sent_id, fid, v) WHERE r = 1 AND base <> 0)""")
+def counted_features(spark, sf):
+    """Features of parses, less their sentence's base, by parse (mode 2, relative counts)."""
+    found = bestparses.best_parses(2, *_ranker(spark, sf), relative=True)
+    return found.groupBy("sent_id", "k").agg(F.count("*").alias("n"), F.sum("val").alias("total"), F.sum(F.col("fid") * F.col("val")).alias("ids"))
+
+
+def _headed(name: str, kind: str) -> str:
+    return f"""SELECT sent_id, '{kind}' AS kind, md5(string_agg(part, ' ' ORDER BY node)) AS tree FROM (
+SELECT v.sent_id, v.node, '(' || v.cat || ' H:' || coalesce(h.ix - 1, 0) || coalesce(' ' || v.word, '') || repeat(')', CAST(v.depth - coalesce(lead(v.depth) OVER (PARTITION BY v.sent_id, v.k ORDER BY v.node), 0) + 1 AS INT)) AS part
+FROM v JOIN weight r ON r.sent_id = v.sent_id AND r.k = v.k AND r.rank = 1 LEFT JOIN head_{name} h ON h.sent_id = v.sent_id AND h.k = v.k AND h.parent = v.node) GROUP BY sent_id"""
+
+
+@query(f"{_headed('syn', 'syntactic')} UNION ALL {_headed('sem', 'semantic')}", *_RANKER, _SYN, _SEM)
+def best_with_heads(spark, sf):
+    """The best trees with the places of their syntactic and semantic heads (modes 3 and 4)."""
+    lists, values, weights = _ranker(spark, sf)
+    best = written(bestparses.best(lists, values, weights).select("sent_id", "tree"), "best")
+    syntactic, semantic = (bestparses.with_heads(best, kind).select("sent_id", F.lit(kind).alias("kind"), F.md5("tree").alias("tree")) for kind in bestparses.KINDS)
+    return syntactic.unionAll(semantic)
+
+
 __all__ = ["ORACLES", "QUERIES"]
