@@ -440,9 +440,8 @@ def fuse_trees(spark, sf):
 @query
 def fuse_score_sets(spark, sf):
     """Deep trees fused by parser scores, by second scores raised to a power, and by both; the first tree where that fails."""
-    sized = tb.token_arrays(spark, sf).select("sent_id", F.size("forms").alias("n"))
-    scores_ = sized.select("sent_id", F.explode(F.array(*map(F.lit, tb.CANDIDATES))).alias("k"), "n").select("sent_id", "k", F.expr(tb.SCORE).alias("parser"), F.expr(SECOND_SCORE).alias("second"))
-    lists = fusion.with_chains(nested.trees(spark, sf, tb.CANDIDATES)).join(scores_, ["sent_id", "k"])
+    lists = fusion.with_chains(nested.trees(spark, sf, tb.CANDIDATES)).withColumn("n", F.array_max("chains.finish"))
+    lists = lists.select("sent_id", "k", "tree", "chains", F.expr(tb.SCORE).alias("parser"), F.expr(SECOND_SCORE).alias("second"))
     sets = {"parser": fusion.ScoreSet("parser"), "second": fusion.ScoreSet("second", exponent=1.2, share=3.0)}
     return fusion.fuse_sets(lists, sets, "mixed").withColumn("tree", F.md5("tree"))
 
