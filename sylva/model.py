@@ -27,7 +27,7 @@ class Model:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     options: Options = Options()
-    classes: list[str] = field(default_factory=lambda: list(treefeatures.SETS["sp"]))
+    classes: list[str] = field(default_factory=lambda: list(treefeatures.SETS["base"]))
     grammar: Grammar | None = None
 
     # --- loading and guards
@@ -39,7 +39,7 @@ class Model:
         self.grammar, self.tables = grammar, self.tables | {"lexicon": lexicon}
         return self
 
-    def load_ranker(self, weights: DataFrame, classes: list[str] | str = "sp") -> Model:
+    def load_ranker(self, weights: DataFrame, classes: list[str] | str = "base") -> Model:
         """The ranker's weights (cls, feat, w) and classes; a model takes them once."""
         if "weights" in self.tables:
             raise RuntimeError("the ranker's model is already loaded")

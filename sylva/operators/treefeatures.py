@@ -536,11 +536,18 @@ _BASE = [
     "NGramTree:2:0:1:0", "NGramTree:2:3:1:0", "NGramTree:3:2:1:0", "HeadTree:1:0:0:0", "HeadTree:1:0:0:1", "HeadTree:1:1:0:1",
     "Heads:2:0:0:0", "Heads:2:1:1:0", "Heads:2:1:1:1", "Heads:3:0:0:0",
 ]
-#: Named lists of classes: the default one, and smaller ones.
+#: The classes with the head's place among neighbours that spnn adds.
+_HEAD_NGRAMS = ["NNGram:1:1:1:1:0:1:0:0:0:1", "NNGram:2:1:1:1:1:1:0:0:0:1", "NNGram:3:1:1:1:1:1:0:0:0:1", "NNGram:2:1:1:1:0:0:2:0:0:1", "NNGram:2:1:1:1:0:0:2:2:0:1"]
+_FULL = [*_BASE, *_all_edges("Edges"), *_all_edges("WordEdges")]
+#: Named lists of classes of trees. full (the default), sp, spnn and nlogp are as rankers name them, each besides the parser's
+#: own score (set_features adds it); base, wide and heads are smaller or other ones.
 SETS: dict[str, list[str]] = {
-    "full": [*_BASE, *_all_edges("Edges"), *_all_edges("WordEdges")],
-    "sp": _BASE,
-    "spnn": [*_BASE, "NNGram:2:1:1:0", "NNGram:3:1:1:0", "LeftBranchLength", "RightBranchLength", "SubjVerbAgr", "SynSemHeads:0", "Neighbours:1:1", "WordNeighbours:1:1:1"],
+    "full": _FULL,
+    "sp": _FULL,
+    "spnn": [*_BASE, *_HEAD_NGRAMS, *_all_edges("Edges"), *_all_edges("WordEdges")],
+    "nlogp": [],
+    "base": _BASE,
+    "wide": [*_BASE, "NNGram:2:1:1:0", "NNGram:3:1:1:0", "LeftBranchLength", "RightBranchLength", "SubjVerbAgr", "SynSemHeads:0", "Neighbours:1:1", "WordNeighbours:1:1:1"],
     "heads": [n for n in _BASE if n.startswith("Heads")],
 }
 
@@ -558,6 +565,8 @@ def row_features(tree: RowTree | None, classes: list[tuple[str, Class]]) -> Coun
 
 
 def _names(classes: str | list[str]) -> list[str]:
+    if isinstance(classes, str) and classes not in SETS:
+        raise ValueError(f"unknown feature set {classes}")
     return SETS[classes] if isinstance(classes, str) else classes
 
 
@@ -584,6 +593,15 @@ def tree_features(parses: DataFrame, classes: str | list[str], key: tuple[str, .
     return parses.select(*key, F.col(tree).alias("_tree")).mapInArrow(run, f"{kinds}, cls string, feat string, val double")
 
 
+def set_features(lists: DataFrame, classes: str | list[str] = "full", key: tuple[str, ...] = ("sent_id", "k"), tree: str = "tree") -> DataFrame:
+    """key, cls, feat, val of a set's classes and of NLogP, the parser's own score; parses without a logprob lack the latter.
+
+    Scores need no tree, so nlogp doesn't read any.
+    """
+    score = lists.where("logprob IS NOT NULL").select(*key, F.lit("NLogP").alias("cls"), F.lit("0").alias("feat"), (-F.col("logprob")).cast("double").alias("val"))
+    return score.unionAll(tree_features(lists, classes, key, tree)) if _names(classes) else score
+
+
 def feature_totals(parses: DataFrame, classes: str | list[str], tree: str = "tree", held: int = 200_000) -> DataFrame:
     """cls, feat, parses with the feature and the sum of its values. Counts are added up where rows are read before they move."""
     names = _names(classes)

@@ -69,13 +69,27 @@ def test_registry():
     finally:
         del tf.CLASSES["Leaves"]
     assert len(tf.SETS["full"]) == len(set(tf.SETS["full"])) == 29 + 60
-    for name in tf.SETS["full"] + tf.SETS["spnn"]:
+    for name in {n for names in tf.SETS.values() for n in names}:
         tf.build(name)
 
 
+def test_named_sets(spark):
+    assert tf.SETS["sp"] == tf.SETS["full"] and set(tf.SETS["spnn"]) > set(tf.SETS["sp"]) and len(tf.SETS["spnn"]) == 29 + 60 + 5
+    tree = "(S1 (S (NP (DT the) (NN cat)) (VP (VBD sat)) (. .)))"
+    lists = spark.createDataFrame([(1, 0, -3.5, tree), (1, 1, None, tree), (2, 0, -1.0, None)], "sent_id long, k int, logprob double, tree string")
+    assert {tuple(r) for r in tf.set_features(lists, "nlogp").collect()} == {(1, 0, "NLogP", "0", 3.5), (2, 0, "NLogP", "0", 1.0)}
+    got = tf.set_features(lists, "spnn").collect()
+    own = tf.row_features(RowTree.read(tree), [(n, tf.build(n)) for n in tf.SETS["spnn"]])
+    assert {(r.cls, r.feat): r.val for r in got if r.k == 1} == own and {r.cls for r in got if r.sent_id == 2} == {"NLogP"}
+    heads = {r.feat for r in got if r.cls == "NNGram:1:1:1:1:0:1:0:0:0:1" and r.k == 1}
+    assert any(f.startswith("DT ") for f in heads) and any(f.startswith("NN ") for f in heads)
+    with pytest.raises(ValueError, match="unknown feature set"):
+        tf.set_features(lists, "none")
+
+
 def test_deep_trees():
     deep = "(S1 " + "(SBAR " * 3000 + "(S (NP (NN x)) (VP (VB y)))" + ")" * 3000 + ")"
-    got = tf.row_features(RowTree.read(deep), [(n, tf.build(n)) for n in tf.SETS["spnn"]])
+    got = tf.row_features(RowTree.read(deep), [(n, tf.build(n)) for n in {*tf.SETS["wide"], *tf.SETS["spnn"]}])
     assert got["RightBranch", "1"] == 3004 and RowTree.read(deep).write() == deep
 
 
