@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.functions.forest import Forest
+from sylva.sources.ptb import each_forest
+
 
 def unary_counts(nodes: DataFrame, key: str = "sent_id") -> DataFrame:
     """parent, child, cnt of phrase nodes whose only child is a phrase of another label."""
@@ -13,6 +17,20 @@ def unary_counts(nodes: DataFrame, key: str = "sent_id") -> DataFrame:
     return only.join(above, [key, "parent"]).where("up <> child").groupBy(F.col("up").alias("parent"), "child").agg(F.count("*").alias("cnt"))
 
 
+def row_unary_counts(trees: DataFrame, key: str = "sent_id", tree: str = "tree") -> DataFrame:
+    """parent, child, cnt as unary_counts() has them, found where the tree's row is; only sums move."""
+
+    def run(texts):
+        f = Forest.read(texts)
+        order, begin = f.kids
+        up = np.flatnonzero(np.diff(begin) == 1)
+        child = order[begin[up]]
+        up, child = (x[~f.leaf[child] & (f.code[up] != f.code[child])] for x in (up, child))
+        return f.row[f.tree[up]], [f.labels_at(up), f.labels_at(child)]
+
+    return each_forest(trees, run, "parent string, child string", key, tree).groupBy("parent", "child").agg(F.count("*").alias("cnt"))
+
+
 def order_labels(counts: list[tuple[str, str, int]], least: int = 3) -> set[tuple[str, str]]:
     """Pairs (over, under) without cycles: by falling count, more than `least`, a pair is taken unless its reverse holds
     already, with all that follows from it. counts has a row for each pair of labels, so this runs on the driver."""
