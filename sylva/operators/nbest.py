@@ -49,12 +49,12 @@ def beam_curve(scored: DataFrame, key: str = "sent_id") -> DataFrame:
 
 
 def merge_lists(sources: dict[str, DataFrame], keys: list[str], score: str) -> DataFrame:
-    """Union of lists by keys with a score column for each source, 0 where a source has no such parse."""
+    """Union of lists by keys with a score column for each source, 0 where a source has no such parse; dealt by the first key alone."""
     out = None
     for name, df in sources.items():
         part = df.select(*keys, *[(F.col(score) if n == name else F.lit(None).cast("double")).alias(n) for n in sources])
         out = part if out is None else out.unionAll(part)
-    return out.groupBy(*keys).agg(*[F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in sources])
+    return out.repartition(F.col(keys[0])).groupBy(*keys).agg(*[F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in sources])
 
 
 def fused_spans(spans: DataFrame, probabilities: DataFrame, least: float = 0.5, key: str = "sent_id") -> DataFrame:
