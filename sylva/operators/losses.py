@@ -1,16 +1,22 @@
 """Losses of a log-linear ranker and their gradients: one distributed job for each evaluation.
 
-lists: sent_id, k, score (the model's), fscore (against gold); values: sent_id, k, feat, val.
+lists: sent_id, k, score (the model's), fscore (against gold); values: sent_id, k, feat, val, or a function that gives rows of
+lists with feat and val: features that follow from a list's row are made there, after its derivative is known, and aren't joined.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+Values = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def winners(lists: DataFrame) -> DataFrame:
     """lists with p_gold: equal shares of the parses of greatest f; sentences whose greatest f is 0 are left out."""
     w = Window.partitionBy("sent_id")
@@ -39,10 +45,10 @@ def em_loss(lists: DataFrame) -> DataFrame:
     return each.agg(F.sum("l").alias("loss"))
 
 
-def log_loss_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+def log_loss_gradient(lists: DataFrame, values: Values) -> DataFrame:
     """feat, grad: sums of (p_model - p_gold) * value."""
-    each = model_probabilities(winners(lists)).select("sent_id", "k", (F.col("p_model") - F.col("p_gold")).alias("d"))
-    return values.join(each, ["sent_id", "k"]).groupBy("feat").agg(F.sum(F.col("d") * F.col("val")).alias("grad"))
+    each = model_probabilities(winners(lists))
+    return _gradient(each.select(*lists.columns, (F.col("p_model") - F.col("p_gold")).alias("d")), values)
 
 
 def _against_best(lists: DataFrame) -> DataFrame:
@@ -68,42 +74,43 @@ def expected_fscore(lists: DataFrame) -> DataFrame:
     return sums.select((2 * F.col("m") / F.col("pg")).alias("f"))
 
 
-def _gradient(pushes: DataFrame, values: DataFrame) -> DataFrame:
-    """feat, grad of pushes (sent_id, k, d: the loss's derivative by a parse's score)."""
-    return values.join(pushes, ["sent_id", "k"]).groupBy("feat").agg(F.sum(F.col("d") * F.col("val")).alias("grad"))
+def _gradient(pushes: DataFrame, values: Values) -> DataFrame:
+    """feat, grad of pushes (lists with d: the loss's derivative by a parse's score)."""
+    each = values(pushes) if callable(values) else values.join(pushes.select("sent_id", "k", "d"), ["sent_id", "k"])
+    return each.groupBy("feat").agg(F.sum(F.col("d") * F.col("val")).alias("grad"))
 
 
 def _margin_pushes(lists: DataFrame, push) -> DataFrame:
-    """sent_id, k, d: push(margin) on each loser, and minus their sum on the first best winner."""
+    """lists with d: push(margin) on each loser, and minus their sum on the first best winner."""
     w = Window.partitionBy("sent_id")
     each = winners(lists).withColumn("_best", F.max(F.when(F.col("p_gold") > 0, F.struct("score", -F.col("k")))).over(w))
     each = each.withColumn("_d", F.when(F.col("p_gold") == 0, push(F.col("_best.score") - F.col("score"))).otherwise(0.0))
     best = F.col("k") == -F.col("_best").getItem("col2")
-    return each.select("sent_id", "k", F.when(best, -F.sum("_d").over(w)).otherwise(F.col("_d")).alias("d"))
+    return each.select(*lists.columns, F.when(best, -F.sum("_d").over(w)).otherwise(F.col("_d")).alias("d"))
 
 
-def pairwise_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+def pairwise_gradient(lists: DataFrame, values: Values) -> DataFrame:
     """feat, grad of pairwise_loss."""
     return _gradient(_margin_pushes(lists, lambda m: 1 / (1 + F.exp(m))), values)
 
 
-def exp_gradient(lists: DataFrame, values: DataFrame, log: bool = False) -> DataFrame:
+def exp_gradient(lists: DataFrame, values: Values, log: bool = False) -> DataFrame:
     """feat, grad of exp_loss's loss, or of its log_loss."""
     pushes = _margin_pushes(lists, lambda m: F.exp(-m))
     if log:
         total = exp_loss(lists).select(F.col("loss").alias("_total"))
-        pushes = pushes.join(F.broadcast(total)).select("sent_id", "k", (F.col("d") / F.col("_total")).alias("d"))
+        pushes = pushes.join(F.broadcast(total)).select(*lists.columns, (F.col("d") / F.col("_total")).alias("d"))
     return _gradient(pushes, values)
 
 
-def em_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+def em_gradient(lists: DataFrame, values: Values) -> DataFrame:
     """feat, grad of em_loss."""
     w = Window.partitionBy("sent_id")
     each = model_probabilities(winners(lists)).withColumn("_c", F.when(F.col("p_gold") > 0, F.col("p_model")).otherwise(0.0))
-    return _gradient(each.select("sent_id", "k", (F.col("p_model") - F.col("_c") / F.sum("_c").over(w)).alias("d")), values)
+    return _gradient(each.select(*lists.columns, (F.col("p_model") - F.col("_c") / F.sum("_c").over(w)).alias("d")), values)
 
 
-def expected_fscore_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
+def expected_fscore_gradient(lists: DataFrame, values: Values) -> DataFrame:
     """feat, grad of expected_fscore."""
     w = Window.partitionBy("sent_id")
     each = model_probabilities(lists)
@@ -111,7 +118,7 @@ def expected_fscore_gradient(lists: DataFrame, values: DataFrame) -> DataFrame:
     mean = lambda c: F.sum(F.col("p_model") * F.col(c)).over(w)
     each = each.withColumns({"_em": mean("n_matched"), "_et": mean("n_test")}).join(F.broadcast(totals))
     d = F.col("p_model") * (2 * (F.col("n_matched") - F.col("_em")) - 2 * F.col("_m") / F.col("_d") * (F.col("n_test") - F.col("_et"))) / F.col("_d")
-    return _gradient(each.select("sent_id", "k", d.alias("d")), values)
+    return _gradient(each.select(*lists.columns, d.alias("d")), values)
 
 
 #: Losses by name: (a frame with the loss in its first column, a frame of feat and grad). expected_f is to be made great.
