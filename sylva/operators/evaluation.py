@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.operators import comparison
+from sylva.operators.losses import BROADCAST_WEIGHTS, Values
+from sylva.sources.shared import written
 
 
-def class_ablation(scored: DataFrame, values: DataFrame, weights: DataFrame) -> DataFrame:
+def class_ablation(scored: DataFrame, values: Values, weights: DataFrame) -> DataFrame:
     """cls, n_features, fscore: corpus f of the parses ranked first without the class ('' leaves none out).
 
-    One pass: the partial scores by class are summed once, and a class is subtracted from the total.
+    values: sent_id, k, cls, feat, val, or a function that gives the rows of `scored` with these (a null cls for one without features);
+    then nothing but rows of `scored` moves, if there are at most BROADCAST_WEIGHTS weights. The partial scores by class are summed once, and a class is subtracted from the total.
     """
-    partial = values.join(weights, ["cls", "feat"]).groupBy("sent_id", "k", "cls").agg(F.sum(F.col("val") * F.col("w")).alias("part"))
-    total = partial.groupBy("sent_id", "k").agg(F.sum("part").alias("total"))
+    weights = written(weights, "weights")
+    small = weights.count() <= BROADCAST_WEIGHTS
     names = weights.groupBy("cls").agg(F.count("*").alias("n_features")).unionAll(weights.agg(F.lit("").alias("cls"), F.count("*").alias("n_features")))
-    lists = scored.join(total, ["sent_id", "k"], "left").join(F.broadcast(names)).join(partial, ["sent_id", "k", "cls"], "left")  # a row for each class: they are few and fixed
-    lists = lists.withColumn("score", F.round(F.coalesce("total", F.lit(0.0)) - F.coalesce("part", F.lit(0.0)), 9))
+    lists = scored.repartition("sent_id")  # the sums, and the choice of the first, keep this layout
+    each = values(lists) if callable(values) else lists.join(values, ["sent_id", "k"], "left")
+    part = F.sum(F.coalesce(F.col("val") * F.col("w"), F.lit(0.0))).alias("part")
+    partial = each.join(F.broadcast(weights) if small else weights, ["cls", "feat"], "left").groupBy(*scored.columns, "cls").agg(part)
+    parts = F.map_from_entries(F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("cls", "part"))))  # a class each: they are few and fixed
+    lists = partial.groupBy(*scored.columns).agg(F.sum("part").alias("total"), parts.alias("parts")).join(F.broadcast(names))
+    lists = lists.withColumn("score", F.round(F.col("total") - F.coalesce(F.try_element_at("parts", F.col("cls")), F.lit(0.0)), 9))
     first = F.row_number().over(Window.partitionBy("sent_id", "cls").orderBy(F.desc("score"), F.desc("logprob"), "k"))
     best = lists.withColumn("_r", first).where("_r = 1")
     return best.groupBy("cls").agg(F.max("n_features").alias("n_features"), (2 * F.sum("n_matched") / F.sum(F.col("n_gold") + F.col("n_test"))).alias("fscore"))
