@@ -127,3 +127,16 @@ def test_nothing_to_score(trees):
     tables = tm.level_tables(tm.tree_events(trees, key=("sent_id", "k")))
     assert tm.tree_scores(trees.limit(0), tables, key=("sent_id", "k")).collect() == []
     assert heads.TAGS and trees.where(F.col("tree").isNull()).count() == 1
+
+
+def test_counted_events_are_the_events_by_group(spark, trees, texts):
+    """Events of trees read together are counted before they move; a null group is one of its own."""
+    by = {k: (None, "a", "b")[k % 3] for k in range(len(texts))}
+    given = trees.withColumn("g", F.get(F.array(F.lit(None), F.lit("a"), F.lit("b")), (F.col("sent_id") % 3).cast("int")))
+    got = {(r.g, r.calc, r.y, tuple(r.ctx)): r.n for r in tm.counted_events(given, by="g").collect()}
+    assert got == Counter((by[k], calc, y, ctx) for calc in co.CALCS for k, y, ctx in row_events(texts, calc))
+    assert tm.counted_events(trees.limit(0)).count() == 0
+    whole = {(r.calc, r.y, tuple(r.ctx)): r.n for r in tm.counted_events(trees).collect()}
+    assert whole == Counter((calc, y, ctx) for calc in co.CALCS for _, y, ctx in row_events(texts, calc))
+    counted, plain = (sorted(map(tuple, tm.level_tables(e).collect())) for e in (tm.counted_events(trees), tm.tree_events(trees, key=("sent_id", "k"))))
+    assert counted == plain
