@@ -135,6 +135,24 @@ def test_op7(spark, monkeypatch, bucket_rows, most):
     assert suffixes.op7_suffix_dedup(df.limit(0), 64).count() == 0
 
 
+def test_op7_passages_of_over_50_words(spark):
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [(100 + k, prose(120)) for k in range(10)], {}
+    for k in range(20):  # a passage in two documents, of 400 bytes or just under
+        size = 400 - k % 2
+        passage = prose(60)[:size]
+        for i, (a, b) in enumerate(("12", "34")):
+            before, after = prose(30) + a, b + prose(30)
+            rows.append((2 * k + i, before + passage + after))
+            want[2 * k + i] = (size, 1, before + after) if size == 400 else (0, 0, before + passage + after)
+        assert len(passage) == size and len(passage.split()) > 50
+    want |= {i: (0, 0, t) for i, t in rows[:10]}
+    got = suffixes.op7_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.text) for r in got} == want
+    assert {r.doc_id: r.n_bytes for r in got} == {i: len(t) for i, t in rows}  # the input's, whatever goes
+
+
 def test_multikey_quicksort():
     rng = random.Random(6)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 60))) for _ in range(2000)]
