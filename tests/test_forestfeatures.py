@@ -33,3 +33,18 @@ def test_totals_equal_the_row_classes(spark):
 def test_other_parameters_are_refused(spark):
     with pytest.raises(ValueError, match="NGramTree:3"):
         ff.feature_totals(spark.createDataFrame([("(S1 (NN a))",)], "tree string"), ["RightBranch", "NGramTree:3:0:1:0"])
+
+
+SPANS = ["Word:1", "Word:2", "Word:3", "Rule:0:0", "Rule:0:1:0:0:0:0:0:1", "Rule:0:0:0:0:2:0:0:1", "Rule:0:1:0:0:1:1:0:0", "Rule:0:0:0:0:0:1:2:1", "Rule:0:0:0:0:0:0:1:0", "NGram:2:1:0:0:0:0:0:1", "NGram:3:0:0:0:0:0:0:0", "Neighbours:1:1", "Neighbours:2:0", "WordNeighbours:1:0:1", "WordNeighbours:0:2:2",
+         "Edges:0:1:1:0:0", "Edges:1:0:0:1:1", "Edges:0:2:0:0:0", "Edges:0:0:0:0:2", "WordEdges:0:0:2:0:0", "WordEdges:1:0:0:0:1", "WordEdges:0:1:0:2:0", "Heavy"]
+
+
+def test_classes_of_spans_equal_the_row_classes(spark):
+    rng = random.Random(11)
+    texts = [f"(S1 (S {' '.join(random_tree(rng) for _ in range(rng.randrange(1, 5)))}))" for _ in range(250)]
+    texts += ["(S1 " + "(S (NP (NN a)) " * 200 + "(NN b)" + ")" * 200 + ")", "(S1 (NN one))", "(NN one)", "(, ,)", "(S1 (S (-NONE- 0)))", "not a tree", None, "", "(S1 (S (NP (DT the) (NN é)) (VP (VBZ is) (PP (IN of) (NP (NN x)))) (. .)))"]
+    df = spark.createDataFrame([(t,) for t in texts], "tree string").repartition(2)
+    rows = lambda x: sorted((r.cls, r.feat, r.parses, r.total) for r in x.collect())
+    got, expected = rows(ff.feature_totals(df, SPANS)), rows(tf.feature_totals(df, SPANS))
+    assert {n for n, *_ in expected} == set(SPANS)
+    assert got == expected
