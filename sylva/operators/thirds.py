@@ -5,17 +5,22 @@ A rule (dep, parent, rel, term) holds for a node labelled dep under a parent lab
   2  the sibling next to it on the side of the head, unless that is the head
   3  next to the head: the outermost child of the head on that side (the next one if that is the head's own head)
   4  the parent, unless it has the node's own head word
-The first rule in the table's order that holds names the third node. Relations are columns made by joins and windows on the node
-table; the rules, a table of a few hundred rows that doesn't grow with the data, are broadcast and joined on all four.
+The first rule in the table's order that holds names the third node. Relations are found where the trees are read, many at a time; the
+rules, a table of a few hundred rows that doesn't grow with the data, are broadcast and joined on all four.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.functions.forest import Forest
 from sylva.operators import treemodel
 from sylva.operators.conditional import NO_WORD
+from sylva.operators.forestfeatures import Grove
+from sylva.sources.ptb import different, each_forest, forest_totals
 from sylva.sources.shared import written
 
 Rule = tuple[str, str, int, str]
@@ -46,30 +51,64 @@ def relations(trees: DataFrame, heads_first: bool = True, key="sent_id", tree: s
 
     heads_first: relation 1 as for head words and tags.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    nodes = written(treemodel.node_functions(treemodel.annotated(trees, key, tree), key).select(*keys, "node", "parent", "head", "lex", "t", "h"), "nodes")
-    siblings = Window.partitionBy(*keys, "parent").orderBy("node")
-    own = nodes.where("parent IS NOT NULL").withColumns({"ix": F.row_number().over(siblings), "before": F.lag("node").over(siblings), "after": F.lead("node").over(siblings)})
-    above = nodes.select(*keys, F.col("node").alias("parent"), F.col("t").alias("above"), F.col("h").alias("above_word"), F.col("lex").alias("p_lex"), F.col("head").alias("p_head"), F.col("parent").alias("over"))
-    own = own.join(above, [*keys, "parent"])
-    own = own.withColumn("hx", F.max(F.when(F.col("node") == F.col("p_head"), F.col("ix"))).over(Window.partitionBy(*keys, "parent")))
-    over = nodes.select(*keys, F.col("node").alias("over"), F.col("lex").alias("o_lex"))
-    own = own.join(over, [*keys, "over"], "left")
-    other = lambda c: ~F.col(c).eqNullSafe(F.col("lex"))
-    first = F.when(other("p_lex") & F.col("over").isNotNull() & other("o_lex"), F.col("over")) if heads_first else F.col("parent")
-    beside = F.when(F.col("ix") > F.col("hx") + 1, F.col("before")).when(F.col("ix") < F.col("hx") - 1, F.col("after"))
-    # the children at both ends of a node, and whether they are its head
-    kids = nodes.where("parent IS NOT NULL").groupBy(*keys, F.col("parent").alias("p_head")).agg(F.array_sort(F.collect_list("node")).alias("kids"))
-    inner = nodes.where("head IS NOT NULL").select(*keys, F.col("node").alias("p_head"), F.col("head").alias("i_head")).join(kids, [*keys, "p_head"])
-    own = own.join(inner, [*keys, "p_head"], "left")
-    from_left = F.when(F.get("kids", F.lit(0)) != F.col("i_head"), F.get("kids", F.lit(0))).otherwise(F.get("kids", F.lit(1)))
-    from_right = F.when(F.element_at("kids", -1) != F.col("i_head"), F.element_at("kids", -1)).when(F.size("kids") > 1, F.get("kids", F.size("kids") - 2))
-    within = F.when(F.col("kids").isNotNull(), F.when(F.col("ix") == F.col("hx") - 1, from_left).when(F.col("ix") == F.col("hx") + 1, from_right))
-    third = [first, beside, within, F.when(other("p_lex"), F.col("parent"))]
-    each = own.select(*keys, "node", F.col("t").alias("dep"), "above", "above_word", F.explode(F.array(*[F.struct(F.lit(i).alias("rel"), x.alias("third")) for i, x in enumerate(third, 1)])).alias("x"))
-    each = each.select(*keys, "node", "dep", "above", "above_word", "x.rel", "x.third").where("third IS NOT NULL")
-    labels = nodes.select(*keys, F.col("node").alias("third"), F.col("t").alias("term"), F.col("h").alias("third_word"))
-    return each.join(labels, [*keys, "third"])
+
+    def run(texts):
+        f, names, values, c, found = _thirds(texts, heads_first)
+        rel, i = np.nonzero(found >= 0)
+        node, third, up = c[i], found[rel, i], f.parent[c[i]]
+        texts_ = pa.array(names, pa.string())
+        text = lambda f_, at: texts_.take(pa.array(values[f_][at]))
+        return f.row[f.tree[node]], [third - f.base[third], node - f.base[node], text("t", node), text("t", up), text("h", up), rel + 1, text("t", third), text("h", third)]
+
+    return each_forest(trees, run, "third int, node int, dep string, above string, above_word string, rel int, term string, third_word string", key, tree)
+
+
+def _thirds(texts: pa.Array, heads_first: bool):
+    """The trees, texts, the functions of nodes as places among the texts, nodes under a parent, and by relation (a row each) their third nodes, -1 for none."""
+    f = Forest.read(texts, simple=True)
+    names, values, own, lex = treemodel._symbols(f)
+    g = Grove(f)
+    c = np.flatnonzero(f.parent >= 0)
+    up = f.parent[c]
+    over, head, rank = f.parent[up], own[up], g.rank[c]
+    at, inner = g.rank[head] if len(c) else rank, np.append(own, -1)[head]
+    other = lex[up] != lex[c]
+    found = np.full((4, len(c)), -1, np.int64)
+    found[0] = np.where(other & (over >= 0) & (np.append(lex, -1)[over] != lex[c]), over, -1) if heads_first else up
+    found[1] = np.where(head < 0, -1, np.where(rank > at + 1, g.kid(up, rank - 1), np.where(rank < at - 1, g.kid(up, rank + 1), -1)))
+    last = g.count[head] if len(c) else rank
+    left, right = g.kid(head, np.zeros_like(rank)), g.kid(head, last - 1)
+    left, right = np.where(left != inner, left, g.kid(head, np.ones_like(rank))), np.where(right != inner, right, g.kid(head, last - 2))
+    found[2] = np.where((head < 0) | (inner < 0), -1, np.where(rank == at - 1, left, np.where(rank == at + 1, right, -1)))
+    found[3] = np.where(other, up, -1)
+    return f, names, values, c, found
+
+
+def third_totals(trees: DataFrame, rules: list[Rule], tree: str = "tree") -> DataFrame:
+    """dep, above, rel, term, word, n, thirds: nodes by the first rule that holds and the third node's head word, and the sum of the
+    third nodes' numbers; found and counted where the trees are read."""
+    first: dict[Rule, int] = {}
+    for r in rules:
+        first.setdefault(r, len(first))
+
+    def draw(texts):
+        f, names, values, c, found = _thirds(texts, True)
+        rel, i = np.nonzero(found >= 0)
+        third = found[rel, i]
+        columns = [values["t"][c[i]], values["t"][f.parent[c[i]]], rel, values["t"][third]]
+        some, place, _ = different([x.astype(np.int64) for x in columns])
+        none = len(first)
+        number = np.array([first.get((names[d], names[a], int(r) + 1, names[t]), none) for d, a, r, t in zip(*(x[some].tolist() for x in columns), strict=True)] or [none])
+        rule = np.full(found.shape, none)
+        rule[rel, i] = number[place]
+        best = rule.argmin(axis=0)
+        kept = np.flatnonzero(rule.min(axis=0) < none)
+        third, node, texts_ = found[best[kept], kept], c[kept], pa.array(names, pa.string())
+        groups = [(values["t"][node], texts_), (values["t"][f.parent[node]], texts_), (best[kept], pa.array([1, 2, 3, 4], pa.int32())), (values["t"][third], texts_), (values["h"][third], texts_)]
+        return [(x.astype(np.int64), v) for x, v in groups], [third - f.base[third]]
+
+    rule_table(trees.sparkSession, rules)  # refuses what isn't a rule
+    return forest_totals(trees, draw, "dep string, above string, rel int, term string, word string", "thirds long", tree)
 
 
 def thirds(found: DataFrame, rules: DataFrame, key="sent_id") -> DataFrame:

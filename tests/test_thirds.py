@@ -78,3 +78,17 @@ def test_rule_table(spark):
     assert th.rule_table(spark, [*th.THIRDS, th.THIRDS[0]]).count() == len(th.THIRDS)
     with pytest.raises(ValueError, match="relation"):
         th.rule_table(spark, [("A", "B", 5, "C")])
+
+
+def test_totals_are_those_of_the_rules_by_node(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate([*made(60, 9), None, "none", "(S1 (NN a))"])), "sent_id long, tree string").repartition(3)
+    rules = [("NP", "S", 1, "S1"), ("NN", "NP", 4, "NP"), ("NP", "S", 4, "S"), ("VP", "S", 2, "NP"), ("NP", "VP", 3, "NN"), ("NP", "S", 1, "S1")]
+    held = th.thirds(th.relations(df), th.rule_table(spark, rules))
+    want = held.groupBy("dep", "above", "rel", "term", F.col("third_word").alias("word")).agg(F.count("*").alias("n"), F.sum("third").alias("thirds"))
+    got = th.third_totals(df, rules)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 4
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="relation"):
+        th.third_totals(df, [("A", "B", 5, "C")])
